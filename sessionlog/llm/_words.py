@@ -69,6 +69,19 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def split_stops(self) -> None:
+        """Make full stops and commas at a word's end, after an ASCII letter, a word of their own."""
+        d, size = self.data, self.ends - self.starts
+        stop = (d == 0x2E) | (d == 0x2C)
+        at = self.ends.copy()
+        for _ in range(3):  # up to three of them; longer runs stay together with their word
+            at -= (at - self.starts > 1) & stop[at - 1]
+        before = d[at - 1] | 0x20
+        at = np.where((at < self.ends) & (size > 1) & (before >= 97) & (before <= 122) & ~stop[at - 1], at, self.ends)
+        cut = np.flatnonzero(at < self.ends)
+        self.first = self.first + np.searchsorted(cut, self.first)
+        self.starts, self.ends = np.insert(self.starts, cut + 1, at[cut]), np.sort(np.concatenate([self.ends, at[cut]]))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         n = len(self.data)

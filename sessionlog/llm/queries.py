@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, packing, sharding
 from ._store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": lambda spark, d: mixing.op1(documents(spark, d)),
+    "op2_sharding": lambda spark, d: sharding.op2(documents(spark, d)),
+    "op5_packing": lambda spark, d: packing.op5(documents(spark, d)),
     "op10_exact_dedup": lambda spark, d: exact_dedup.op10(documents(spark, d)),
 }
 
