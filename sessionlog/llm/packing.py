@@ -167,22 +167,22 @@ def _price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, dic
 def plan_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 3000, tolerance: float = 1e-3) -> list[tuple[dict[int, int], int]]:
     """Patterns (item index to count) with how often each is used; together they hold the demand exactly.
 
-    The linear program stops within `tolerance` of its optimum.
+    The linear program stops within `tolerance` of its optimum. What rounding
+    errors may cost is fill: counts are checked against the demand.
     """
     n = len(sizes)
     if not n:
         return []
     basis = [{i: room // int(sizes[i])} for i in range(n)]
-    matrix = np.diag([float(room // int(s)) for s in sizes])
-    inverse, used = np.diag(1 / np.diag(matrix)), demand / np.diag(matrix)
-    for k in range(rounds):
+    each = (room // sizes).astype(float)
+    inverse, used = np.diag(1 / each), demand / each
+    for _ in range(rounds):
         prices = inverse.sum(axis=0)  # duals of the demands: each pattern costs 1
         worth, pattern = _price(np.maximum(prices, 0), sizes, room)
         if worth <= 1 + tolerance:
             break
-        column = np.zeros(n)
-        column[list(pattern)] = list(pattern.values())
-        step = inverse @ column
+        own, times = np.array(list(pattern)), np.array(list(pattern.values()), float)
+        step = (inverse[:, own] * times).sum(axis=1)
         rising = step > 1e-9
         ratio = np.where(rising, used / np.where(rising, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -191,10 +191,7 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
         pivot = inverse[out] / step[out]
         inverse = inverse - np.outer(step, pivot)
         inverse[out] = pivot
-        basis[out], matrix[:, out] = pattern, column
-        if k % 100 == 99:  # against rounding errors
-            inverse = np.linalg.inv(matrix)
-            used = np.maximum(inverse @ demand, 0)
+        basis[out] = pattern
     left, plan = demand.astype(np.int64).copy(), []
     for pattern, x in sorted(zip(basis, used, strict=True), key=lambda p: -p[1]):
         times = min([int(x + 1e-6), *(left[i] // c for i, c in pattern.items())])
