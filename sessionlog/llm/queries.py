@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, packing, sharding, top_k
+from . import exact_dedup, license_scan, mixing, packing, sharding, substring_dedup, top_k
 from ._store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.op1(documents(spark, d)),
     "op2_sharding": lambda spark, d: sharding.op2(documents(spark, d)),
+    "op4_substring_dedup": lambda spark, d: substring_dedup.op4(documents(spark, d)),
     "op5_packing": lambda spark, d: packing.op5(documents(spark, d)),
     "op8_license_scan": lambda spark, d: license_scan.op8(documents(spark, d)),
     "op9_top_k": lambda spark, d: top_k.op9(spark.read.parquet(f"{d}/embeddings.parquet")),
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op9_top_k": top_k.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
