@@ -29,8 +29,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_COPIES = 2
 WORD = r"[^\x20\x09-\x0D]+"
-#: About so many documents are sampled by one window.
-BUCKET_ROWS = 100_000
+#: About so many documents of a source and size class are sampled by one window.
+BUCKET_ROWS = 10_000
 #: A rate's fraction in units of 1 / 2**20; terms of the constraints in 1 / 2**10 words.
 UNIT, TERM = 1 << 20, 1 << 10
 
@@ -116,9 +116,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     rated = rated.withColumn("rate", F.when((F.col("size") > 0) & F.col("scale").isNotNull(), _rate("multiplier", "x", most)).otherwise(0.0))
     rated = rated.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long"))
     # Size classes of an eighth of an octave, dealt to buckets where there are many documents.
-    rated = rated.withColumn("class", F.floor(8 * F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int"))
-    total = sized.count()
-    rated = cut(rated.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 + total // bucket_rows)).cast("int")).drop("x", "scale", "multiplier", "weight"))
+    size_class = F.floor(8 * F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
+    many = histogram.withColumn("class", size_class).groupBy("source_no", "class").agg((1 + F.sum("n") / bucket_rows).cast("long").alias("buckets"))
+    rated = rated.withColumn("class", size_class).join(many, ["source_no", "class"])
+    rated = cut(rated.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), "buckets").cast("int")).drop("x", "scale", "multiplier", "weight", "buckets"))
     groups = rated.groupBy("source_no", "class", "bucket").agg(F.sum("part").alias("sum"))
     before = groups.withColumn("before", F.sum("sum").over(Window.partitionBy("source_no").orderBy("class", "bucket")) - F.col("sum")).drop("sum")
     along = Window.partitionBy("source_no", "class", "bucket").orderBy("size", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
