@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, packing, sharding, substring_dedup, top_k
+from . import exact_dedup, jaccard_join, license_scan, mixing, packing, sharding, substring_dedup, top_k
 from ._store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": lambda spark, d: sharding.op2(documents(spark, d)),
     "op4_substring_dedup": lambda spark, d: substring_dedup.op4(documents(spark, d)),
     "op5_packing": lambda spark, d: packing.op5(documents(spark, d)),
+    "op7_jaccard_join": lambda spark, d: jaccard_join.op7(documents(spark, d)),
     "op8_license_scan": lambda spark, d: license_scan.op8(documents(spark, d)),
     "op9_top_k": lambda spark, d: top_k.op9(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.op10(documents(spark, d)),
