@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, license_scan, mixing, packing, sharding, substring_dedup, top_k
+from . import exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, sharding, substring_dedup, top_k
 from ._store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.op1(documents(spark, d)),
     "op2_sharding": lambda spark, d: sharding.op2(documents(spark, d)),
+    "op3_quality": lambda spark, d: quality.op3(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op4_substring_dedup": lambda spark, d: substring_dedup.op4(documents(spark, d)),
     "op5_packing": lambda spark, d: packing.op5(documents(spark, d)),
+    "op6_language_id": lambda spark, d: language_id.op6(documents(spark, d)),
+    "page_language_id": lambda spark, d: language_id.identify_pages(spark.read.parquet(f"{d}/pages.parquet"), documents(spark, d)),
     "op7_jaccard_join": lambda spark, d: jaccard_join.op7(documents(spark, d)),
     "op8_license_scan": lambda spark, d: license_scan.op8(documents(spark, d)),
     "op9_top_k": lambda spark, d: top_k.op9(spark.read.parquet(f"{d}/embeddings.parquet")),
