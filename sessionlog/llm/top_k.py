@@ -131,6 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
     floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
     if shards > 1:
         away = queries.join(floor, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard != home")
+        spread = cut(vectors).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         first = first.unionByName(spread.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInPandas(_search_shard(k), schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a shard at most
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -147,7 +148,7 @@ def quantised(rows: DataFrame, vector: str = "embedding", levels: int = LEVELS)
 def op9(embeddings: DataFrame) -> DataFrame:
     """op9's contract over an embeddings table."""
     vectors = cut(quantised(embeddings))
-    return top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "query_id"))
+    return top_k(vectors, cut(vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "query_id")))
 
 
 ORACLE = """
