@@ -38,8 +38,8 @@ QUANTUM = 16
 END_ID = 1
 #: Distinct words a worker remembers the ids of before it starts afresh.
 MEMO_WORDS = 2_000_000
-#: About so many pieces are ranked by one window.
-BUCKET_ROWS = 200_000
+#: About so many pieces of a class are ranked by one window.
+BUCKET_ROWS = 2_000
 
 _memo: dict[str, Any] = {}
 
@@ -231,8 +231,8 @@ def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, quantum: int = QUANTUM
     table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 1)], "class int, low long, high long, first long, each long")
     table = table.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "each"))).alias("ranges"))
     # Rank within a class: rank in a bucket, after the sizes of the buckets before it.
-    buckets = 1 + sum(counts.values()) // bucket_rows
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "start"), F.lit(buckets)).cast("int"))
+    buckets = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, 1 + n // bucket_rows)] or [F.lit(0), F.lit(1)])
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "start"), buckets[F.col("class")]).cast("int"))
     before = sized.groupBy("class", "bucket").count().select("class", "bucket", (F.sum("count").over(Window.partitionBy("class").orderBy("bucket")) - F.col("count")).alias("before"))
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "copy", "start")))
     ranked = ranked.join(before, ["class", "bucket"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
