@@ -83,7 +83,7 @@ def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], columns:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text", most):
+            for part, data, offsets in chunks(batch, text, most):
                 code, first = _trigrams(data, offsets)
                 n = np.diff(first)
                 out = np.zeros((len(n), len(names)))
@@ -92,10 +92,10 @@ def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], columns:
                     out[some] = np.add.reduceat(shared.value[code], first[:-1][some], axis=0, dtype=np.float64)
                 out *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
                 at = pa.array((np.arange(len(n) + 1) * len(names)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n), pa.ListArray.from_arrays(at, pa.array(out.ravel()))], [*columns, "n_trigrams", "evidence"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(n), pa.ListArray.from_arrays(at, pa.array(out.ravel()))], [*columns, "n_trigrams", "evidence"])
 
-    source = docs.select(*columns, F.col(text).cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", n_trigrams long, evidence array<double>"
+    source = docs.withColumn(text, F.col(text).cast("string")).select(*dict.fromkeys([*columns, text]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(columns)]) + ", n_trigrams long, evidence array<double>"
     return source.mapInArrow(run, schema)
 
 
@@ -123,8 +123,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list
     names, nothing = model[0], F.lit(None).cast("string")
     if not names:
         return docs.select(*columns, nothing.alias("language"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("accepted"))
-    docs = docs.select(*columns, *[(nothing if c is None else c.cast("string")).alias(k) for k, c in (("_declared", declared), ("_suffix", suffix), ("_host", host), ("_domain", domain))], F.col(text).alias("_text"))
-    seen = text_evidence(docs, model, [*columns, "_declared", "_suffix", "_host", "_domain"], "_text")
+    docs = docs.select(*columns, *[(nothing if c is None else c.cast("string")).alias(k) for k, c in (("_declared", declared), ("_suffix", suffix), ("_host", host), ("_domain", domain))], *[] if text in columns else [text])
+    seen = text_evidence(docs, model, [*columns, "_declared", "_suffix", "_host", "_domain"], text)
     seen = seen.withColumn("_host", F.coalesce("_host", F.lit(""))).withColumn("_domain", F.coalesce("_domain", F.lit("")))
     seen = seen.withColumn("logs", _add(F.col("evidence"), _said(F.col("_declared"), names, DECLARED_TRUST), _said(F.col("_suffix"), names, SUFFIX_TRUST)))
     seen = cut(seen.drop("evidence", "_declared", "_suffix").withColumn("own", _posterior(F.col("logs"))))

@@ -103,11 +103,11 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text"):
+            for part, data, offsets in chunks(batch, "_text"):
                 got = [vote(data[offsets[i] : offsets[min(i + 500, len(offsets) - 1)]], offsets[i : i + 501] - offsets[i]) for i in range(0, len(offsets) - 1, 500)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.concatenate(got))], [*columns, "score"])
 
-    source = docs.select(*columns, F.col(text).cast("string").alias("text"))
+    source = docs.select(*columns, F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double"
     return source.mapInArrow(run, schema)
 

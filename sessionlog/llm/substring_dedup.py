@@ -25,20 +25,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import BITMAP_BITS, bitmap, bits_for, held
 from ._store import cut
 from ._words import Words, chunks, mix, windows
 
 WINDOW = 13
 GRAM = 4
-#: Size bound of the broadcast bitmap, 32 MB; it has at least CELL_BITS bits for a cell.
-BITMAP_BITS = 1 << 28
-CELL_BITS = 16
-_BLOCK = 1 << 19
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -76,27 +72,10 @@ def sketch(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int
     return parts.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
 
 
-def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
-    """The cells as a bitmap of a power of two of bits, put together from blocks of 64 KB."""
-
-    def block(part: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(min(_BLOCK, bits), np.uint8)
-        own[part["bit"].to_numpy() % _BLOCK] = 1
-        return pd.DataFrame({"block": [int(part["bit"].iloc[0]) // _BLOCK], "held": [np.packbits(own, bitorder="little").tobytes()]})
-
-    placed = cells.select(F.col("cell").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct()
-    blocks = placed.groupBy(F.floor(F.col("bit") / _BLOCK).alias("block")).applyInPandas(block, "block long, held binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in blocks.toLocalIterator():  # bits / 8 bytes in all
-        at = row["block"] * _BLOCK // 8
-        out[at : at + len(row["held"])] = np.frombuffer(row["held"], np.uint8)
-    return out
-
-
 def candidates(docs: DataFrame, cells: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """Every window whose cell is among cells, and few others: doc_id, start (its first word), one and two (its hash)."""
     spark, n = docs.sparkSession, cells.count()
-    bits = 1 << max(16, (n * CELL_BITS).bit_length())
+    bits = bits_for(n)
     fits = bits <= bitmap_bits
     shared = spark.sparkContext.broadcast(bitmap(cells, bits)) if fits else None
 
@@ -106,9 +85,8 @@ def candidates(docs: DataFrame, cells: DataFrame, text: str = "text", window: in
                 words = Words(data, offsets)
                 h, at, owner, low = _parts(words, window, gram)
                 if shared is not None:
-                    bit = low & np.uint64(bits - 1)
-                    held = np.flatnonzero(shared.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                    at, owner, low = at[held], owner[held], low[held]
+                    hit = np.flatnonzero(held(shared.value, bits, low))
+                    at, owner, low = at[hit], owner[hit], low[hit]
                 one, two = windows(h, window)[at], windows(mix(h ^ _SALT), window)[at]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array((at - words.first[owner]).astype(np.int32)), _long(one), pa.array(two.astype(np.uint32).view(np.int32)), _long(low)], ["doc_id", "start", "one", "two", "cell"])
 
