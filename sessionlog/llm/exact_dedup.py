@@ -2,20 +2,21 @@
 
 The snapshot's distinct digests are dealt to shards by hash and each shard is
 frozen into a static binary-fuse filter. An incoming digest is looked up in its
-shard's filter: a negative is certainly new and never meets the snapshot; a
-positive joins the snapshot's exact bucket, where the texts themselves are
-compared. Copies inside the batch are grouped separately, on their bytes.
+shard's filter: a negative is certainly new and never meets the snapshot.
+Positives, and digests that either side holds more than once, are suspects: only
+their texts leave the scan. They are gathered in exact buckets, grouped by the
+bytes themselves, the batch's own copies apart from the snapshot's; a bucket of
+the batch then joins the snapshot's bucket of equal bytes.
 
-Rows of one text are combined before every exchange (group sizes and largest
-ids are partial aggregates), so a text that fills a third of the table costs one
-row per task. Filters are per shard; nothing of corpus size is broadcast or
-collected.
+Rows of one text are combined before every exchange (sizes and largest ids are
+partial aggregates), so a text that fills a third of the table costs one row per
+task. Filters are per shard. Suspects are recognised in the scan by a bitmap of
+BITMAP_BITS at most; where there are too many for it, by a join.
 
 Defined cases: a null text equals the empty one; repeated rows count each in
-group_size and all of them survive or fall together except that one row per
-group, the largest doc_id, is kept (a doc_id repeated with one text is kept in
-each of its rows); a null doc_id never beats another; an empty table gives an
-empty result; extra columns are ignored.
+group_size, and those with the group's largest doc_id are all kept; a null doc_id
+is never kept where its group has another; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import BITMAP_BITS, bitmap, bits_for, held
 from ._store import cut
 from ._words import LOWER, buffers, mix, strings
 
@@ -94,24 +96,31 @@ def in_filter(keys: np.ndarray, seed: int, segment: int, count: int, table: byte
 
 
 # --- the operator -------------------------------------------------------------
-def with_digest(df: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text lower-cased in A-Z, sha256 digest of it)."""
+def with_digest(df: DataFrame, text: str = "text", suspects: tuple[np.ndarray, int] | None = None, keep_text: bool = False) -> DataFrame:
+    """doc_id, batch, digest (sha256 of the text lower-cased in A-Z), check (another hash of it) and, if asked for, norm (that text).
+
+    suspects: a bitmap and its bits; rows whose digest isn't in it are left out.
+    """
+    shared = None if suspects is None else df.sparkSession.sparkContext.broadcast(suspects[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             texts = strings(LOWER[data], offsets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())],
-                ["doc_id", "norm", "digest"],
-            )
+            digests = [hashlib.sha256(x).digest() for x in texts]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "batch", "digest", "norm"])
+            if shared is not None:
+                out = out.filter(pa.array(held(shared.value, suspects[1], np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64))))
+            yield out
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("norm")).mapInArrow(run, "doc_id long, norm string, digest binary")
+    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), "batch", F.col(text).cast("string").alias("norm"))
+    out = source.mapInArrow(run, "doc_id long, batch boolean, digest binary, norm string").withColumn("check", F.xxhash64("norm"))
+    return out if keep_text else out.drop("norm")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """One row per distinct text: the grouping key holds the bytes themselves."""
-    return rows.groupBy("digest", "norm").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+def _cell(digest: str) -> Column:
+    """The first eight bytes of a digest as a number."""
+    return F.conv(F.substring(F.hex(digest), 1, 16), 16, -10).cast("long")
 
 
 def _shard(column: str, shards: int):  # noqa: ANN202
@@ -146,25 +155,32 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(look, "digest binary")
 
 
-def exact_dedup(snapshot: DataFrame, incoming: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
+def exact_dedup(snapshot: DataFrame, incoming: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """One row per row of both tables: doc_id, digest, keep_id, group_size, kept."""
-    both = [with_digest(x, text) for x in (snapshot, incoming)]
-    # The snapshot's exact buckets and the batch's own groups, each written once.
-    old, new = (cut(_buckets(x)) for x in both)
+    both = snapshot.select("doc_id", text, F.lit(False).alias("batch")).unionByName(incoming.select("doc_id", text, F.lit(True).alias("batch")))
+    rows = cut(with_digest(both, text))
+    counts = cut(rows.groupBy("digest").agg(F.sum(F.when(F.col("batch"), 0).otherwise(1)).alias("old"), F.sum(F.when(F.col("batch"), 1).otherwise(0)).alias("new")))
+    old, new = counts.filter("old > 0").select("digest", "old"), cut(counts.filter("new > 0").select("digest", "new"))
     shards = 1 + old.count() // shard_keys
-    maybe = screen(new, build_filters(old, shards), shards)
-    positive = new.join(maybe, "digest", "left_semi")
-    negative = new.join(maybe, "digest", "left_anti")
-    # Positives meet the snapshot's bucket of equal digest; equal bytes decide.
-    met = positive.alias("i").join(old.alias("s"), (F.col("i.digest") == F.col("s.digest")) & (F.col("i.norm") == F.col("s.norm")), "left").select(
-        "i.digest", F.xxhash64("i.norm").alias("check"), F.greatest("i.largest", "s.largest").alias("keep_id"), (F.col("i.n") + F.coalesce("s.n", F.lit(0))).alias("group_size")
-    )
-    alone = [x.select("digest", F.xxhash64("norm").alias("check"), F.col("largest").alias("keep_id"), F.col("n").alias("group_size")) for x in (negative, old)]
-    groups = cut(
-        met.unionByName(alone[0]).unionByName(alone[1]).groupBy("digest", "check").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    )
-    rows = both[0].unionByName(both[1]).select("doc_id", "digest", F.xxhash64("norm").alias("check"))
-    return rows.join(groups, ["digest", "check"]).select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    positive = screen(new, build_filters(old, shards), shards)
+    copies = counts.filter("old > 1 OR new > 1").select("digest")
+    suspects = cut(positive.unionByName(copies).distinct())
+    n = suspects.count()
+    bits = bits_for(n)
+    if bits <= bitmap_bits:
+        table = bitmap(suspects.select(_cell("digest").alias("cell")), bits)
+        texts = with_digest(both, text, (table, bits), keep_text=True)
+    else:
+        texts = with_digest(both, text, keep_text=True).join(suspects, "digest", "left_semi")
+    # Exact buckets: the grouping key holds the bytes.
+    buckets = texts.groupBy("batch", "digest", "check", "norm").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+    buckets = cut(buckets)
+    batch, stored = buckets.filter("batch"), buckets.filter("NOT batch")
+    met = batch.alias("i").join(stored.alias("s"), (F.col("i.digest") == F.col("s.digest")) & (F.col("i.norm") == F.col("s.norm")), "full_outer")
+    groups = met.select(F.coalesce("i.digest", "s.digest").alias("digest"), F.coalesce("i.check", "s.check").alias("check"), F.greatest("i.largest", "s.largest").alias("keep_id"), (F.coalesce("i.n", F.lit(0)) + F.coalesce("s.n", F.lit(0))).alias("group_size"))
+    groups = cut(groups.filter("group_size > 1"))
+    out = rows.join(groups, ["digest", "check"], "left").withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
+    return out.select("doc_id", "digest", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def split_snapshot(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
