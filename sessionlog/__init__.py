@@ -1,0 +1 @@
+"""Batch jobs over coding-agent session logs."""

@@ -1,0 +1 @@
+"""Jobs over logs that keep arriving."""
