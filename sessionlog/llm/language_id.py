@@ -65,10 +65,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows:
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "counts": [total.tobytes()]})
 
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("many"), "lang").limit(LANGUAGES)
+    # A hash threshold leaves about twice what is wanted, so that no language's rows all meet.
+    hashed = rows.select("lang", "doc_id").join(F.broadcast(most), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("many") < 2 * train_rows * (1 << 30))
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("i", F.row_number().over(drawn)).filter(F.col("i") <= train_rows).drop("i").dropDuplicates()
-    sample = rows.join(F.broadcast(chosen.join(F.broadcast(most), "lang", "left_semi")), ["lang", "doc_id"])  # at most LANGUAGES * train_rows ids
+    chosen = hashed.select("lang", "doc_id").withColumn("i", F.row_number().over(drawn)).filter(F.col("i") <= train_rows).drop("i").dropDuplicates()
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most LANGUAGES * train_rows ids
     found = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in sample.groupBy("lang").applyInPandas(count, "lang string, counts binary").collect()}
     names = sorted(found)
     smooth = [np.log((found[x] + 0.5) / (found[x].sum() + 0.5 * FEATURES)) for x in names]
