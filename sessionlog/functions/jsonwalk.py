@@ -73,11 +73,17 @@ def sweep(value: Column, most: int, preview: int = 100) -> Column:
 
 
 def pretty(value: Column) -> Column:
-    """JSON text indented by two blanks."""
+    """JSON text indented by two blanks; other text stays."""
 
     @F.pandas_udf("string")
     def form(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=2))
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, indent=2)
+            except ValueError:
+                return text
+
+        return values.map(one)
 
     return form(value)
 

@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlog.functions.jsonwalk import with_ids
+from sessionlog.functions.jsonwalk import sweep, with_ids
 from sessionlog.functions.text import xml_attr, xml_text
 
+from .analyze import tool_use_index
+
 #: A bundled text block is kept whole up to this size; input fields up to FIELD_BYTES.
 TEXT_BYTES = 16 * 1024
 FIELD_BYTES, FIELD_PREVIEW = 500, 100
+#: Calls that stay as they are, so that a resumed session can replay them.
+TASK_TOOLS = ("TaskCreate", "TaskUpdate", "TaskGet", "TaskList", "TaskOutput", "TaskStop")
+#: The fields kept of each tool's input, in order; those after the bar are cut when long.
+TOOL_FIELDS = {
+    ("Read",): "file_path offset limit pages |",
+    ("Edit", "NotebookEdit"): "file_path replace_all | old_string new_string",
+    ("MultiEdit",): "file_path edits |",
+    ("Write",): "file_path | content",
+    ("Bash",): "| command : description timeout run_in_background",
+    ("Grep",): "pattern path glob type output_mode -n -i -A -B -C context head_limit offset multiline |",
+    ("Glob",): "pattern path |",
+    ("Task", "Agent"): "subagent_type description model isolation run_in_background | prompt",
+    ("TodoWrite",): "todos |",
+}
 
 
 def preserved_from(rounds: DataFrame, entries: DataFrame, keep: int) -> DataFrame:
@@ -43,6 +59,42 @@ def field_xml(name: str, value: Column, most: int = FIELD_BYTES, preview: int =
     return F.when(n > most, F.concat(F.lit(f'<{tag} truncated="'), n.cast("string"), F.lit('">'), xml_text(F.substring(value, 1, preview)), F.lit(f"</{tag}>"))).otherwise(F.concat(F.lit(f"<{tag}>"), xml_text(value), F.lit(f"</{tag}>")))
 
 
+def tool_fields(blocks: DataFrame, most: int = FIELD_BYTES, preview: int = FIELD_PREVIEW) -> DataFrame:
+    """K4-K6: the fields kept of each call, in order: name, value, and bytes where the value was cut."""
+    given = F.from_json("input", "map<string,string>")
+    kinds = F.from_json("input", "map<string,variant>")
+    item = lambda name, cuts, value: F.struct(name.alias("name"), cuts.alias("cuts"), value.alias("value"))
+    nested = lambda key: F.schema_of_variant(F.col("kinds")[key]).rlike("^(ARRAY|OBJECT)")
+    every = F.transform(F.map_entries("given"), lambda e: item(e["key"], F.schema_of_variant(F.col("kinds")[e["key"]]) == "STRING", e["value"]))
+    fields = None
+    for tools, rule in TOOL_FIELDS.items():
+        whole, _, cut = rule.partition("|")
+        cut, _, after = cut.partition(":")
+        listed = [(x, False) for x in whole.split()] + [(x, True) for x in cut.split()] + [(x, False) for x in after.split()]
+        own = F.filter(F.array(*[item(F.lit(x), F.lit(c), F.col("given")[x]) for x, c in listed]), lambda f: F.map_contains_key("given", f["name"]))
+        own_tool = F.col("tool_name").isin(*tools)
+        fields = F.when(own_tool, own) if fields is None else fields.when(own_tool, own)
+    whole_input = F.transform(F.map_entries("given"), lambda e: item(e["key"], F.lit(False), e["value"]))
+    fields = fields.when(F.col("tool_name").isin(*TASK_TOOLS), whole_input).otherwise(every)
+    each = blocks.filter("type = 'tool_use'").withColumns({"given": given, "kinds": kinds}).select("session_id", "ix", "block_ix", "tool_name", F.posexplode(fields).alias("n", "f"), "kinds")
+    each = each.withColumn("nested", nested(F.col("f.name")) & ~F.col("tool_name").isin(*TASK_TOOLS, "TodoWrite"))
+    size, long = F.octet_length("f.value"), F.col("f.cuts") & (F.octet_length("f.value") > most)
+    value = F.when(long, F.substring("f.value", 1, preview)).when(F.coalesce("nested", F.lit(False)), sweep(F.col("f.value"), most, preview)).otherwise(F.col("f.value"))
+    return each.select("session_id", "ix", "block_ix", "n", F.col("f.name").alias("name"), value.alias("value"), F.when(long, size).alias("bytes"))
+
+
+def classify(blocks: DataFrame, preserve: tuple[str, ...] = TASK_TOOLS) -> DataFrame:
+    """K3: entries that hold a preserved call or its result, and whether other calls, results or a person's text are mixed in."""
+    names = tool_use_index(blocks).select("session_id", F.col("tool_id").alias("tool_use_id"), F.col("tool_name").alias("called"))
+    each = blocks.join(names, ["session_id", "tool_use_id"], "left")
+    name = F.when(F.col("type") == "tool_use", F.col("tool_name")).when(F.col("type") == "tool_result", F.col("called"))
+    kept = F.coalesce(name.isin(*preserve), F.lit(False))
+    flags = each.groupBy("session_id", "ix").agg(
+        F.bool_or(kept).alias("preserved"), F.bool_or(F.col("type").isin("tool_use", "tool_result") & ~kept).alias("other"), F.bool_or(F.col("type") == "text").alias("texts"), F.bool_or(F.col("type") == "tool_result").alias("answers")
+    )
+    return flags.select("session_id", "ix", "preserved", (F.col("preserved") & (F.col("other") | (F.col("texts") & F.col("answers")))).alias("mixed"))
+
+
 def tool_use_xml(blocks: DataFrame, fields: tuple[str, ...] = ("file_path", "command", "old_string", "new_string", "pattern", "content")) -> DataFrame:
     """K4, K7: each call as XML with its known fields in fixed order."""
     inner = F.concat_ws("", *[field_xml(x, F.get_json_object("input", f"$.{x}")) for x in fields])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlog.functions.jsonwalk import pretty
+
 
 def _field(name: str) -> Column:
     return F.get_json_object("input", f"$.{name}")
@@ -57,3 +59,19 @@ def field(rows: DataFrame, path: str, column: str = "raw") -> DataFrame:
 def format_matches(matches: DataFrame) -> DataFrame:
     """Q7: a line for each match."""
     return matches.select("session_id", "ix", F.concat_ws("  ", F.format_string("%5d", "ix"), "kind", "summary").alias("line"))
+
+
+def render(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Q6: an entry as text: a header by its type, then its blocks in order; other entries as indented JSON."""
+    c, kind = F.col("content"), F.col("content_kind")
+    spill = lambda pattern: F.regexp_extract(c, pattern, 1)
+    wrapped = F.concat(F.lit("[spilled to "), spill(r"Full output saved to: ([^\n]+)"), F.lit(" — "), spill(r"Output too large \(([^)]*)\)"), F.lit("]\n(Read the file above for full content; preview follows)\n\n"), spill(r"(?s)Preview \([^)]*\):\n(.*?)(?:\n</persisted-output>)?\s*$"))
+    items = F.transform(F.from_json(c, "array<string>"), lambda x: F.coalesce(F.when(F.get_json_object(x, "$.type") == "text", F.get_json_object(x, "$.text")), F.get_json_object(x, "$.content"), x))
+    flat = F.when(kind == "string", F.when(F.startswith(c, F.lit("<persisted-output>")), wrapped).otherwise(c)).when(kind == "array", F.array_join(items, "\n")).otherwise(F.coalesce(pretty(F.when(kind == "object", c)), F.lit("")))
+    part = F.when(F.col("type") == "text", F.col("text")).when(F.col("type") == "tool_use", F.concat(F.lit("[tool_use: "), "tool_name", F.lit(" id="), "tool_id", F.lit("]\ninput: "), pretty(F.col("input"))))
+    part = part.when(F.col("type") == "tool_result", F.concat(F.lit("tool_use_id: "), "tool_use_id", F.when(F.col("is_error"), "\nis_error: true").otherwise(""), F.lit("\ncontent:\n"), flat)).otherwise(F.concat(F.lit("["), "type", F.lit("]")))
+    each = blocks.select("session_id", "ix", "block_ix", part.alias("part"), (F.col("type") == "tool_result").alias("answer"))
+    body = each.groupBy("session_id", "ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "part"))), lambda x: x["part"]), "\n").alias("body"), F.bool_or("answer").alias("answers"))
+    head = F.when(F.col("type") == "assistant", F.concat(F.lit("[assistant · "), "model", F.lit("]"))).when(F.coalesce("answers", F.lit(False)), "[user · tool_result]").otherwise("[user]")
+    rows = entries.filter("type IN ('assistant', 'user')").join(body, ["session_id", "ix"], "left")
+    return rows.select("session_id", "ix", F.concat_ws("\n", head, F.coalesce("content_text", "body")).alias("text"))

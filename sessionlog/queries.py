@@ -254,6 +254,14 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 _of("k7_tool_use_xml", compact.tool_use_xml, event_blocks, sql=SQL + r"""SELECT session_id, ix, block_ix, '<tool_use name="' || tool_name || '">' || coalesce('<file_path>' || file_path || '</file_path>', '') || coalesce('<command>' || command || '</command>', '') ||
 CASE WHEN tool_name = 'Edit' THEN '<old_string>' || json_extract_string(input, '$.old_string') || '</old_string><new_string>' || json_extract_string(input, '$.new_string') || '</new_string>' ELSE '' END || '</tool_use>' AS xml FROM b WHERE type = 'tool_use'""")
+_of("k4_tool_fields", compact.tool_fields, event_blocks, sql=SQL + r""", x AS (SELECT session_id, ix, block_ix, CASE WHEN command IS NOT NULL THEN [{'n': 0, 'name': 'command', 'value': command}]
+WHEN tool_name = 'Edit' THEN [{'n': 0, 'name': 'file_path', 'value': file_path}, {'n': 1, 'name': 'old_string', 'value': json_extract_string(input, '$.old_string')}, {'n': 2, 'name': 'new_string', 'value': json_extract_string(input, '$.new_string')}]
+ELSE [{'n': 0, 'name': 'file_path', 'value': file_path}] END AS fs FROM b WHERE type = 'tool_use') SELECT session_id, ix, block_ix, f.n AS n, f.name AS name, f.value AS value, CAST(NULL AS INTEGER) AS bytes FROM x, unnest(fs) AS u(f)""")
+_of("k3_classes", lambda b: compact.classify(b, ("Write",)), event_blocks, sql=SQL + " SELECT b.session_id, b.ix, coalesce(b.tool_name = 'Write', false) OR coalesce(u.tool_name = 'Write', false) AS preserved, false AS mixed FROM b LEFT JOIN b u ON u.session_id = b.session_id AND u.tool_id = b.tool_use_id")
+_of("q6_rendered", search.render, event_entries, event_blocks, sql=SQL + r""" SELECT e.session_id, e.ix, CASE WHEN e.type = 'assistant' THEN '[assistant · ' || e.model || ']' || chr(10) || '[tool_use: ' || b.tool_name || ' id=' || b.tool_id || ']' || chr(10) || 'input: {' || chr(10) || '  ' ||
+replace(replace(replace(replace(b.input[2:-2], '":"', '": "'), '","', '",' || chr(10) || '  "'), '{', ''), '}', '') || chr(10) || '}'
+WHEN b.ix IS NOT NULL THEN '[user · tool_result]' || chr(10) || 'tool_use_id: ' || b.tool_use_id || CASE WHEN b.is_error THEN chr(10) || 'is_error: true' ELSE '' END || chr(10) || 'content:' || chr(10) || b.content
+ELSE '[user]' || chr(10) || e.content_text END AS text FROM e LEFT JOIN b USING (session_id, ix)""")
 _ID = "sha256({0})"
 
 
