@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Size bound of a broadcast bitmap, 32 MB; it has at least CELL_BITS bits for a number.
 BITMAP_BITS = 1 << 28
-CELL_BITS = 16
+CELL_BITS = 32
 _BLOCK = 1 << 19
 
 

@@ -1,6 +1,10 @@
 r"""Substring dedup: words covered by windows that an earlier document holds.
 
-A window is WINDOW consecutive words of one document. First pass: every task
+A window is WINDOW consecutive words of one document. A document whose words are
+those of an earlier one repeats it whole, and all its windows are the earlier
+one's: such copies are found by a hash of their words and sit out what follows, as
+long as their ids are few enough to be broadcast; else they take part like others,
+with the same result. First pass: every task
 folds its windows into a count-min sketch, a sparse one whose cells are numbered
 far beyond the number of windows, and the tasks' sketches are merged by adding
 equal cells, each range of cells in its own task. A cell's count is at least that
@@ -22,10 +26,12 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +40,9 @@ from ._store import cut
 from ._words import Words, chunks, mix, windows
 
 WINDOW = 13
-GRAM = 4
+GRAM = 8
+#: Most ids of copies that are broadcast, 32 MB.
+COPY_IDS = 4_000_000
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -55,12 +63,48 @@ def _parts(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return h, at, text, low[at]
 
 
-def sketch(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def copies(docs: DataFrame, text: str = "text", most: int = COPY_IDS) -> np.ndarray:
+    """Sorted ids of documents whose words are those of one with a smaller doc_id; none if there are more than `most`."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch, "text"):
+                words = Words(data, offsets)
+                h, at = words.hashes(), words.first.tolist()
+                own = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["doc_id", "key"])
+
+    rows = cut(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(keys, "doc_id long, key binary"))
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    alone = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    found = cut(rows.join(first, "key").filter("doc_id > least").select("doc_id").join(alone, "doc_id", "left_semi"))
+    if found.count() > most:
+        return np.zeros(0, np.int64)
+    return np.sort(found.toArrow().column("doc_id").to_numpy())
+
+
+def _is_copy(ids: np.ndarray, sorted_ids: np.ndarray) -> np.ndarray:
+    if not len(sorted_ids):
+        return np.zeros(len(ids), bool)
+    return sorted_ids[np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)] == ids
+
+
+def _originals(batch: pa.RecordBatch, copied: np.ndarray) -> pa.RecordBatch:
+    """A batch of (doc_id, text) without the copies."""
+    gone = _is_copy(batch.column(0).to_numpy(zero_copy_only=False), copied)
+    return batch.filter(pa.array(~gone)) if gone.any() else batch
+
+
+def _source(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def sketch(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, copied: Broadcast | None = None) -> DataFrame:
     """The merged count-min sketch: cells counted at least twice."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in chunks(batch, "text"):
+            for _, data, offsets in chunks(_originals(batch, copied.value) if copied else batch, "text"):
                 _, at, owner, low = _parts(Words(data, offsets), window, gram)
                 # One count for each stretch of windows that share a minimizer in one text.
                 new = np.ones(len(low), bool)
@@ -68,11 +112,11 @@ def sketch(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int
                 cells, counts = np.unique(low[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(cells), pa.array(counts.astype(np.int32))], ["cell", "n"])
 
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(fold, "cell long, n int")
+    parts = _source(docs, text).mapInArrow(fold, "cell long, n int")
     return parts.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
 
 
-def candidates(docs: DataFrame, cells: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def candidates(docs: DataFrame, cells: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS, copied: Broadcast | None = None) -> DataFrame:
     """Every window whose cell is among cells, and few others: doc_id, start (its first word), one and two (its hash)."""
     spark, n = docs.sparkSession, cells.count()
     bits = bits_for(n)
@@ -81,7 +125,7 @@ def candidates(docs: DataFrame, cells: DataFrame, text: str = "text", window: in
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text"):
+            for part, data, offsets in chunks(_originals(batch, copied.value) if copied else batch, "text"):
                 words = Words(data, offsets)
                 h, at, owner, low = _parts(words, window, gram)
                 if shared is not None:
@@ -90,26 +134,26 @@ def candidates(docs: DataFrame, cells: DataFrame, text: str = "text", window: in
                 one, two = windows(h, window)[at], windows(mix(h ^ _SALT), window)[at]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array((at - words.first[owner]).astype(np.int32)), _long(one), pa.array(two.astype(np.uint32).view(np.int32)), _long(low)], ["doc_id", "start", "one", "two", "cell"])
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = source.mapInArrow(emit, "doc_id long, start int, one long, two int, cell long")
+    found = _source(docs, text).mapInArrow(emit, "doc_id long, start int, one long, two int, cell long")
     return (found if fits else found.join(cells, "cell")).drop("cell")
 
 
-def covered(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def covered(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS, copied: Broadcast | None = None) -> DataFrame:
     """(doc_id, starts): the first words of a document's windows that a smaller doc_id holds."""
-    each = candidates(docs, cut(sketch(docs, text, window, gram)), text, window, gram, bitmap_bits)
+    each = candidates(docs, cut(sketch(docs, text, window, gram, copied)), text, window, gram, bitmap_bits, copied)
     least = each.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     late = each.join(least, ["one", "two"]).filter("doc_id > least")
     return late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))  # at most the document's words
 
 
-def remove_covered(docs: DataFrame, starts: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_covered(docs: DataFrame, starts: DataFrame, text: str = "text", window: int = WINDOW, copied: Broadcast | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, body, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            gone_whole = _is_copy(batch.column(0).to_numpy(zero_copy_only=False), copied.value) if copied and not batch.column(0).null_count else np.zeros(batch.num_rows, bool)
+            for doc, body, at, whole in zip(*(c.to_pylist() for c in batch.columns), gone_whole.tolist(), strict=True):
                 words = (body or "").encode().split()  # splits at space and 0x09-0x0D
                 gone = np.zeros(len(words) + 1, np.int64)
                 if at:
@@ -117,6 +161,8 @@ def remove_covered(docs: DataFrame, starts: DataFrame, text: str = "text", windo
                     np.add.at(gone, at, 1)
                     np.add.at(gone, np.minimum(at + window, len(words)), -1)
                 keep = np.cumsum(gone)[: len(words)] == 0
+                if whole and len(words) >= window:
+                    keep[:] = False
                 kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
                 rows.append((doc, len(words), len(words) - int(keep.sum()), kept.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names) if rows else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))))
@@ -127,9 +173,10 @@ def remove_covered(docs: DataFrame, starts: DataFrame, text: str = "text", windo
     return joined.select("doc_id", "text", "starts").mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS, copy_ids: int = COPY_IDS) -> DataFrame:
     """Every document with its repeated passages removed: doc_id, n_words, n_removed, kept_text."""
-    return remove_covered(docs, covered(docs, text, window, gram, bitmap_bits), text, window)
+    copied = docs.sparkSession.sparkContext.broadcast(copies(docs, text, copy_ids))
+    return remove_covered(docs, covered(docs, text, window, gram, bitmap_bits, copied), text, window, copied)
 
 
 def op4(docs: DataFrame) -> DataFrame:
