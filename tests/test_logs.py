@@ -170,3 +170,18 @@ def test_plan_stays_in_the_engine(spark, sf_dir):
     for name in ("a1_tokens_by_model", "a8_failures", "b5_round_stream", "f1_file_at"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "CartesianProduct" not in plan and F
+
+
+def test_compacted_logs(spark, logs, tmp_path):
+    from sessionlog.jobs.compact_sessions import compact_sessions
+
+    out = compact_sessions(logs[1], logs[2], keep=1)
+    lines = [json.loads(r["raw"]) for r in out.filter("session_id = 'one'").orderBy("section", "ix").collect()]
+    assert [x["type"] for x in lines] == ["user", "user", "assistant", "user"]  # the bundle, then the last round
+    assert '<turn ix="0" kind="user">please start</turn>' in lines[0]["message"]["content"] and 'error="true"' in lines[0]["message"]["content"]
+    assert lines[0]["parentUuid"] is None and [x.get("parentUuid", lines[i - 1]["uuid"]) for i, x in enumerate(lines) if i] == [x["uuid"] for x in lines[:-1]]
+    assert len({x.get("sessionId") for x in lines if "sessionId" in x}) == 1
+    sinks.write_compacted(out, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == out.count()
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_compacted(out, str(tmp_path / "c"))
