@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import BITMAP_BITS, bitmap, bits_for, held
 from ._store import cut
-from ._words import LOWER, buffers, mix, strings
+from ._words import LOWER, chunks, mix, strings
 
 #: Rows per filter: a shard of this many digests takes about 1.2 MB as a filter.
 SHARD_KEYS = 1_000_000
@@ -105,13 +105,13 @@ def with_digest(df: DataFrame, text: str = "text", suspects: tuple[np.ndarray, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(2))
-            texts = strings(LOWER[data], offsets)
-            digests = [hashlib.sha256(x).digest() for x in texts]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "batch", "digest", "norm"])
-            if shared is not None:
-                out = out.filter(pa.array(held(shared.value, suspects[1], np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64))))
-            yield out
+            for part, data, offsets in chunks(batch, "norm"):
+                texts = strings(LOWER[data], offsets)
+                digests = [hashlib.sha256(x).digest() for x in texts]
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "batch", "digest", "norm"])
+                if shared is not None:
+                    out = out.filter(pa.array(held(shared.value, suspects[1], np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64))))
+                yield out
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), "batch", F.col(text).cast("string").alias("norm"))
     out = source.mapInArrow(run, "doc_id long, batch boolean, digest binary, norm string").withColumn("check", F.xxhash64("norm"))

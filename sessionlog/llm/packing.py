@@ -37,7 +37,7 @@ SEQUENCE = 2048
 QUANTUM = 16
 END_ID = 1
 #: Distinct words a worker remembers the ids of before it starts afresh.
-MEMO_WORDS = 2_000_000
+MEMO_WORDS = 1_000_000
 #: About so many pieces of a class are ranked by one window.
 BUCKET_ROWS = 2_000
 
