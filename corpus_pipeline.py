@@ -10,25 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlog.llm import exact_dedup, jaccard_join, language_id, mixing, packing
-from sessionlog.llm._store import cut, documents
+from sessionlog.llm._store import cut, documents, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; lang becomes what was found."""
+    small_batches(spark)
     found = language_id.identify(docs, language_id.fit(docs), COLUMNS, "text", declared=F.col("lang"), host=F.col("source"))
     return found.filter("accepted").withColumn("lang", F.col("language")).select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each exact text, that with the largest doc_id."""
+    small_batches(spark)
     kept = exact_dedup.op10(docs).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id; five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     groups = jaccard_join.jaccard_join(docs, shingle=5, percent=80)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
@@ -46,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The plan of the packed sequences."""
+    small_batches(spark)
     return packing.op5(docs)
 
 
