@@ -142,7 +142,8 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int
     """(doc_id, starts): the first words of a document's windows that a smaller doc_id holds."""
     each = candidates(docs, cut(sketch(docs, text, window, gram, copied)), text, window, gram, bitmap_bits, copied)
     least = each.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    late = each.join(least, ["one", "two"]).filter("doc_id > least")
+    # As a stored table it has an exchange of its own, so that Spark splits the join where a window is frequent.
+    late = each.join(cut(least), ["one", "two"]).filter("doc_id > least")
     return late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))  # at most the document's words
 
 
