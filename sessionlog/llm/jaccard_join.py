@@ -45,7 +45,7 @@ from .components import components
 SHINGLE = 4
 PERCENT = 85
 #: Share of a set, in percent, by which the rendezvous prefix is longer than needed.
-EXTRA = 10
+EXTRA = 8
 PIVOTS = 16
 #: Hashes that one cell, and one task's cells together, may hold.
 CELL_HASHES = 1_000_000
