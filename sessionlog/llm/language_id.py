@@ -132,10 +132,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list
     seen = cut(seen.drop("evidence", "_declared", "_suffix").withColumn("own", _posterior(F.col("logs"))))
     # Counts by host, domain and in all; a host's rows are combined in each task.
     hosts = cut(seen.filter("n_trigrams > 0").groupBy("_domain", "_host").agg(*[F.sum(F.col("own")[i]).alias(f"h{i}") for i in range(len(names))]))
-    every = hosts.agg(*[F.sum(f"h{i}").alias(f"g{i}") for i in range(len(names))])
-    domains = hosts.groupBy("_domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(len(names))]).crossJoin(F.broadcast(every))  # every: one row
+    row = hosts.agg(*[F.sum(f"h{i}") for i in range(len(names))]).first()  # a number for each language
+    every = [x or 0.0 for x in row]
+    domains = hosts.groupBy("_domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(len(names))])
     total = lambda k: sum((F.col(f"{k}{i}") for i in range(1, len(names))), F.col(f"{k}0"))
-    prior = lambda i: (F.coalesce(f"g{i}", F.lit(0.0)) + 1) / (F.coalesce(total("g"), F.lit(0.0)) + len(names))
+    prior = lambda i: F.lit((every[i] + 1) / (sum(every) + len(names)))
     domains = domains.select("_domain", *[((F.col(f"d{i}") + HOST_WEIGHT * prior(i)) / (total("d") + HOST_WEIGHT)).alias(f"d{i}") for i in range(len(names))])
     priors = hosts.join(domains, "_domain").select("_domain", "_host", F.array(*[F.log((F.col(f"h{i}") + HOST_WEIGHT * F.col(f"d{i}")) / (total("h") + HOST_WEIGHT)) for i in range(len(names))]).alias("prior"))
     fused = seen.join(cut(priors), ["_domain", "_host"], "left").withColumn("prior", F.coalesce("prior", F.array_repeat(F.lit(0.0), len(names))))
