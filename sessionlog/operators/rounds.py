@@ -51,7 +51,8 @@ def round_stream(rounds_: DataFrame, blocks: DataFrame) -> DataFrame:
     lines = blocks.filter("type IN ('text', 'tool_use')").join(rounds_.filter("type = 'assistant'").select("session_id", "ix", "round"), ["session_id", "ix"])
     lines = lines.drop("content", "content_kind", "is_error").withColumn("given", parsed_input("input")).join(results, ["session_id", "tool_id"], "left")
     line = F.when(F.col("type") == "text", trim_all(F.col("text"))).otherwise(one_liner(F.col("tool_name"), F.col("given"), F.col("content"), F.coalesce("is_error", F.lit(False))))
-    out = lines.select("session_id", "round", "ix", "block_ix", F.when(F.col("type") == "text", "text").otherwise("tool").alias("kind"), line.alias("line")).filter("line <> ''")
+    # An array of one, exploded: filters on the line stay above it and don't build the line anew.
+    out = lines.select("session_id", "round", "ix", "block_ix", F.when(F.col("type") == "text", "text").otherwise("tool").alias("kind"), F.explode(F.array(line)).alias("line")).filter("line <> ''")
     order = Window.partitionBy("session_id", "round").orderBy("ix", "block_ix").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("stretch", F.sum(F.when(F.col("kind") == "text", 1).otherwise(0)).over(order))
 
