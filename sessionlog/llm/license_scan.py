@@ -81,7 +81,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
 
     body, base = F.col("text"), _standing(*phrases)
     hit = F.col("n_base") > 0
-    first = F.when(hit, _count(F.substring(body, F.lit(1), F.regexp_instr(body, F.lit(base)) - 1), _WORD + "+"))
+    first = F.when(hit, _count(F.regexp_extract(body, r"(?s)^(.*?)" + base, 1), _WORD + "+"))
     last = F.when(hit, _count(F.regexp_extract(body, r"(?s)^(.*)" + base, 1), _WORD + "+"))
     labels = F.array_compact(F.array(*[F.when(hit & F.regexp_like(body, F.lit(_standing(p))), F.lit(x)) for p, x in phrases.items()]))
     blocks = F.when(F.regexp_like(body, F.lit(_standing(*sorted(prefixes)))), F.split(body, _BLOCK_END))

@@ -21,6 +21,7 @@ TEXTS = [
     None, "", " \t\n", "one", "One", "ONE two\tthree", BODY, BODY.upper(), BODY, BODY + " tail", "head " + BODY, BODY.replace("w30", "x30"), "é É ﬁ Σας naïve",
     "Released under the MIT License.\nLicensed under the Apache License, Version 2.0. CC-BY cc by\r\ncc  BY", "xcc by mit licenses mit license", "permission is hereby granted free charge to any person obtaining a copy of this software",
     "a b c d " * 40, " ".join(f"q{i}" for i in range(20_000)), "<|endoftext|>. foo<|ENDOFTEXT|>, it's 12.5...", "a\x0bb\x0cc\x1cd\x85e f", "w1 w2 w3", "w1 w2 w3",
+    "\U0001F600\U0001F600 \U0001F680 a b MIT License x mit license",
 ]
 
 
