@@ -43,6 +43,8 @@ WINDOW = 13
 GRAM = 8
 #: Most ids of copies that are broadcast, 32 MB.
 COPY_IDS = 4_000_000
+#: What a null doc_id counts as: the last of all.
+LAST = (1 << 63) - 1
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -77,7 +79,7 @@ def copies(docs: DataFrame, text: str = "text", most: int = COPY_IDS) -> np.ndar
     rows = cut(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(keys, "doc_id long, key binary"))
     first = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     alone = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    found = cut(rows.join(first, "key").filter("doc_id > least").select("doc_id").join(alone, "doc_id", "left_semi"))
+    found = cut(rows.join(first, "key").filter((F.col("doc_id") > F.col("least")) & (F.col("doc_id") < LAST)).select("doc_id").join(alone, "doc_id", "left_semi"))
     if found.count() > most:
         return np.zeros(0, np.int64)
     return np.sort(found.toArrow().column("doc_id").to_numpy())
@@ -96,7 +98,7 @@ def _originals(batch: pa.RecordBatch, copied: np.ndarray) -> pa.RecordBatch:
 
 
 def _source(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def sketch(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, copied: Broadcast | None = None) -> DataFrame:
@@ -153,8 +155,8 @@ def remove_covered(docs: DataFrame, starts: DataFrame, text: str = "text", windo
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            gone_whole = _is_copy(batch.column(0).to_numpy(zero_copy_only=False), copied.value) if copied and not batch.column(0).null_count else np.zeros(batch.num_rows, bool)
-            for doc, body, at, whole in zip(*(c.to_pylist() for c in batch.columns), gone_whole.tolist(), strict=True):
+            gone_whole = _is_copy(batch.column(3).to_numpy(), copied.value) if copied else np.zeros(batch.num_rows, bool)
+            for doc, body, at, whole in zip(*(c.to_pylist() for c in batch.columns[:3]), gone_whole.tolist(), strict=True):
                 words = (body or "").encode().split()  # splits at space and 0x09-0x0D
                 gone = np.zeros(len(words) + 1, np.int64)
                 if at:
@@ -169,9 +171,9 @@ def remove_covered(docs: DataFrame, starts: DataFrame, text: str = "text", windo
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names) if rows else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))))
 
     names = ["doc_id", "n_words", "n_removed", "kept_text"]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), key).join(starts.withColumnRenamed("doc_id", "key"), "key", "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.select("doc_id", "text", "starts", "key").mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS, copy_ids: int = COPY_IDS) -> DataFrame:

@@ -159,6 +159,16 @@ def test_op4_same_as_plain(docs, plain, limits):
     assert got == brute.substring_dedup(plain)
 
 
+@pytest.mark.parametrize("limits", [{}, {"copy_ids": 0}])
+@pytest.mark.parametrize("none", ["alone here", BODY, "head " + BODY])
+def test_op4_null_doc_id_beside_copies(spark, limits, none):
+    last = (1 << 63) - 1
+    rows = [(3, BODY), (8, BODY), (5, BODY + " tail"), (9, BODY), (None, none), (11, "other words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {last if r["doc_id"] is None else r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(frame, **limits).collect()}
+    assert got == brute.substring_dedup([(last if i is None else i, t) for i, t in rows])
+
+
 def test_op4_real_and_empty(real, empty):
     rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
     want = {i: (n, k, brute.sha(t)) for i, (n, k, t) in brute.substring_dedup(rows).items()}
