@@ -15,32 +15,54 @@ from sessionlog.llm._store import cut, documents, small_batches
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def by_row(docs: DataFrame, nulls_first: bool = False) -> DataFrame:
+    """The documents with an id of each row, `row`, in the order of doc_id.
+
+    It is doc_id itself where that is set and unique. Else rows are numbered in a
+    stored table, so that every use of it sees the same numbers; equal doc_ids are
+    told apart by a hash of the row.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.groupBy(own.alias("own")).count().filter("own IS NULL OR count > 1").isEmpty():
+        return docs.select(*COLUMNS, own.alias("row"))
+    order = own.asc_nulls_first() if nulls_first else own.asc_nulls_last()
+    placed = docs.select(COLUMNS).orderBy(order, F.xxhash64(*COLUMNS), F.monotonically_increasing_id())
+    return cut(placed.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _as_doc_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("row")).drop("row")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; lang becomes what was found."""
     small_batches(spark)
-    found = language_id.identify(docs, language_id.fit(docs), COLUMNS, "text", declared=F.col("lang"), host=F.col("source"))
+    found = language_id.identify(docs, language_id.fit(_as_doc_id(by_row(docs))), COLUMNS, "text", declared=F.col("lang"), host=F.col("source"))
     return found.filter("accepted").withColumn("lang", F.col("language")).select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each exact text, that with the largest doc_id."""
+    """One row of each exact text, one with the largest doc_id; null is the least."""
     small_batches(spark)
-    kept = exact_dedup.op10(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    rows = by_row(docs, nulls_first=True)
+    kept = exact_dedup.op10(_as_doc_id(rows)).filter("kept").select(F.col("doc_id").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id; five-word shingles, similarity 0.8 or more."""
+    """One row of each group of near copies, one with the smallest doc_id, null the last; five-word shingles, similarity 0.8 or more."""
     small_batches(spark)
-    groups = jaccard_join.jaccard_join(docs, shingle=5, percent=80)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    rows = by_row(docs)
+    groups = jaccard_join.jaccard_join(_as_doc_id(rows), shingle=5, percent=80)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every copy the mix takes; where it takes part of a copy, the text's first words."""
-    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", "size", "taken")
-    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    docs = by_row(docs)
+    taken = mixing.mix(_as_doc_id(docs)).filter("taken > 0").select(F.col("doc_id").alias("row"), "size", "taken")
+    rows = docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
     left = F.col("taken") - F.col("copy") * F.col("size")
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     rows = rows.withColumn("text", F.when(left < F.col("size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text")))

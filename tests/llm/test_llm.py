@@ -332,3 +332,32 @@ def test_pipeline_stages(spark, real, sf_dir):
             texts = [brute.lower(r["text"]) for r in docs.collect()]
             assert len(texts) == len(set(texts)) == len({brute.lower(r["text"]) for r in before.collect()})
     assert p.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count() and docs.count() > 100
+
+
+def test_pipeline_null_and_repeated_doc_ids(spark, sf_dir):
+    import corpus_pipeline as p
+
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    def run(stage, rows):
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return [(r["doc_id"], r["text"]) for r in stage(spark, p.cut(frame.repartition(3)), sf_dir).collect()]
+
+    def order(rows):
+        return sorted(rows, key=str)
+
+    # Null doc_ids with texts of their own, rows repeated whole, one doc_id with several texts.
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (4, text("c"))] + [(7, text("d"))] * 5 + [(8, text("d")), (8, text("e")), (9, text("e")), (9, text("f"))]
+    exact = [(None, text("a")), (None, text("b")), (4, text("c")), (8, text("d")), (9, text("e")), (9, text("f"))]
+    assert order(run(p.drop_copies, rows)) == order(exact)
+    assert order(run(p.drop_copies, [(7, text("d"))] * 5 + [(None, text("g"))] * 2)) == order([(7, text("d")), (None, text("g"))])
+    near = [(None, text("a")), (None, text("b") + " x"), (6, text("b")), (5, text("c")), (5, text("c") + " x"), (5, text("d"))] + [(2, text("e"))] * 3
+    found = run(p.drop_near_copies, near)
+    assert len(found) == 5 and {(None, text("a")), (6, text("b")), (5, text("d")), (2, text("e"))} < set(found)
+    assert len({(5, text("c")), (5, text("c") + " x")} & set(found)) == 1
+    mixed = run(p.mix_sources, rows)
+    assert sum(len(t.split()) for _, t in mixed) == 1.5 * 40 * len(rows)  # one source: its target
+    assert max(mixed.count(x) for x in set(mixed)) <= 2 * 5 and any(i is None for i, _ in mixed)
+    known = run(p.identify_language, [(None, text("a"))] * 3 + [(None, text("b"))])
+    assert len(known) == 4
