@@ -2,8 +2,9 @@ r"""License scans: phrases, and an exact set-similarity join with templates.
 
 Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. The
 base labels come from phrases whose words stand consecutively. The method then
-finds every text block (a line, or a sentence of one) that holds at least
-CONTAINMENT of a template's distinct words. Template words are ordered by their
+finds every text block that holds at least CONTAINMENT of a template's distinct
+words: a line, a sentence of one, or a sentence that goes on over line ends and
+comment marks. It ends at a blank line, one without words. Template words are ordered by their
 frequency in the whole corpus, rarest first. A block that meets the threshold
 must hold one of a template's rarest words (its prefix): those select the
 documents and are the join key. Blocks too short to meet it, or whose remaining
@@ -42,6 +43,9 @@ _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Lines, and within them sentences.
 _BLOCK_END = r"[\n\r]+|(?<=[.!?])[ \t]+"
+_LINE_END = r"(?>\r\n|\n|\r)"
+#: Blank lines, and between them sentences, whatever lines they take.
+_WRAPPED_END = _LINE_END + r"[\x00-\x09\x0B\x0C\x0E-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + _LINE_END + r"|(?<=[.!?])[ \t\n\r]+"
 
 
 def _standing(*phrases: str) -> str:
@@ -84,7 +88,8 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     first = F.when(hit, _count(F.regexp_extract(body, r"(?s)^(.*?)" + base, 1), _WORD + "+"))
     last = F.when(hit, _count(F.regexp_extract(body, r"(?s)^(.*)" + base, 1), _WORD + "+"))
     labels = F.array_compact(F.array(*[F.when(hit & F.regexp_like(body, F.lit(_standing(p))), F.lit(x)) for p, x in phrases.items()]))
-    blocks = F.when(F.regexp_like(body, F.lit(_standing(*sorted(prefixes)))), F.split(body, _BLOCK_END))
+    wrapped = F.filter(F.split(body, _WRAPPED_END), lambda x: F.regexp_like(x, F.lit(r"[\n\r]")))
+    blocks = F.when(F.regexp_like(body, F.lit(_standing(*sorted(prefixes)))), F.concat(F.split(body, _BLOCK_END), wrapped))
     scanned = cut(
         texts.withColumn("n_base", _count(body, base))
         .withColumn("n_words", _count(body, _WORD + "+"))

@@ -275,6 +275,20 @@ def test_op8_same_as_plain(docs, real, empty):
     assert license_scan.op8(empty).count() == 0
 
 
+def test_op8_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software"
+    gpl = "This work is licensed under the GNU General Public\nLicense version 3"
+    cases = [
+        (bsd, "bsd-notice"), (bsd.replace("\n", "\r\n"), "bsd-notice"), (bsd.replace("\n", "\r"), "bsd-notice"), (mit, "mit-notice"), (gpl, "gpl,gpl-3.0"),
+        ("# " + bsd.replace("\n", "\n# ").replace(" in ", "\n#   in "), "bsd-notice"), ("/*\n * " + mit.replace("\n", "\n * ") + ".\n */\nint x;", "mit-notice"),
+        ("Foo 1.0\n\n" + mit + ".\n" + bsd, "bsd-notice,mit-notice"), (mit.replace(" ", "\n"), "mit-notice"),
+        (bsd.replace("\n", "\n\n"), ""), (bsd.replace("\n", "\r\n\r\n"), ""), ("# " + bsd.replace("\n", "\n#\n# "), ""), (bsd.replace("\n", ".\n"), ""),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.op8(frame).collect()} == {i: x for i, (_, x) in enumerate(cases)}
+
+
 # --- op9 -----------------------------------------------------------------------------
 def test_op9_exact_with_ties_and_bad_vectors(spark):
     r = np.random.default_rng(2)
