@@ -22,7 +22,7 @@ def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     """The column cell as a bitmap, put together from blocks of 64 KB that tasks fill."""
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(min(_BLOCK, bits), np.uint8)
+        own = np.zeros(min(_BLOCK, max(8, bits)), np.uint8)
         own[part["bit"].to_numpy() % _BLOCK] = 1
         return pd.DataFrame({"block": [int(part["bit"].iloc[0]) // _BLOCK], "held": [np.packbits(own, bitorder="little").tobytes()]})
 
@@ -35,6 +35,18 @@ def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+class Screen:
+    """A broadcast bitmap of the column cell, of BITMAP_BITS at most: the more cells it must hold beyond its size, the more others pass."""
+
+    def __init__(self, cells: DataFrame, most: int = BITMAP_BITS):
+        self.bits = min(bits_for(cells.count()), most)
+        self.table = cells.sparkSession.sparkContext.broadcast(bitmap(cells, self.bits))
+
+    def __call__(self, cells: np.ndarray) -> np.ndarray:
+        """Whether each number (uint64) may be among the cells; never false for one that is."""
+        return held(self.table.value, self.bits, cells)
+
+
 def held(table: np.ndarray, bits: int, cells: np.ndarray) -> np.ndarray:
     """Whether each number (uint64) may be in the bitmap; never false for one that is."""
     bit = cells & np.uint64(bits - 1)

@@ -4,25 +4,51 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set, as in tests, a local one."""
-    conf = spark.sparkContext.getConf()
-    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where none is set a local session gets one of its own; elsewhere that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def _filesystem(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a written table: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """The same rows, read back from a written table: its lineage ends here.
+
+    The table goes when the driver ends, if discard() has not removed it before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at, files = _filesystem(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote and nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            at, files = _filesystem(table.sparkSession, path)
+            files.delete(at, True)
 
 
 #: Rows in an Arrow batch, so that a batch of long texts stays a few megabytes.

@@ -1,17 +1,18 @@
-"""Exact dedup of an incoming batch against an immutable snapshot.
+"""Exact dedup of incoming batches against an immutable snapshot.
 
-The snapshot's distinct digests are dealt to shards by hash and each shard is
-frozen into a static binary-fuse filter. An incoming digest is looked up in its
-shard's filter: a negative is certainly new and never meets the snapshot.
-Positives, and digests that either side holds more than once, are suspects: only
-their texts leave the scan. They are gathered in exact buckets, grouped by the
-bytes themselves, the batch's own copies apart from the snapshot's; a bucket of
-the batch then joins the snapshot's bucket of equal bytes.
+freeze() prepares a snapshot once: its digests, combined by digest, are dealt to
+shards by hash, and each shard is frozen into a static binary-fuse filter, stored
+beside them. Each incoming batch is combined by digest on its own, and its digests
+are looked up in their shard's filter. A negative is certainly new: it never
+meets the snapshot. Positives join the snapshot's exact buckets by digest; what
+joins, and the digests that either side holds more than once, are suspects: only
+their texts leave the scan, and buckets are told apart by the bytes themselves.
 
 Rows of one text are combined before every exchange (sizes and largest ids are
 partial aggregates), so a text that fills a third of the table costs one row per
 task. Filters are per shard. Suspects are recognised in the scan by a bitmap of
-BITMAP_BITS at most; where there are too many for it, by a join.
+BITMAP_BITS at most, which lets the more others pass the fuller it is; a join with
+the suspects follows.
 
 Defined cases: a null text equals the empty one; repeated rows count each in
 group_size, and those with the group's largest doc_id are all kept; a null doc_id
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bitmap import BITMAP_BITS, bitmap, bits_for, held
-from ._store import cut
+from ._bitmap import BITMAP_BITS, Screen
+from ._store import cut, discard
 from ._words import LOWER, chunks, mix, strings
 
 #: Rows per filter: a shard of this many digests takes about 1.2 MB as a filter.
@@ -96,25 +98,24 @@ def in_filter(keys: np.ndarray, seed: int, segment: int, count: int, table: byte
 
 
 # --- the operator -------------------------------------------------------------
-def with_digest(df: DataFrame, text: str = "text", suspects: tuple[np.ndarray, int] | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, batch, digest (sha256 of the text lower-cased in A-Z), check (another hash of it) and, if asked for, norm (that text).
+def with_digest(df: DataFrame, text: str = "text", suspects: Screen | None = None, keep_text: bool = False) -> DataFrame:
+    """doc_id, digest (sha256 of the text lower-cased in A-Z), check (another hash of it) and, if asked for, norm (that text).
 
-    suspects: a bitmap and its bits; rows whose digest isn't in it are left out.
+    suspects: rows whose digest it doesn't hold are left out.
     """
-    shared = None if suspects is None else df.sparkSession.sparkContext.broadcast(suspects[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in chunks(batch, "norm"):
                 texts = strings(LOWER[data], offsets)
                 digests = [hashlib.sha256(x).digest() for x in texts]
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "batch", "digest", "norm"])
-                if shared is not None:
-                    out = out.filter(pa.array(held(shared.value, suspects[1], np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64))))
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "digest", "norm"])
+                if suspects is not None:
+                    out = out.filter(pa.array(suspects(np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64))))
                 yield out
 
-    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), "batch", F.col(text).cast("string").alias("norm"))
-    out = source.mapInArrow(run, "doc_id long, batch boolean, digest binary, norm string").withColumn("check", F.xxhash64("norm"))
+    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("norm"))
+    out = source.mapInArrow(run, "doc_id long, digest binary, norm string").withColumn("check", F.xxhash64("norm"))
     return out if keep_text else out.drop("norm")
 
 
@@ -138,12 +139,12 @@ def build_filters(digests: DataFrame, shards: int) -> DataFrame:
         seed, segment, count, table = build_filter(np.unique(_key64(part["digest"])))
         return pd.DataFrame({"shard": [part["shard"].iloc[0]], "seed": [seed], "segment": [segment], "segments": [count], "cells": [table]})
 
-    keys = digests.select("digest").distinct().withColumn("shard", _shard("digest", shards))
+    keys = digests.select("digest").withColumn("shard", _shard("digest", shards))
     return keys.groupBy("shard").applyInPandas(build, "shard int, seed int, segment int, segments int, cells binary")
 
 
-def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Those of the distinct digests that their shard's filter doesn't rule out."""
+def screen(digests: DataFrame, filters: DataFrame, shards: int, task_keys: int = SHARD_KEYS) -> DataFrame:
+    """Those of the distinct digests that their shard's filter doesn't rule out; a task looks up about task_keys of them."""
 
     def look(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(own):
@@ -151,36 +152,55 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
         x = own.iloc[0]
         return part.loc[in_filter(_key64(part["digest"]), int(x.seed), int(x.segment), int(x.segments), x.cells), ["digest"]]
 
-    keys = digests.select("digest").distinct().withColumn("shard", _shard("digest", shards))
-    return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(look, "digest binary")
-
-
-def exact_dedup(snapshot: DataFrame, incoming: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
-    """One row per row of both tables: doc_id, digest, keep_id, group_size, kept."""
-    both = snapshot.select("doc_id", text, F.lit(False).alias("batch")).unionByName(incoming.select("doc_id", text, F.lit(True).alias("batch")))
-    rows = cut(with_digest(both, text))
-    counts = cut(rows.groupBy("digest").agg(F.sum(F.when(F.col("batch"), 0).otherwise(1)).alias("old"), F.sum(F.when(F.col("batch"), 1).otherwise(0)).alias("new")))
-    old, new = counts.filter("old > 0").select("digest", "old"), cut(counts.filter("new > 0").select("digest", "new"))
-    shards = 1 + old.count() // shard_keys
-    positive = screen(new, build_filters(old, shards), shards)
-    copies = counts.filter("old > 1 OR new > 1").select("digest")
-    suspects = cut(positive.unionByName(copies).distinct())
-    n = suspects.count()
-    bits = bits_for(n)
-    if bits <= bitmap_bits:
-        table = bitmap(suspects.select(_cell("digest").alias("cell")), bits)
-        texts = with_digest(both, text, (table, bits), keep_text=True)
-    else:
-        texts = with_digest(both, text, keep_text=True).join(suspects, "digest", "left_semi")
-    # Exact buckets: the grouping key holds the bytes.
-    buckets = texts.groupBy("batch", "digest", "check", "norm").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-    buckets = cut(buckets)
-    batch, stored = buckets.filter("batch"), buckets.filter("NOT batch")
-    met = batch.alias("i").join(stored.alias("s"), (F.col("i.digest") == F.col("s.digest")) & (F.col("i.norm") == F.col("s.norm")), "full_outer")
-    groups = met.select(F.coalesce("i.digest", "s.digest").alias("digest"), F.coalesce("i.check", "s.check").alias("check"), F.greatest("i.largest", "s.largest").alias("keep_id"), (F.coalesce("i.n", F.lit(0)) + F.coalesce("s.n", F.lit(0))).alias("group_size"))
+    splits = 1 + digests.count() // (shards * task_keys)
+    keys = digests.select("digest").withColumn("shard", _shard("digest", shards)).withColumn("split", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(splits)).cast("int"))
+    spread = filters.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return keys.groupBy("shard", "split").cogroup(spread.groupBy("shard", "split")).applyInPandas(look, "digest binary")
+
+
+@dataclass
+class Snapshot:
+    """A frozen snapshot: its rows, their digests combined (digest, n), and the filters of its shards, all stored."""
+
+    docs: DataFrame
+    rows: DataFrame
+    digests: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def freeze(docs: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> Snapshot:
+    """Digest a snapshot and build its filters, once for all batches to come."""
+    rows = cut(with_digest(docs, text))
+    digests = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    shards = 1 + digests.count() // shard_keys
+    return Snapshot(docs, rows, digests, cut(build_filters(digests, shards)), shards)
+
+
+def _buckets(docs: DataFrame, text: str, screen_: Screen, suspects: DataFrame) -> DataFrame:
+    """Exact buckets of the suspects' texts: the grouping key holds the bytes."""
+    texts = with_digest(docs, text, screen_, keep_text=True).join(suspects, "digest", "left_semi")
+    return texts.groupBy("digest", "check", "norm").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+
+
+def exact_dedup(snapshot: DataFrame | Snapshot, incoming: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+    """One row per row of both tables: doc_id, digest, keep_id, group_size, kept, batch (whether incoming)."""
+    old = snapshot if isinstance(snapshot, Snapshot) else freeze(snapshot, text, shard_keys)
+    new = cut(with_digest(incoming, text))
+    digests = cut(new.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    positive = screen(digests, old.filters, old.shards)
+    met = old.digests.join(positive, "digest", "left_semi").select("digest")
+    copied = old.digests.unionByName(digests).filter("n > 1").select("digest")
+    suspects = cut(met.unionByName(copied).distinct())
+    among = Screen(suspects.select(_cell("digest").alias("cell")), bitmap_bits)
+    stored, batch = cut(_buckets(old.docs, text, among, suspects)), cut(_buckets(incoming, text, among, suspects))
+    pairs = batch.alias("i").join(stored.alias("s"), (F.col("i.digest") == F.col("s.digest")) & (F.col("i.norm") == F.col("s.norm")), "full_outer")
+    groups = pairs.select(F.coalesce("i.digest", "s.digest").alias("digest"), F.coalesce("i.check", "s.check").alias("check"), F.greatest("i.largest", "s.largest").alias("keep_id"), (F.coalesce("i.n", F.lit(0)) + F.coalesce("s.n", F.lit(0))).alias("group_size"))
     groups = cut(groups.filter("group_size > 1"))
+    discard(stored, batch, digests, suspects)
+    rows = old.rows.withColumn("batch", F.lit(False)).unionByName(new.withColumn("batch", F.lit(True)))
     out = rows.join(groups, ["digest", "check"], "left").withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
-    return out.select("doc_id", "digest", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return out.select("doc_id", "digest", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "batch")
 
 
 def split_snapshot(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
