@@ -8,14 +8,18 @@ together by safeguarded Newton steps, each one distributed aggregate over the
 (source, size) histogram, whose sums are integers, so that reruns agree to the
 last bit. Rates are rounded to whole copies by systematic sampling along size;
 one document per source then takes part of a copy more or less, so that its
-source meets its target.
+source meets its target, as far as that document has room.
 
 Only DataFrame functions are used. Rows of a hot source are combined before
-every exchange; the sampling windows are over (source, size class, bucket).
+every exchange; the sampling windows are over (source, size class, bucket), and
+sources are ordered by a sort that Spark divides. Every order and bucket hangs on
+a row's own doc_id and text alone, so any layout of one table gives one result.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
-source of its own, last in order; a doc_id in several rows counts once per row;
-an empty table gives an empty result; extra columns are ignored.
+source of its own, last in order; a doc_id in several rows counts once per row,
+and of rows alike in doc_id, source and text it is left open which one is taken
+how often; a null doc_id is the first in order; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, discard
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_COPIES = 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many documents of a source and size class are sampled by one window.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 #: A rate's fraction in units of 1 / 2**20; terms of the constraints in 1 / 2**10 words.
 UNIT, TERM = 1 << 20, 1 << 10
 
@@ -40,24 +44,35 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """The rows with source_no: their place by source in code points, null last. A sort by ranges, then places within each."""
+    order = F.col("source").asc_nulls_last()
+    parts = cut(sizes.orderBy(order).withColumn("part", F.spark_partition_id()))
+    many = parts.groupBy("part").agg(F.count(F.lit(1)).alias("many"))
+    # As many rows as the sort had partitions.
+    before = many.select("part", (F.sum("many").over(Window.orderBy("part")) - F.col("many")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return parts.withColumn("source_no", within - 1).join(before, "part").withColumn("source_no", (F.col("source_no") + F.col("before")).cast("long")).drop("part", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size) to the same with source_no, weight and target.
 
-    Targets are min(most * source_size, weight * level) with the level at which
-    they add up: what resharing the excess ends in. One task orders the sources,
-    a row each.
+    Targets are weight * level; those above most * source_size stop there, and
+    the excess goes to the others by weight until none is above.
     """
-    every = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("source_no", (F.row_number().over(by_name) - 1).cast("long")).withColumn("weight", cycle)
-    ranked = ranked.withColumn("cap", most * F.col("source_size")).withColumn("all", share * F.sum("source_size").over(every))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    capped = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_weight = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.col("all") - capped) / open_weight
-    ranked = ranked.withColumn("level", F.when(level <= F.col("cap") / F.col("weight"), level))
-    return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.max("level").over(every))).select("source", "source_no", "source_size", "weight", "target")
+    ranked = cut(numbered(sizes).withColumn("weight", cycle).withColumn("cap", most * F.col("source_size")))
+    level = None
+    while True:
+        full = F.lit(False) if level is None else F.col("weight") * level >= F.col("cap")
+        row = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("cap"))).alias("capped"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = (share * (row["all"] or 0) - (row["capped"] or 0)) / row["open"] if row["open"] else level or 0.0
+        if now == level or not row["open"]:
+            break
+        level = now
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level or 0.0)))
+    return ranked.withColumn("target", target).select("source", "source_no", "source_size", "weight", "target")
 
 
 def _rate(multiplier: str, x: str, most: float) -> Column:
@@ -83,7 +98,7 @@ def multipliers(histogram: DataFrame, goal: DataFrame, most: float = MOST_COPIES
             F.sum(F.round("term").cast("long")).alias("value"), F.sum(F.when(F.col("r") < most, F.round(F.col("term") * F.col("x")).cast("long")).otherwise(0)).alias("slope")
         )
         gap, at = F.col("value") / TERM - F.col("target"), F.col("multiplier")
-        state = state.join(sums, "source_no", "left").withColumn("gap", gap)
+        stored, state = state, state.join(sums, "source_no", "left").withColumn("gap", gap)
         state = state.withColumn("low", F.when(F.col("gap") < 0, at).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") > 0, at).otherwise(F.col("high")))
         step = at - F.col("gap") / (F.col("slope") / TERM)
         # A Newton step that leaves the bracket gives way to halving it, on a scale that widens with distance.
@@ -95,6 +110,7 @@ def multipliers(histogram: DataFrame, goal: DataFrame, most: float = MOST_COPIES
             .withColumn("multiplier", F.when(F.col("gap").isNull() | F.col("met"), at).when(inside, step).otherwise(half))
             .select("source_no", "target", "scale", "multiplier", "low", "high", "full", "met")
         )
+        discard(stored)
     return state.select("source_no", "scale", "multiplier")
 
 
@@ -103,11 +119,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
 
     taken is copies * size but for at most one document of a source.
     """
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size")))
+    body = F.col(text).cast("string")
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(body).alias("size"), F.xxhash64(body).alias("tag")))
     histogram = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     goal = cut(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
-    numbered = goal.select(F.col("source").alias("name"), "source_no")
-    histogram = cut(histogram.join(numbered, histogram.source.eqNullSafe(F.col("name"))).select("source_no", "size", "n"))
+    names = goal.select(F.col("source").alias("name"), "source_no")
+    histogram = cut(histogram.join(names, histogram.source.eqNullSafe(F.col("name"))).select("source_no", "size", "n"))
     dual = multipliers(histogram, goal, most)
     # From here on rates are those of (source, size), so they are joined by the histogram's keys.
     solved = goal.join(dual, "source_no", "left")
@@ -117,22 +134,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     rated = rated.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long"))
     # Size classes of an eighth of an octave, dealt to buckets where there are many documents.
     size_class = F.floor(8 * F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
-    many = histogram.withColumn("class", size_class).groupBy("source_no", "class").agg((1 + F.sum("n") / bucket_rows).cast("long").alias("buckets"))
+    many = cut(histogram.withColumn("class", size_class).groupBy("source_no", "class").agg((1 + F.sum("n") / bucket_rows).cast("long").alias("buckets")))
     rated = rated.withColumn("class", size_class).join(many, ["source_no", "class"])
-    rated = cut(rated.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), "buckets").cast("int")).drop("x", "scale", "multiplier", "weight", "buckets"))
-    groups = rated.groupBy("source_no", "class", "bucket").agg(F.sum("part").alias("sum"))
-    before = groups.withColumn("before", F.sum("sum").over(Window.partitionBy("source_no").orderBy("class", "bucket")) - F.col("sum")).drop("sum")
-    along = Window.partitionBy("source_no", "class", "bucket").orderBy("size", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = rated.withColumn("upto", F.sum("part").over(along)).join(before, ["source_no", "class", "bucket"]).withColumn("upto", F.col("upto") + F.col("before") + UNIT // 2)
+    own = F.pmod(F.xxhash64("doc_id", "tag"), "buckets").cast("long")
+    rated = cut(rated.withColumn("bucket", own).drop("x", "scale", "multiplier", "weight", "buckets"))
+    discard(sized)
+    # The sum of parts before a class, and before a bucket of it.
+    groups = cut(rated.groupBy("source_no", "class", "bucket").agg(F.sum("part").alias("sum")))
+    classes = groups.groupBy("source_no", "class").agg(F.sum("sum").alias("sum"))
+    classes = classes.select("source_no", "class", (F.sum("sum").over(Window.partitionBy("source_no").orderBy("class")) - F.col("sum")).alias("earlier"))
+    inside = F.sum("sum").over(Window.partitionBy("source_no", "class").orderBy("bucket")) - F.col("sum")
+    before = cut(groups.withColumn("inside", inside).join(classes, ["source_no", "class"]).select("source_no", "class", "bucket", (F.col("earlier") + F.col("inside")).alias("before")))
+    along = Window.partitionBy("source_no", "class", "bucket").orderBy("size", "doc_id", "tag")
+    drawn = rated.withColumn("place", F.row_number().over(along)).withColumn("upto", F.sum("part").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    drawn = drawn.join(before, ["source_no", "class", "bucket"]).withColumn("upto", F.col("upto") + F.col("before") + UNIT // 2)
     drawn = drawn.withColumn("copies", F.col("whole") + F.floor(F.col("upto") / UNIT) - F.floor((F.col("upto") - F.col("part")) / UNIT)).withColumn("taken", F.col("copies") * F.col("size"))
-    drawn = cut(drawn.select("row", "doc_id", "source", "source_no", "size", "source_size", "target", "rate", "copies", "taken"))
+    drawn = cut(drawn.select("class", "bucket", "place", "doc_id", "tag", "source", "source_no", "size", "source_size", "target", "rate", "copies", "taken"))
+    discard(rated, groups, before)
     # What rounding leaves: one document of the source, that with most room for it, takes it.
-    room = most * F.col("size") - F.col("taken")
-    rest = drawn.groupBy("source_no").agg(
-        F.round(F.first("target") - F.sum("taken")).cast("long").alias("rest"), F.max(F.struct(room.alias("room"), F.col("row"))).alias("more"), F.max(F.struct(F.col("taken").alias("room"), F.col("row"))).alias("less")
-    )
-    rest = rest.withColumn("own", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less"))).select("source_no", "own.row", F.when(F.col("rest") > 0, F.least("rest", "own.room")).otherwise(F.greatest("rest", -F.col("own.room"))).alias("change"))
-    return drawn.join(rest, ["source_no", "row"], "left").select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("taken") + F.coalesce("change", F.lit(0))).alias("taken"))
+    key = ["class", "bucket", "place"]
+    most_of = lambda x: F.max(F.struct(x.alias("room"), "doc_id", "tag", *key))
+    rest = drawn.groupBy("source_no").agg(F.round(F.first("target") - F.sum("taken")).cast("long").alias("rest"), most_of(most * F.col("size") - F.col("taken")).alias("more"), most_of(F.col("taken")).alias("less"))
+    rest = rest.withColumn("own", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less")))
+    rest = rest.select("source_no", *[f"own.{k}" for k in key], F.when(F.col("rest") > 0, F.least("rest", "own.room")).otherwise(F.greatest("rest", -F.col("own.room"))).alias("change"))
+    return drawn.join(rest, ["source_no", *key], "left").select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("taken") + F.coalesce("change", F.lit(0))).alias("taken"))
 
 
 def op1(docs: DataFrame) -> DataFrame:
