@@ -247,14 +247,32 @@ def test_op7_regions_lose_no_link(spark):
         for j in r.choice(120, int(r.integers(0, 6)), replace=False):
             own[j] = f"z{r.integers(3)}"
         texts.append((i, " ".join(own)))
+    for i in range(90, 250):  # a long chain: each differs from the one before by a word, every tenth by ten
+        for j in range(10 if i % 10 == 0 else 1):
+            base[(i * 7 + j * 11) % 120] = f"y{i}-{j}"
+        texts.append((i, " ".join(base)))
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     want = {i: c for i, (_, c) in brute.jaccard_components(texts).items()}
-    sets = jaccard_join.shingle_sets(frame, "text", 4, 85, "sets")
-    members = sets.select(F.lit(0).cast("long").alias("cell"), F.col("doc_id").alias("sid"), "n", "hashes").cache()
-    for levels in (0, 1):  # blocks alone; regions, then blocks
-        links = jaccard_join.links_in_cells(members, 85, 4000, levels)
-        got = {r["node"]: r["component"] for r in components.components(links).collect()}
+    sets = jaccard_join.shingle_sets(frame, "text", 4, 85, "sets").select(F.col("doc_id").alias("sid"), "n", "hashes").cache()
+    cells = sets.select(F.lit(0).cast("long").alias("cell"), "sid", "n")
+    for limit, levels, deepest in ((1 << 30, 6, 1), (4000, 6, 1), (4000, 0, 0)):  # regions inside a task; regions by Spark; blocks alone
+        links = jaccard_join.links_in_cells(cells, sets.drop("n"), 85, limit, levels=levels)
+        got = {r["node"]: r["component"] for r in components.components(links.select("u", "v")).collect()}
         assert {i: got.get(i, i) for i in want} == want
+        assert max(r["level"] for r in links.collect()) >= deepest
+
+
+def test_op7_regions_are_entered(real, monkeypatch):
+    rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
+    sets = [(i, np.unique(np.array([hash(x) & ((1 << 62) - 1) for x in brute.shingles(t)], np.uint64))) for i, t in rows if brute.words(t)]
+    own = jaccard_join._Neighbourhood(np.array([i for i, _ in sets]), [s for _, s in sets], 85)
+    entered = []
+    join = own.join
+    monkeypatch.setattr(own, "join", lambda part, level=0: (entered.append((level, len(part))), join(part, level))[1])
+    own.join(np.arange(len(sets)))
+    want = {i: c for i, (_, c) in brute.jaccard_components(rows).items() if brute.words(dict(rows)[i])}
+    got = {int(i): int(own.ids[own.root == own.root[k]].min()) for k, i in enumerate(own.ids)}
+    assert got == want and len(entered) > 0
 
 
 def test_components(spark):
