@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,51 +62,55 @@ def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def word_order(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES) -> dict[str, int]:
-    """Each template word's place in the global order, rarest first: one aggregate over all texts."""
-    known = sorted({w for t in templates.values() for w in t.split()})
-    found = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_standing(*known)), F.lit(0))).alias("word")).groupBy(_lower(F.col("word")).alias("word")).count()
-    counts = {r["word"]: r["count"] for r in found.collect()}  # a row per template word at most
+def word_order(held: DataFrame, known: list[str]) -> dict[str, int]:
+    """Each template word's place in the global order, rarest first. held: known, a document's template words."""
+    counts = {r["word"]: r["count"] for r in held.select(F.explode("known").alias("word")).groupBy("word").count().collect()}  # a row per template word at most
     return {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> tuple[DataFrame, DataFrame]:
     """A row per document, and every matching block: (row, template, block, matched, score)."""
     spark = docs.sparkSession
+    sets = {name: sorted(set(t.split())) for name, t in templates.items()}
+    needs = {name: math.ceil(containment * len(t) - 1e-9) for name, t in sets.items()}
+    known = sorted({w for t in [*sets.values(), *(p.split() for p in phrases)] for w in t})
+    literal = lambda words: F.array(*map(F.lit, words))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    place = word_order(texts, "text", templates)
-    rows, prefixes = [], set()
-    for name, t in templates.items():
-        words = sorted(set(t.split()), key=place.get)
-        need = math.ceil(containment * len(words) - 1e-9)
-        prefix = words[: len(words) - need + 1]
-        prefixes.update(prefix)
-        rows += [(w, name, i, need, words) for i, w in enumerate(prefix)]
-    prefix_table = spark.createDataFrame(rows, "key string, template string, position int, need int, words array<string>")
-
+    split = texts.withColumn("words", F.split(_lower(F.col("text")), _SEPARATOR + "+"))
+    # Separators at the ends leave an empty word there.
+    ends = F.when(F.element_at("words", 1) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    split = split.select("doc_id", "text", (F.size("words") - ends).cast("long").alias("n_words"), F.array_intersect("words", literal(known)).alias("known"))
     body, base = F.col("text"), _standing(*phrases)
+    holds = lambda words, least: F.size(F.array_intersect("known", literal(words))) >= least
+    either = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    n_base = F.when(either(holds(sorted(set(p.split())), len(set(p.split()))) for p in phrases), _count(body, base)).otherwise(0).cast("long")
+    wrapped = F.filter(F.split(body, _WRAPPED_END), lambda x: F.regexp_like(x, F.lit(r"[\n\r]")))
+    blocks = F.when(either(holds(t, needs[name]) for name, t in sets.items()), F.concat(F.split(body, _BLOCK_END), wrapped))
+    split = split.withColumn("n_base", n_base)
     hit = F.col("n_base") > 0
     first = F.when(hit, _count(F.regexp_extract(body, r"(?s)^(.*?)" + base, 1), _WORD + "+"))
     last = F.when(hit, _count(F.regexp_extract(body, r"(?s)^(.*)" + base, 1), _WORD + "+"))
     labels = F.array_compact(F.array(*[F.when(hit & F.regexp_like(body, F.lit(_standing(p))), F.lit(x)) for p, x in phrases.items()]))
-    wrapped = F.filter(F.split(body, _WRAPPED_END), lambda x: F.regexp_like(x, F.lit(r"[\n\r]")))
-    blocks = F.when(F.regexp_like(body, F.lit(_standing(*sorted(prefixes)))), F.concat(F.split(body, _BLOCK_END), wrapped))
-    scanned = cut(
-        texts.withColumn("n_base", _count(body, base))
-        .withColumn("n_words", _count(body, _WORD + "+"))
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "n_base", first.alias("first_word"), last.alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), blocks.alias("blocks"))
-    )
+    scanned = cut(split.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "n_base", first.alias("first_word"), last.alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), "known", blocks.alias("blocks")))
+
+    place = word_order(scanned, known)
+    rows = []
+    for name, t in sets.items():
+        words = sorted(t, key=place.get)
+        rows += [(w, name, i, needs[name], words) for i, w in enumerate(words[: len(words) - needs[name] + 1])]
+    prefix_table = spark.createDataFrame(rows, "key string, template string, position int, need int, words array<string>")
     held = scanned.filter("blocks IS NOT NULL").select("row", F.posexplode("blocks").alias("block", "line"))
     held = held.withColumn("words", F.array_distinct(F.split(_lower(F.col("line")), _SEPARATOR + "+")))
     # The block's template words, in global order.
     order = F.create_map(*[x for w, i in place.items() for x in (F.lit(w), F.lit(i))])
-    known = F.array_intersect("words", F.array(*[F.lit(w) for w in place]))
-    held = held.select("row", "block", F.size("words").alias("n"), F.transform(F.array_sort(F.transform(known, lambda w: F.struct(order[w].alias("i"), w.alias("w")))), lambda s: s["w"]).alias("known"))
+    own = F.array_intersect("words", literal(known))
+    held = held.select("row", "block", F.size("words").alias("n"), own.alias("known")).filter(F.size("known") >= min(needs.values(), default=1))
+    held = held.withColumn("known", F.transform(F.array_sort(F.transform("known", lambda w: F.struct(order[w].alias("i"), w.alias("w")))), lambda s: s["w"]))
     keys = held.select("row", "block", "n", "known", F.posexplode("known").alias("at", "key")).join(F.broadcast(prefix_table), "key")
     keys = keys.filter((F.col("n") >= F.col("need")) & (F.size("known") - F.col("at") >= F.col("need")) & (F.size("words") - F.col("position") >= F.col("need")))
     matches = keys.withColumn("matched", F.size(F.array_intersect("known", "words"))).filter("matched >= need")
     matches = matches.groupBy("row", "template", "block").agg(F.max("matched").alias("matched"), F.max(F.col("matched") / F.size("words")).alias("score"))
-    return scanned.drop("blocks"), matches
+    return scanned.drop("blocks", "known"), matches
 
 
 def op8(docs: DataFrame) -> DataFrame:
