@@ -1,28 +1,31 @@
 """Exact top-k search by ball trees, one per shard of the vectors.
 
-Vectors are dealt to shards by a hash of their id. A shard builds a ball tree;
-for each query it visits nodes in order of their upper bound on the inner
-product (centre's product plus radius times the query's norm) and stops when
-the bound is below the query's current kth score. That score is shared: a first
-pass searches each query's home shard only, and its kth score, a lower bound of
-the final one, goes with the query to all other shards.
-
-Queries meet shards in blocks: a task holds one shard's vectors and one block of
+Vectors are dealt to shards by a hash of their id. A shard's ball tree is built
+once and stored; for each query a task visits its nodes in order of their upper
+bound on the inner product (centre's product plus radius times the query's norm)
+and stops when the bound is below the query's current kth score. That score is
+shared: a first pass searches each query's home shard only, and its kth score, a
+lower bound of the final one, goes with the query to all other shards.
+
+Queries meet shards in blocks: a task holds one shard's tree and one block of
 queries, both of bounded size. Equal vectors are collapsed within a shard to
 their k + 1 smallest ids, which is all that ties can ask for.
 
-Components are floor(levels * x) as integers, so scores are exact.
+Components are floor(levels * x) as integers, so scores are exact; where products
+could pass 2**62, which 64-bit sums don't hold, the search stops with an error.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 take no part; neither do rows with a null id; vectors of different lengths are
 compared only with their equals in length; a repeated vec_id counts as one
-candidate per row, none of them for a query of that id; an empty table gives an
-empty result; extra columns are ignored.
+candidate per distinct vector, none of them for a query of that id, and asks as one
+query, with its least vector; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,8 @@ class BallTree:
     """A ball tree over integer vectors; nodes are ranges of a permutation."""
 
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
+        if len(vectors) and float(np.abs(vectors.astype(np.float64)).max()) ** 2 * vectors.shape[1] >= 2.0**62:
+            raise OverflowError("components are too large for exact scores of 64 bits")
         self.order, self.nodes = np.arange(len(vectors)), []
         x = vectors.astype(np.float64)
         stack = [(0, len(vectors), -1)] if len(vectors) else []
@@ -52,8 +57,8 @@ class BallTree:
             centre = x[own].mean(axis=0)
             away = ((x[own] - centre) ** 2).sum(axis=1)
             node = len(self.nodes)
-            # Rounding of the bound is covered by a margin far above it and below one score unit.
-            self.nodes.append([centre, float(np.sqrt(away.max())) + 1e-6, a, b, []])
+            far_off = float(np.sqrt(away.max()))
+            self.nodes.append([centre, far_off + 1e-6 + 1e-9 * far_off, a, b, []])
             if parent >= 0:
                 self.nodes[parent][4].append(node)
             if b - a <= leaf or away.max() == 0:
@@ -72,7 +77,9 @@ class BallTree:
         best: list[tuple[int, int]] = []
         q = query.astype(np.float64)
         norm = float(np.sqrt(q @ q))
-        bound = lambda i: float(self.nodes[i][0] @ q) + self.nodes[i][1] * norm + 1e-3
+        # Rounding of the bound is covered by a margin far above it.
+        rounding = 1e-3 + 1e-12 * norm * float(np.abs(self.vectors).max(initial=0)) * len(q)
+        bound = lambda i: float(self.nodes[i][0] @ q) + self.nodes[i][1] * norm + rounding
         heap = [(-bound(0), 0)] if self.nodes else []
         while heap:
             up, i = heapq.heappop(heap)
@@ -97,21 +104,34 @@ class BallTree:
         return best
 
 
+def _trees(vectors: DataFrame, k: int) -> DataFrame:
+    """(dim, shard, tree): the ball tree of each shard with its ids, pickled."""
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        ids, x = part["vec_id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.int64)
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id]
+        # Of equal vectors, the k + 1 smallest ids, each once.
+        _, same = np.unique(x, axis=0, return_inverse=True)
+        own = pd.DataFrame({"same": same.ravel(), "id": ids})
+        own = own[~own.duplicated()]
+        own = own[own.groupby("same").cumcount() <= k]
+        ids, x = ids[own.index], x[own.index]
+        return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "tree": [pickle.dumps((ids, BallTree(x)), protocol=5)]})
+
+    return vectors.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
+
+
 def _search_shard(k: int):  # noqa: ANN202
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
-        if len(vectors) and len(queries):
-            ids = vectors["vec_id"].to_numpy(np.int64)
-            x = np.stack(vectors["v"].to_numpy()).astype(np.int64)
-            by_id = np.argsort(ids, kind="stable")
-            ids, x = ids[by_id], x[by_id]
-            # Of equal vectors, the k + 1 smallest ids.
-            _, same = np.unique(x, axis=0, return_inverse=True)
-            seen = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy() <= k
-            ids, x = ids[seen], x[seen]
-            tree = BallTree(x)
+        if len(trees) and len(queries):
+            ids, tree = pickle.loads(trees["tree"].iloc[0])
             for n, q, least in zip(queries["query_id"], queries["v"], queries["least"], strict=True):
-                out += [(n, -i, s) for s, i in tree.search(np.asarray(q, np.int64), n, ids, k, -np.inf if pd.isna(least) else float(least))]
+                q = np.asarray(q, np.int64)
+                if float(np.abs(q.astype(np.float64)).max()) * float(np.abs(tree.vectors.astype(np.float64)).max()) * len(q) >= 2.0**62:
+                    raise OverflowError("components are too large for exact scores of 64 bits")
+                out += [(n, -i, s) for s, i in tree.search(q, n, ids, k, -np.inf if pd.isna(least) else float(least))]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -119,20 +139,23 @@ def _search_shard(k: int):  # noqa: ANN202
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """vectors: vec_id, v array<long>; queries: query_id, v. Returns query_id, rank, vec_id, score."""
+    queries = cut(queries.filter(F.size("v") > 0).groupBy("query_id").agg(F.min("v").alias("v")))
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_queries))
     deal = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
-    vectors = vectors.withColumn("dim", F.size("v")).withColumn("shard", deal("vec_id", shards))
+    trees = cut(_trees(vectors.filter(F.size("v") > 0).withColumn("dim", F.size("v")).withColumn("shard", deal("vec_id", shards)), k))
     queries = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("home", deal("query_id", shards))
-    spread = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys, schema = ["dim", "shard", "block"], "query_id long, vec_id long, score long"
-    home = queries.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("double"))
-    first = cut(spread.groupBy(*keys).cogroup(home.groupBy(*keys)).applyInPandas(_search_shard(k), schema))
-    floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        spread = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search_shard(k), schema)
+
+    first = cut(searched(queries.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("double"))))
     if shards > 1:
+        floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
         away = queries.join(floor, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard != home")
-        spread = cut(vectors).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        first = first.unionByName(spread.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInPandas(_search_shard(k), schema))
+        first = first.unionByName(searched(away))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a shard at most
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -141,7 +164,9 @@ def quantised(rows: DataFrame, vector: str = "embedding", levels: int = LEVELS)
     """(vec_id, v): components as floor(levels * x), rows without a finite vector left out."""
     x = F.col(vector).cast("array<double>")
     fine = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))
-    v = F.transform(x, lambda c: F.floor(c * levels).cast("long"))
+    # Beyond 62 bits a component stands for one that the search refuses.
+    most = float(1 << 62)
+    v = F.transform(x, lambda c: F.floor(F.greatest(F.least(c * levels, F.lit(most)), F.lit(-most))).cast("long"))
     return rows.filter(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
