@@ -153,7 +153,7 @@ def test_op3_votes_are_exact(spark, real):
 
 
 # --- op4 -----------------------------------------------------------------------------
-@pytest.mark.parametrize("limits", [{}, {"copy_ids": 0}, {"copy_ids": 0, "bitmap_bits": 8}])
+@pytest.mark.parametrize("limits", [{}, {"copy_ids": 0}, {"copy_ids": 0, "screen_bytes": 8}])
 def test_op4_same_as_plain(docs, plain, limits):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(docs, **limits).collect()}
     assert got == brute.substring_dedup(plain)
@@ -169,6 +169,31 @@ def test_op4_null_doc_id_beside_copies(spark, limits, none):
     assert got == brute.substring_dedup([(last if i is None else i, t) for i, t in rows])
 
 
+def test_op4_repeated_doc_ids(spark):
+    rows = [(3, BODY), (3, "other " + " ".join(f"k{i}" for i in range(30))), (8, BODY + " tail"), (8, "head k1 k2 " + BODY), (None, BODY), (None, " ".join(f"k{i}" for i in range(30)))]
+    frame = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    for limits in ({}, {"screen_bytes": 8}):
+        got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(frame, **limits).collect()}
+        assert got == {(3, 60, 0), (3, 31, 0), (8, 61, 60), (8, 63, 60), (None, 60, 60), (None, 30, 30)}
+
+
+def test_op4_sketch_never_underestimates(real):
+    words = substring_dedup.words_for(real)
+    table = np.zeros((substring_dedup.DEPTH, words), np.uint64)
+    for r in substring_dedup.sketch(real, words).collect():
+        table[:, r["block"] * substring_dedup.BLOCK_WORDS : (r["block"] + 1) * substring_dedup.BLOCK_WORDS] = substring_dedup._as_words(r["held"])
+    counts = {}
+    for r in real.collect():
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        _, _, owner, low = substring_dedup._parts(_words.Words(raw, np.array([0, len(raw)])), 13, 8)
+        for x in low[substring_dedup._stretches(low, owner)].tolist():
+            counts[x] = counts.get(x, 0) + 1
+    low = np.array(list(counts), np.uint64)
+    many = np.array(list(counts.values())) >= 2
+    said = substring_dedup._repeated(table, words, low)
+    assert said[many].all() and said[~many].mean() < 0.05 and many.any()
+
+
 def test_op4_real_and_empty(real, empty):
     rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
     want = {i: (n, k, brute.sha(t)) for i, (n, k, t) in brute.substring_dedup(rows).items()}
@@ -326,6 +351,17 @@ def test_op9_exact_with_ties_and_bad_vectors(spark):
     assert top_k.op9(frame.limit(0)).count() == 0
 
 
+def test_op9_repeated_ids_and_large_components(spark):
+    rows = [(50, [0.5, 0.25])] * 10 + [(i, [0.5, 0.25]) for i in (61, 60, 62)] + [(70, [0.1, 0.1])] * 3 + [(71, [0.1, 0.0]), (72, []), (None, [0.1, 0.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k.op9(frame).orderBy("rank").collect()]
+    same, tenth = 128 * 128 + 64 * 64, 25 * (128 + 64)
+    assert got == [(50, 1, 60, same), (50, 2, 61, same), (50, 3, 62, same), (50, 4, 70, tenth), (50, 5, 71, 25 * 128)]
+    for large in (1e9, 1e300):
+        with pytest.raises(Exception, match="too large"):
+            top_k.op9(spark.createDataFrame([(0, [large] * 8), (1, [large] * 8)], "vec_id long, embedding array<double>")).collect()
+
+
 # --- op10 ----------------------------------------------------------------------------
 def expected_groups(rows):
     groups = {}
