@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -15,15 +16,13 @@ def _dump(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _walk(value: Any, change: Callable[[str], Any], deep: bool = True, level: int = 0) -> Any:
+def _walk(value: Any, change: Callable[[str], Any]) -> Any:
     if isinstance(value, str):
         return change(value)
-    if level and not deep:
-        return value
     if isinstance(value, dict):
-        return {k: _walk(v, change, deep, level + 1) for k, v in value.items()}
+        return {k: _walk(v, change) for k, v in value.items()}
     if isinstance(value, list):
-        return [_walk(v, change, deep, level + 1) for v in value]
+        return [_walk(v, change) for v in value]
     return value
 
 
@@ -34,22 +33,69 @@ def _stub(text: str, ref: str, most: int, preview: int) -> Any:
     return {"truncated": True, "ref": ref, "bytes": n, "tokens_est": (n + 2) // 4, "preview": text[:preview]}
 
 
-def deep_truncate(value: Column, ref: Column, most: int, preview: int = 500, top_level: bool = False) -> Column:
-    """JSON text with every string over `most` bytes as a stub; at the top level only, if so asked. Bad JSON stays."""
-
-    @F.pandas_udf("string")
-    def cut(values: pd.Series, refs: pd.Series) -> pd.Series:
-        def one(text: str | None, where: str) -> str | None:
-            if text is None or len(text) * 4 <= most:
-                return text
-            try:
-                return _dump(_walk(json.loads(text), lambda s: _stub(s, where, most, preview), not top_level))
-            except ValueError:
-                return text
-
-        return pd.Series([one(t, w) for t, w in zip(values, refs, strict=True)])
+#: Keys of an entry that are not part of its payload.
+ENTRY_KEYS = ("uuid", "parentUuid", "timestamp", "sessionId", "type", "cwd", "gitBranch", "version", "isSidechain", "userType", "agentId")
+_CONDENSED = "struct<json:string,stubbed:boolean,orig:long,inlined:long>"
+_SPILLED = re.compile(r"<persisted-output>\nOutput too large \(([^)]*)\)\. Full output saved to: ([^\n]+)\n\nPreview \([^)]*\):\n(.*)", re.DOTALL)
+
+
+class _Condenser:
+    """Condenses one JSON value; stubs tells whether it put in any."""
+
+    def __init__(self, ref: str, most: int, preview: int):
+        self.ref, self.most, self.preview, self.stubs = ref, most, preview, False
+
+    def text(self, s: Any) -> Any:
+        out = _stub(s, self.ref, self.most, self.preview) if isinstance(s, str) else s
+        self.stubs |= out is not s
+        return out
+
+    def deep(self, value: Any) -> Any:
+        return _walk(value, self.text)
+
+    def result(self, content: Any) -> Any:
+        if isinstance(content, str) and (spilled := _SPILLED.match(content)):
+            n, self.stubs = len(content.encode()), True
+            return {"truncated": True, "ref": "spill/" + spilled[2].rsplit("/", 1)[-1], "bytes": n, "tokens_est": (n + 2) // 4, "preview": spilled[3].removesuffix("\n</persisted-output>")}
+        if isinstance(content, list):
+            return [self.block(b) for b in content]
+        return self.deep(content)
+
+    def block(self, b: Any) -> Any:
+        kind = b.get("type") if isinstance(b, dict) else None
+        if kind == "tool_use":
+            given = b.get("input")
+            cut = {k: self.text(v) for k, v in given.items()} if isinstance(given, dict) else given
+            return {"type": kind, "id": b.get("id"), "name": b.get("name"), "input": cut}
+        if kind == "tool_result":
+            return {"type": kind, "tool_use_id": b.get("tool_use_id"), "result": self.result(b.get("content"))} | ({"is_error": True} if b.get("is_error") else {})
+        if kind in ("text", "thinking"):
+            return {"type": kind, kind: self.text(b.get(kind))} | ({"signature": self.text(b["signature"])} if kind == "thinking" and "signature" in b else {})
+        if kind == "image":
+            source = b.get("source")
+            kept = {k: source[k] for k in ("type", "media_type") if k in source} | {"data": self.deep(source.get("data"))} if source else None
+            return {"type": kind} | ({"source": kept} if source else {})
+        return self.deep(b)
+
+
+def condensed(value: Column, ref: Column, most: int, whole_entry: bool = False, preview: int = 500) -> Column:
+    """A content block, or an entry's payload, as condensed JSON: json, whether it holds a stub, bytes before and after."""
+
+    @F.pandas_udf(_CONDENSED)
+    def cut(values: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, where in zip(values, refs, strict=True):
+            if text is None:
+                out.append((None, None, None, None))
+                continue
+            given, c = json.loads(text), _Condenser(where, most, preview)
+            if whole_entry:
+                given = {k: v for k, v in given.items() if k not in ENTRY_KEYS}
+            done = _dump(c.deep(given) if whole_entry else c.block(given))
+            out.append((done, c.stubs, len(_dump(given).encode()), len(done.encode())))
+        return pd.DataFrame(out, columns=["json", "stubbed", "orig", "inlined"])
 
-    return F.when(F.octet_length(value) > most, cut(value, ref)).otherwise(value)
+    return cut(value, ref)
 
 
 def sweep(value: Column, most: int, preview: int = 100) -> Column:
@@ -59,7 +105,7 @@ def sweep(value: Column, most: int, preview: int = 100) -> Column:
     def cut(values: pd.Series) -> pd.Series:
         def note(s: str) -> str:
             n = len(s.encode())
-            return s if n <= most else f"[truncated: {n} bytes; preview: {s[:preview]}]"
+            return s if n <= most else f"[truncated: {n} bytes; preview: {s[:preview]}…]"
 
         def one(text: str | None) -> str | None:
             try:
@@ -89,7 +135,10 @@ def pretty(value: Column) -> Column:
 
 
 def with_ids(raw: Column, ids: Column) -> Column:
-    """A JSON entry with those of its top-level keys replaced that ids, a map, names; absent keys stay absent."""
+    """A JSON entry with those of its top-level keys replaced that ids, a map, names, and its message's id by `message.id`.
+
+    Absent keys stay absent; of promptId, requestId and message.id only strings are replaced.
+    """
 
     @F.pandas_udf("string")
     def put(texts: pd.Series, new: pd.Series) -> pd.Series:
@@ -97,7 +146,13 @@ def with_ids(raw: Column, ids: Column) -> Column:
             if text is None:
                 return None
             own, entry = dict(own or {}), json.loads(text)
-            return _dump({k: own.get(k, v) if k in own else v for k, v in entry.items()})
+            routing = {k: own.pop(k) for k in ("promptId", "requestId", "message.id") if k in own}
+            entry |= {k: own[k] for k in entry.keys() & own.keys()}
+            entry |= {k: routing[k] for k in entry.keys() & routing.keys() if isinstance(entry[k], str)}
+            message = entry.get("message")
+            if "message.id" in routing and isinstance(message, dict) and isinstance(message.get("id"), str):
+                message["id"] = routing["message.id"]
+            return _dump(entry)
 
         return pd.Series([one(t, n) for t, n in zip(texts, new, strict=True)])
 

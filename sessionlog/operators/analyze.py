@@ -6,7 +6,7 @@ each task, and lists are bounded by what one session holds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.functions.text import trim_all
@@ -23,6 +23,10 @@ def _real(entries: DataFrame) -> DataFrame:
     return entries.filter((F.col("type") == "assistant") & (F.col("model") != SYNTHETIC))
 
 
+def _is_real() -> Column:
+    return (F.col("type") == "assistant") & F.coalesce(F.col("model") != SYNTHETIC, F.lit(False))
+
+
 def _sums() -> list:
     return [F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in COUNTERS]
 
@@ -34,8 +38,7 @@ def tokens_by_model(entries: DataFrame) -> DataFrame:
 
 def token_totals(entries: DataFrame) -> DataFrame:
     """A2: token sums of each session, zeros where no model answered."""
-    real = (F.col("type") == "assistant") & F.coalesce(F.col("model") != SYNTHETIC, F.lit(False))
-    return entries.groupBy("session_id").agg(*[F.coalesce(F.sum(F.when(real, F.col(c))), F.lit(0)).cast("long").alias(c) for c in COUNTERS])
+    return entries.groupBy("session_id").agg(*[F.coalesce(F.sum(F.when(_is_real(), F.col(c))), F.lit(0)).cast("long").alias(c) for c in COUNTERS])
 
 
 def token_rollup(entries: DataFrame) -> DataFrame:
@@ -90,8 +93,10 @@ def tool_result_index(blocks: DataFrame) -> DataFrame:
 
 
 def failures(blocks: DataFrame) -> DataFrame:
-    """Failed results with the call that each answers."""
-    failed = blocks.filter("type = 'tool_result' AND is_error = true").select("session_id", "ix", "block_ix", F.col("tool_use_id").alias("tool_id"), F.col("content").alias("error"))
+    """Failed results with the call that each answers; of an array the error is its text blocks, a line each, else its JSON."""
+    texts = F.transform(F.filter(F.from_json("content", "array<string>"), lambda x: F.get_json_object(x, "$.type") == "text"), lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.lit("")))
+    error = F.when((F.col("content_kind") == "array") & (F.size(texts) > 0), F.array_join(texts, "\n")).otherwise(F.col("content"))
+    failed = blocks.filter("type = 'tool_result' AND is_error = true").select("session_id", "ix", "block_ix", F.col("tool_use_id").alias("tool_id"), error.alias("error"))
     joined = failed.join(tool_use_index(blocks), ["session_id", "tool_id"], "left")
     return joined.select("session_id", "ix", "block_ix", F.col("tool_id").alias("tool_use_id"), F.coalesce("tool_name", F.lit("unknown")).alias("tool_name"), "input", "error")
 
@@ -107,11 +112,10 @@ def subagents(entries: DataFrame, task_calls: DataFrame) -> DataFrame:
     entries: those of subagents, with parent_session_id. task_calls: session_id,
     ix, block_ix.
     """
-    real = (F.col("type") == "assistant") & F.coalesce(F.col("model") != SYNTHETIC, F.lit(False))
     subs = entries.filter("parent_session_id IS NOT NULL").groupBy("parent_session_id", "session_id").agg(
         F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("ix"))).alias("first_ts"),
         F.count(F.lit(1)).alias("turn_count"),
-        *[F.coalesce(F.sum(F.when(real, F.col(c))), F.lit(0)).cast("long").alias(c) for c in COUNTERS],
+        *[F.coalesce(F.sum(F.when(_is_real(), F.col(c))), F.lit(0)).cast("long").alias(c) for c in COUNTERS],
     )
     subs = subs.withColumn("n", F.row_number().over(Window.partitionBy("parent_session_id").orderBy(F.col("first_ts").asc_nulls_last(), "session_id")))
     calls = task_calls.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("ix", "block_ix"))).select(F.col("session_id").alias("parent_session_id"), "n", F.col("ix").alias("parent_ix"))
@@ -126,9 +130,10 @@ def spills(blocks: DataFrame) -> DataFrame:
 
 
 def permission_events(entries: DataFrame) -> DataFrame:
-    """Changes of permission mode and hook decisions. entries: with permission_mode and attachment_type."""
+    """Changes of permission mode and hook decisions, with their details as JSON. entries: with permission_mode, attachment_type and attachment."""
     mode, hook = F.col("type") == "permission-mode", (F.col("type") == "attachment") & F.col("attachment_type").isin(*HOOK_ATTACHMENTS)
-    return entries.filter(mode | hook).select("session_id", "ix", F.when(mode, "permission_mode").otherwise(F.col("attachment_type")).alias("kind"), F.when(mode, F.col("permission_mode")).alias("mode"))
+    details = F.when(mode, F.to_json(F.struct(F.col("permission_mode").alias("mode")))).otherwise(F.col("attachment"))
+    return entries.filter(mode | hook).select("session_id", "ix", F.when(mode, "permission_mode").otherwise(F.col("attachment_type")).alias("kind"), F.when(mode, F.col("permission_mode")).alias("mode"), details.alias("details"))
 
 
 def compaction_phases(entries: DataFrame, boundary: str = "is_boundary") -> DataFrame:
@@ -140,9 +145,11 @@ def compaction_phases(entries: DataFrame, boundary: str = "is_boundary") -> Data
     return phased.groupBy("session_id", "phase").agg(F.min("ix").alias("start_ix"), F.max("ix").alias("end_ix"), F.min_by(size, F.when(real, F.col("ix"))).alias("baseline_tokens"))
 
 
-def usage_rollup(entries: DataFrame) -> DataFrame:
-    """Token sums over all logs, one row."""
-    return token_totals(entries).agg(*[F.sum(c).alias(c) for c in COUNTERS], F.count(F.lit(1)).alias("sessions"))
+def usage_rollup(entries: DataFrame, by: str | None = None) -> DataFrame:
+    """Token sums over all logs, or over those of each value of a column, such as their folder; null sums where there are no entries."""
+    keys = [] if by is None else [by]
+    per = entries.groupBy(*keys, "session_id").agg(*[F.coalesce(F.sum(F.when(_is_real(), F.col(c))), F.lit(0)).cast("long").alias(c) for c in COUNTERS])
+    return per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS], F.count(F.lit(1)).alias("sessions"))
 
 
 def result_tokens(messages: DataFrame) -> DataFrame:
@@ -155,16 +162,25 @@ def result_tokens(messages: DataFrame) -> DataFrame:
 
 
 def analyze(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row a session, its sections nested."""
-    def section(rows: DataFrame, name: str) -> DataFrame:
-        columns = [c for c in rows.columns if c != "session_id"]
+    """One row a session, its eleven sections nested; a section without rows is an empty list."""
+    def section(rows: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
+        columns = [*order, *(c for c in rows.columns if c not in ("session_id", *order))]
         return rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
-    out = entries.groupBy("session_id").agg(F.count(F.lit(1)).alias("turn_count"))
+    def has(columns: str) -> bool:
+        return set(columns.split()) <= set(entries.columns)
+
     parts = {
-        "tokens_by_model": tokens_by_model(entries), "tools": tool_counts(blocks), "files": files_touched(blocks), "read_without_write": read_without_write(blocks),
-        "bash": bash_clusters(blocks), "churn": file_churn(blocks), "failures": failures(blocks), "density": token_density(entries), "spills": spills(blocks),
+        "tokens_by_model": (tokens_by_model(entries), ("model",)), "tools": (tool_counts(blocks), ("tool_name",)), "files": (files_touched(blocks), ("path",)), "read_without_write": (read_without_write(blocks), ("path",)),
+        "bash": (bash_clusters(blocks), ("position",)), "churn": (file_churn(blocks), ("path",)), "failures": (failures(blocks), ("ix", "block_ix")), "density": (token_density(entries), ("ix",)), "spills": (spills(blocks), ("ix",)),
     }
-    for name, rows in parts.items():
-        out = out.join(section(rows, name), "session_id", "left")
+    tasks = blocks.filter("type = 'tool_use' AND tool_name = 'Task'").select("session_id", "ix", "block_ix")
+    parts["subagents"] = (subagents(entries, tasks), ("subagent",))
+    if has("permission_mode attachment_type attachment"):
+        parts["permissions"] = (permission_events(entries), ("ix",))
+    if has("is_boundary"):
+        parts["phases"] = (compaction_phases(entries), ("phase",))
+    out = entries.groupBy("session_id").agg(F.count(F.lit(1)).alias("turn_count"))
+    for name, (rows, order) in parts.items():
+        out = out.join(section(rows, name, order), "session_id", "left").withColumn(name, F.coalesce(name, F.array()))
     return out.join(token_totals(entries), "session_id", "left")

@@ -2,60 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlog.functions.jsonwalk import deep_truncate
+from sessionlog.functions.jsonwalk import condensed
 from sessionlog.functions.text import json_quote, stub, turn_ref
 
+from .analyze import tool_use_index
+
 MAX_INLINE = 2048
 
 
 def condensed_texts(entries: DataFrame, most: int = MAX_INLINE) -> DataFrame:
-    """C1, C7, C8 for plain contents: the text, or a stub of it where it is over `most` bytes."""
+    """C1 over plain contents: the text, or a stub of it where it is over `most` bytes."""
     cut = stub(F.col("content_text"), turn_ref(F.col("ix")), most)
-    role = F.when(F.col("type").isin("user", "assistant", "system", "summary", "attachment"), F.col("type")).otherwise("other")
-    return entries.select("session_id", "ix", role.alias("role"), F.when(cut.isNull(), F.col("content_text")).alias("content"), cut.alias("stub"))
+    return entries.select("session_id", "ix", role(F.col("type")).alias("role"), F.when(cut.isNull(), F.col("content_text")).alias("content"), cut.alias("stub"))
 
 
 def condensed_blocks(blocks: DataFrame, most: int = MAX_INLINE) -> DataFrame:
-    """Blocks with inputs and results cut; `stubbed` tells which hold a stub."""
-    given = deep_truncate(F.col("input"), turn_ref(F.col("ix")), most, top_level=True)
-    spilled = F.startswith("content", F.lit("<persisted-output>"))
-    spill = F.concat(F.lit("spill/"), F.regexp_extract("content", r"Full output saved to: (?:[^\n]*/)?([^\n/]+)", 1))
-    whole = F.when(F.col("content_kind") == "string", F.when(spilled, stub(F.col("content"), spill, -1)).otherwise(stub(F.col("content"), turn_ref(F.col("ix")), most)))
-    content = F.when(whole.isNotNull(), F.to_json(whole)).when(F.col("content_kind") == "string", F.col("content")).otherwise(deep_truncate(F.col("content"), turn_ref(F.col("ix")), most))
-    return blocks.withColumn("condensed_input", F.when(F.octet_length("input") > most, given).otherwise(F.col("input"))).withColumn("condensed_content", content).withColumn(
-        "stubbed", F.coalesce((F.col("condensed_input") != F.col("input")) | whole.isNotNull() | (F.col("condensed_content") != F.col("content")), F.lit(False))
-    )
-
-
-def text_stats(entries: DataFrame, most: int = MAX_INLINE) -> DataFrame:
-    """Per kind, and in all where kind is null: how many texts, their bytes, bytes kept, and how many were cut."""
-    cut = stub(F.col("content_text"), turn_ref(F.col("ix")), most)
-    kept = F.octet_length(F.when(cut.isNull(), json_quote(F.col("content_text"))).otherwise(F.to_json(cut)))
-    rows = entries.filter("content_text IS NOT NULL").select("session_id", F.concat("type", F.lit(":text")).alias("kind"), F.octet_length("content_text").alias("orig"), kept.alias("kept"), cut.isNotNull().alias("cut"))
-    return rows.rollup("session_id", "kind").agg(F.count(F.lit(1)).alias("texts"), F.sum("orig").cast("long").alias("orig_bytes"), F.sum("kept").cast("long").alias("inlined_bytes"), F.count_if("cut").alias("truncated"), F.grouping("session_id").alias("all")).filter("all = 0").drop("all")
+    """session_id, ix, block_ix, type, json (the condensed block), stubbed, orig and inlined (bytes before and after).
+
+    The walk over a block is one Python step in Arrow batches; its result is exploded
+    from an array of one, so that no column builds it anew.
+    """
+    cut = F.array(condensed(F.col("block"), turn_ref(F.col("ix")), most))
+    names = [c for c in ("tool_name", "tool_use_id") if c in blocks.columns]
+    return blocks.select("session_id", "ix", "block_ix", "type", *names, F.explode(cut).alias("cut")).select("session_id", "ix", "block_ix", "type", *names, "cut.*")
+
+
+def condensed_payloads(entries: DataFrame, most: int = MAX_INLINE) -> DataFrame:
+    """Of entries that aren't messages, what isn't metadata: session_id, ix, type, json, stubbed, orig, inlined."""
+    cut = F.array(condensed(F.col("raw"), turn_ref(F.col("ix")), most, whole_entry=True))
+    others = entries.filter(~F.col("type").isin("user", "assistant"))
+    return others.select("session_id", "ix", "type", F.explode(cut).alias("cut")).select("session_id", "ix", "type", "cut.*")
+
+
+def _plain(entries: DataFrame, most: int) -> DataFrame:
+    """User texts that are one string: session_id, ix, type, json, stubbed, orig, inlined."""
+    text = F.col("content_text")
+    cut = stub(text, turn_ref(F.col("ix")), most)
+    rows = entries.filter("type = 'user' AND content_text IS NOT NULL").select("session_id", "ix", "type", F.when(cut.isNull(), json_quote(text)).otherwise(F.to_json(cut)).alias("json"), cut.isNotNull().alias("stubbed"), F.octet_length(text).cast("long").alias("orig"))
+    return rows.withColumn("inlined", F.octet_length("json").cast("long"))
+
+
+def role(kind: Column) -> Column:
+    """S6."""
+    return F.when(kind.isin("user", "assistant", "system", "summary", "attachment"), kind).otherwise("other")
+
+
+def condensed_entries(entries: DataFrame, blocks: DataFrame, most: int = MAX_INLINE) -> DataFrame:
+    """Every entry condensed: ref, parent_ix, role, type, ts, content (JSON), stubbed, tokens (C7), synthetic."""
+    each = condensed_blocks(blocks, most).groupBy("session_id", "ix").agg(F.array_sort(F.collect_list(F.struct("block_ix", "json"))).alias("parts"), F.bool_or("stubbed").alias("stubbed"))
+    lists = each.select("session_id", "ix", F.concat(F.lit("["), F.array_join(F.transform("parts", lambda x: x["json"]), ","), F.lit("]")).alias("content"), "stubbed")
+    single = _plain(entries, most).unionByName(condensed_payloads(entries, most)).select("session_id", "ix", F.col("json").alias("content"), "stubbed")
+    uses = F.when((F.col("type") == "assistant") & F.col("has_usage"), F.struct(F.col("input_tokens").alias("in"), F.col("output_tokens").alias("out"), "cache_read", "cache_write"))
+    ref = F.when(F.coalesce("uuid", F.lit("")) != "", F.concat(F.lit("uuid:"), "uuid")).otherwise(F.concat(F.lit("ix:"), F.col("ix").cast("string")))
+    head = entries.select("session_id", "ix", ref.alias("ref"), role(F.col("type")).alias("role"), "type", "ts", uses.alias("tokens"), F.coalesce((F.col("type") == "assistant") & (F.col("model") == "<synthetic>"), F.lit(False)).alias("synthetic"))
+    out = head.join(parent_ix(entries), ["session_id", "ix"], "left").join(lists.unionByName(single), ["session_id", "ix"], "left")
+    return out.withColumn("content", F.coalesce("content", F.lit("[]"))).withColumn("stubbed", F.coalesce("stubbed", F.lit(False)))
+
+
+def condense_stats(entries: DataFrame, blocks: DataFrame, most: int = MAX_INLINE) -> DataFrame:
+    """Per kind, and in all where kind is null: count, orig_bytes, inlined_bytes, truncated. Blocks inside a result aren't counted again."""
+    names = tool_use_index(blocks).select("session_id", F.col("tool_id").alias("tool_use_id"), F.col("tool_name").alias("called"))
+    t = F.col("type")
+    own = F.when(t == "tool_use", F.concat(F.lit("tool_use:"), "tool_name")).when(t == "tool_result", F.concat(F.lit("tool_result:"), F.coalesce("called", F.lit("<unknown>"))))
+    own = own.when(t.isin("text", "thinking", "image"), F.concat(F.lit("assistant:"), t)).otherwise(F.concat(F.lit("block:"), F.coalesce(t, F.lit("unknown"))))
+    of_blocks = condensed_blocks(blocks, most).join(names, ["session_id", "tool_use_id"], "left").withColumn("kind", own)
+    of_texts = _plain(entries, most).withColumn("kind", F.lit("user:text"))
+    others = condensed_payloads(entries, most).withColumn("kind", F.concat(F.lit("other:"), t))
+    numbers = ["session_id", "kind", "stubbed", "orig", "inlined"]
+    rows = of_blocks.select(numbers).unionByName(of_texts.select(numbers)).unionByName(others.select(numbers))
+    sums = [F.count(F.lit(1)).alias("count"), F.sum("orig").alias("orig_bytes"), F.sum("inlined").alias("inlined_bytes"), F.count_if("stubbed").alias("truncated")]
+    return rows.groupingSets([["session_id", "kind"], ["session_id"]], "session_id", "kind").agg(*sums)
 
 
 def kilobytes(n: Column) -> Column:
     """A size in KB: 0, one decimal below 10, else rounded."""
     k = n / 1024
-    return F.when(n == 0, "0 KB").when(k < 10, F.format_string("%.1f KB", k.cast("double"))).otherwise(F.format_string("%.0f KB", k.cast("double")))
-
-
-def stats_report(stats: DataFrame) -> DataFrame:
-    """C11: a line a kind, padded to the longest of the session, largest first."""
-    session = Window.partitionBy("session_id")
-    width = F.max(F.length("kind")).over(session)
-    order = session.orderBy(F.desc("orig_bytes"), "kind")
-    line = F.concat(F.rpad("kind", width, F.lit(" ")), F.lit("  "), F.format_string("%6d", "texts"), F.lit("  "), kilobytes(F.col("orig_bytes")), F.lit(" → "), kilobytes(F.col("inlined_bytes")))
-    return stats.filter("kind IS NOT NULL").select("session_id", F.row_number().over(order).alias("n"), line.alias("line"))
+    return F.when(n == 0, "0").when(k < 10, F.format_string("%.1f", k.cast("double"))).otherwise(F.floor(k + 0.5).cast("string"))
+
+
+def stats_report(stats: DataFrame, title: str = "Condensation report") -> DataFrame:
+    """C11: a table a session, largest kind first, its columns padded to their widest cell."""
+    heads = ("Kind", "count", "orig KB", "inlined KB", "truncated")
+    cells = F.array(F.coalesce("kind", F.lit("TOTAL")), F.col("count").cast("string"), kilobytes(F.col("orig_bytes")), kilobytes(F.col("inlined_bytes")), F.concat_ws("/", F.col("truncated").cast("string"), F.col("count").cast("string")))
+    order = F.struct(F.col("kind").isNull().alias("total"), (-F.col("orig_bytes")).alias("size"), F.coalesce("kind", F.lit("")).alias("kind"))
+    rows = stats.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), cells.alias("cells")))), lambda x: x["cells"]).alias("rows"))  # a row a kind
+    widths = [F.greatest(F.lit(len(h)), F.array_max(F.transform("rows", lambda r: F.length(r[i])))) for i, h in enumerate(heads)]  # noqa: B023
+    rows = rows.withColumn("widths", F.array(*widths))
+    pad = lambda cell, i: F.rpad(cell, F.col("widths")[i], F.lit(" ")) if i == 0 else F.lpad(cell, F.col("widths")[i], F.lit(" "))
+    line = lambda cells: F.concat_ws("  ", *[pad(cells[i], i) for i in range(len(heads))])
+    rule = F.concat_ws("  ", F.transform("widths", lambda w: F.repeat(F.lit("─"), w)))
+    body = F.transform("rows", line)
+    n = F.size("rows")
+    parts = F.concat(F.array(F.lit(title), line([F.lit(h) for h in heads]), rule), F.slice(body, F.lit(1), n - 1), F.array(rule), F.slice(body, n, F.lit(1)), F.array(F.lit("")))
+    return rows.select("session_id", F.array_join(parts, "\n").alias("report"))
 
 
 def truncated_ix(condensed: DataFrame) -> DataFrame:
-    """Entries of which a stub was left."""
-    return condensed.filter("stub IS NOT NULL").select("session_id", "ix")
+    """Entries whose condensed content holds a stub."""
+    return condensed.filter("stubbed" if "stubbed" in condensed.columns else "stub IS NOT NULL").select("session_id", "ix")
 
 
 def full_turns(entries: DataFrame, truncated: DataFrame) -> DataFrame:
@@ -77,7 +124,7 @@ def preview(value: Column, most: int) -> Column:
 
 def stage_summary(condensed: DataFrame, spills: DataFrame, subagents: DataFrame) -> DataFrame:
     """Per session: cut entries, spills, subagents."""
-    out = condensed.groupBy("session_id").agg(F.count_if(F.col("stub").isNotNull()).alias("truncated"))
+    out = condensed.groupBy("session_id").agg(F.count_if("stubbed").alias("truncated"))
     for rows, name in ((spills, "spills"), (subagents, "subagents")):
         out = out.join(rows.groupBy("session_id").agg(F.count(F.lit(1)).alias(name)), "session_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out

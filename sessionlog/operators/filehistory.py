@@ -20,14 +20,23 @@ def first_versions(each: DataFrame) -> DataFrame:
     return first.select("session_id", "path", "version", "f.*")
 
 
+def with_blobs(versions: DataFrame, listing: DataFrame) -> DataFrame:
+    """Versions with the size of their stored copy; blob and bytes are null where the listing lacks it. listing: session_id, blob, bytes."""
+    own = listing.select("session_id", "blob", F.col("bytes").cast("long").alias("bytes")).dropDuplicates(["session_id", "blob"])
+    return versions.join(own, ["session_id", "blob"], "left").withColumn("blob", F.when(F.col("bytes").isNotNull(), F.col("blob")))
+
+
 def file_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """for each request (session_id, path, ix) the version current there: an as-of join by one window.
 
-    status: ok, too early (the file's first version comes later) or untracked.
+    status: ok, no blob (its copy isn't stored; only where versions have a blob
+    column), too early (the file's first version comes later) or untracked.
     """
-    both = versions.select("session_id", "path", "ix", "version", F.lit(0).alias("asks")).unionByName(requests.select("session_id", "path", "ix", F.lit(None).cast("int").alias("version"), F.lit(1).alias("asks")))
+    blob = F.col("blob") if "blob" in versions.columns else F.lit("")
+    seen_at = F.struct(F.col("version"), blob.cast("string").alias("blob"), F.col("ix").alias("at"))
+    both = versions.select("session_id", "path", "ix", "version", F.lit(0).alias("asks"), seen_at.alias("own")).unionByName(requests.select("session_id", "path", "ix", F.lit(None).cast("int").alias("version"), F.lit(1).alias("asks")), allowMissingColumns=True)
     file = Window.partitionBy("session_id", "path")
     order = file.orderBy("ix", "asks", "version").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("current", F.last("version", ignorenulls=True).over(order)).withColumn("tracked", F.count("version").over(file) > 0)
-    status = F.when(F.col("current").isNotNull(), "ok").when(F.col("tracked"), "too early").otherwise("untracked")
-    return seen.filter("asks = 1").select("session_id", "path", "ix", F.col("current").alias("version"), status.alias("status"))
+    seen = both.withColumn("current", F.last("own", ignorenulls=True).over(order)).withColumn("tracked", F.count("version").over(file) > 0)
+    status = F.when(F.col("current").isNull(), F.when(F.col("tracked"), "too early").otherwise("untracked")).when(F.col("current.blob").isNull(), "no blob").otherwise("ok")
+    return seen.filter("asks = 1").select("session_id", "path", "ix", "current.version", status.alias("status"), F.nullif("current.blob", F.lit("")).alias("blob"))

@@ -43,24 +43,41 @@ def query_targets(logs: DataFrame) -> DataFrame:
     return logs.groupBy(F.coalesce("parent_session_id", "session_id").alias("session_id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("name"), "path")))).alias("targets"))
 
 
-def info(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """M6: metadata with token totals."""
-    return metadata(entries, blocks).join(token_totals(entries), "session_id", "left")
+FACTS = ("version", "cwd", "git_branch", "permission_mode")
+
+
+def info(entries: DataFrame, blocks: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """M6: metadata with the facts first observed, token totals, tokens by model and, if logs are given, targets (see query_targets)."""
+    own = [c for c in FACTS if c in entries.columns]
+    models = tokens_by_model(entries).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("model", *COUNTERS, "message_count"))).alias("by_model"))
+    out = metadata(entries, blocks).join(session_facts(entries, own), "session_id", "left").join(token_totals(entries), "session_id", "left").join(models, "session_id", "left")
+    return out if logs is None else out.join(query_targets(logs), "session_id", "left")
 
 
 def format_duration(seconds: Column) -> Column:
-    """Xh Ym Zs, leaving out leading zeros."""
+    """Xh Ym Zs, leaving out leading zeros; a negative one in seconds."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
     text = lambda x: x.cast("string")
-    return F.when(h > 0, F.concat(text(h), F.lit("h "), text(m), F.lit("m "), text(s), F.lit("s"))).when(m > 0, F.concat(text(m), F.lit("m "), text(s), F.lit("s"))).otherwise(F.concat(text(s), F.lit("s")))
+    parts = F.when(h > 0, F.concat(text(h), F.lit("h "), text(m), F.lit("m "), text(s), F.lit("s"))).when(m > 0, F.concat(text(m), F.lit("m "), text(s), F.lit("s")))
+    return F.when(seconds < 0, F.concat(text(seconds), F.lit("s"))).otherwise(F.coalesce(parts, F.concat(text(s), F.lit("s"))))
+
+
+#: The labels of an info text, each over a column; rows without a value are left out.
+INFO_ROWS = (("session:", "session_id"), ("version:", "version"), ("cwd:", "cwd"), ("branch:", "git_branch"), ("permission:", "permission_mode"), ("turns:", "turns"), ("duration:", "duration"), ("started:", "start_ts"), ("ended:", "end_ts"))
 
 
 def info_lines(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """M7: a session's information as text, models in order of name."""
-    line = F.concat(F.lit("  "), F.rpad("model", 12, " "), *[x for c in COUNTERS for x in (F.lit(f" {c}="), F.col(c).cast("string"))])
-    models = tokens_by_model(entries).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("model", line.alias("line")))), lambda x: x["line"]), "\n").alias("models"))
-    row = lambda name, value: F.concat(F.lit(f"{name}: "), value)
-    return metadata(entries, blocks).join(models, "session_id", "left").select(
-        "session_id",
-        F.concat_ws("\n", row("session", F.col("session_id")), row("state", F.col("end_state")), row("turns", F.col("turn_count").cast("string")), row("duration", format_duration(F.col("duration_s"))), "models").alias("text"),
-    )
+    """M7: a session's information as text: facts, token totals, and a line a model by first use."""
+    first = entries.filter("type = 'assistant'").groupBy("session_id", "model").agg(F.min("ix").alias("first"))
+    used = tokens_by_model(entries).join(first, ["session_id", "model"])
+    label = F.concat("model", F.lit(" ("), F.col("message_count").cast("string"), F.lit(" msgs)"))
+    sums = F.concat_ws("  ", *[F.concat(F.lit(f"{name}="), F.col(c).cast("string")) for name, c in zip(("in", "out", "cache_read", "cache_write"), COUNTERS, strict=True)])
+    models = used.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("first", label.alias("label"), sums.alias("sums")))).alias("models"))
+    out = info(entries, blocks).withColumn("sums", sums).join(models, "session_id", "left").withColumn("models", F.coalesce("models", F.array()))
+    width = F.greatest(F.lit(len("totals")), F.coalesce(F.array_max(F.transform("models", lambda m: F.length(m["label"]))), F.lit(0)))
+    out = out.withColumns({"width": width, "turns": F.concat(F.col("turn_count").cast("string"), F.lit(" ("), "end_state", F.lit(")")), "duration": format_duration(F.col("duration_s"))})
+    facts = [F.concat(F.lit(f"{name:<11} "), F.nullif(F.col(c).cast("string"), F.lit(""))) for name, c in INFO_ROWS if c in out.columns]
+    line = lambda name, sums: F.concat(F.lit("  "), F.rpad(name, F.col("width"), F.lit(" ")), F.lit("  "), sums)
+    each = F.transform("models", lambda m: line(m["label"], m["sums"]))
+    parts = F.concat(F.array_compact(F.array(*facts)), F.array(F.lit(""), F.lit("tokens:"), line(F.lit("totals"), F.col("sums"))), each, F.array(F.lit("")))
+    return out.select("session_id", F.array_join(parts, "\n").alias("text"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlog.functions.oneliners import one_liner, parsed_input
-from sessionlog.functions.text import est_tokens, trim_all, wrapper_only, xml_attr, xml_text
+from sessionlog.functions.oneliners import one_liner, parsed_input, result_text
+from sessionlog.functions.text import est_tokens, trim_all, wrapper_only
 
 from .analyze import tool_result_index
 
@@ -50,7 +50,7 @@ def round_stream(rounds_: DataFrame, blocks: DataFrame) -> DataFrame:
     results = tool_result_index(blocks).withColumnRenamed("tool_use_id", "tool_id")
     lines = blocks.filter("type IN ('text', 'tool_use')").join(rounds_.filter("type = 'assistant'").select("session_id", "ix", "round"), ["session_id", "ix"])
     lines = lines.drop("content", "content_kind", "is_error").withColumn("given", parsed_input("input")).join(results, ["session_id", "tool_id"], "left")
-    line = F.when(F.col("type") == "text", trim_all(F.col("text"))).otherwise(one_liner(F.col("tool_name"), F.col("given"), F.col("content"), F.coalesce("is_error", F.lit(False))))
+    line = F.when(F.col("type") == "text", trim_all(F.col("text"))).otherwise(one_liner(F.col("tool_name"), F.col("given"), result_text(F.col("content"), F.col("content_kind")), F.coalesce("is_error", F.lit(False))))
     # An array of one, exploded: filters on the line stay above it and don't build the line anew.
     out = lines.select("session_id", "round", "ix", "block_ix", F.when(F.col("type") == "text", "text").otherwise("tool").alias("kind"), F.explode(F.array(line)).alias("line")).filter("line <> ''")
     order = Window.partitionBy("session_id", "round").orderBy("ix", "block_ix").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,27 +58,44 @@ def round_stream(rounds_: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def tool_groups(stream: DataFrame) -> DataFrame:
-    """Each stretch of calls between texts, with its places and lines."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ix", "block_ix", "line"))), lambda x: x["line"])
-    return stream.filter("kind = 'tool'").groupBy("session_id", "round", "stretch").agg(F.min("ix").alias("from_ix"), F.max("ix").alias("to_ix"), F.array_join(lines, "\n").alias("lines"))
+    """Each stretch of calls between texts, with its places and its lines in order (ix, block_ix, line)."""
+    lines = F.array_sort(F.collect_list(F.struct("ix", "block_ix", "line")))
+    return stream.filter("kind = 'tool'").groupBy("session_id", "round", "stretch").agg(F.min("ix").alias("from_ix"), F.max("ix").alias("to_ix"), lines.alias("lines"))
 
 
-def brief(entries: DataFrame, blocks: DataFrame, humans: DataFrame) -> DataFrame:
-    """A session's rounds as XML, one row a round; whole_brief() joins them."""
+def brief(entries: DataFrame, blocks: DataFrame, humans: DataFrame, markdown: bool = False) -> DataFrame:
+    """A session's rounds as tagged text or Markdown, one row a round: session_id, n, text; whole_brief() joins them."""
     rounds_ = rounds(entries, humans)
     shown, stream = rendered_rounds(round_table(rounds_)), round_stream(rounds_, blocks)
-    span = F.when(F.col("from_ix") == F.col("to_ix"), F.col("from_ix").cast("string")).otherwise(F.concat_ws("-", F.col("from_ix").cast("string"), F.col("to_ix").cast("string")))
-    tools = tool_groups(stream).select("session_id", "round", F.col("from_ix").alias("at"), F.lit(1).alias("after"), F.concat(F.lit('<tools idx="'), span, F.lit('">\n'), xml_text(F.col("lines")), F.lit("\n</tools>")).alias("part"))
-    texts = stream.filter("kind = 'text'").select("session_id", "round", F.col("ix").alias("at"), F.lit(0).alias("after"), F.concat(F.lit('<assistant idx="'), F.col("ix").cast("string"), F.lit('">'), xml_text(F.col("line")), F.lit("</assistant>")).alias("part"))
-    parts = tools.unionByName(texts).groupBy("session_id", "round").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "after", "part"))), lambda x: x["part"]), "\n").alias("body"))
-    head = F.concat(F.lit('<round n="'), F.col("n").cast("string"), F.lit('"'), F.coalesce(F.concat(F.lit(' branch="'), xml_attr(F.col("branch_change")), F.lit('"')), F.lit("")), F.lit(">"))
-    user = F.concat(F.lit('<user idx="'), F.col("user_ix").cast("string"), F.lit('">'), xml_text(trim_all(F.col("human"))), F.lit("</user>"))
-    return shown.join(parts, ["session_id", "round"], "left").select("session_id", "n", F.concat_ws("\n", head, user, "body", F.lit("</round>")).alias("xml"))
-
-
-def whole_brief(rounds_xml: DataFrame) -> DataFrame:
-    """A session's brief in one text: the last step, as one long session is one long cell."""
-    return rounds_xml.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda x: x["xml"]), "\n").alias("xml"))
+    text = lambda c: F.col(c).cast("string")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    span = F.when(F.col("from_ix") == F.col("to_ix"), text("from_ix")).otherwise(F.concat_ws("-", text("from_ix"), text("to_ix")))
+    calls = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("- ["), x["ix"].cast("string"), F.lit("] "), x["line"])), "\n")
+    group = put("**Tools** `[ix ", span, "]`\n", calls, "\n") if markdown else put('<tools idx="', span, '">\n', calls, "\n</tools>")
+    said = put("**Assistant** `[ix ", text("ix"), "]`\n\n", F.col("line"), "\n") if markdown else put('<assistant idx="', text("ix"), '">\n', F.col("line"), "\n</assistant>")
+    # A stretch is numbered by the texts before it, so it follows the text of its own number.
+    tools = tool_groups(stream).select("session_id", "round", "stretch", F.lit(1).alias("after"), group.alias("part"))
+    texts = stream.filter("kind = 'text'").select("session_id", "round", "stretch", F.lit(0).alias("after"), said.alias("part"))
+    parts = tools.unionByName(texts).groupBy("session_id", "round").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "after", "part"))), lambda x: x["part"]), "\n").alias("body"))
+    human, branch = trim_all(F.col("human")), F.col("branch_change")
+    if markdown:
+        head = put("## Round ", text("n"), "\n\n**User** `[ix ", text("user_ix"), "]`\n\n> ", F.replace(human, F.lit("\n"), F.lit("\n> ")), "\n")
+        whole = F.concat(F.concat_ws("\n", head, put("*on `", branch, "`*\n"), "body"), F.lit("\n"))
+    else:
+        head = put('<round n="', text("n"), '">\n<user idx="', text("user_ix"), '">\n', human, "\n</user>")
+        whole = F.concat(F.concat_ws("\n", head, put('<git branch="', branch, '"/>'), "body", F.lit("</round>")), F.lit("\n"))
+    return shown.join(parts, ["session_id", "round"], "left").select("session_id", "n", whole.alias("text"))
+
+
+def whole_brief(texts: DataFrame, stats: DataFrame, markdown: bool = False) -> DataFrame:
+    """A session's brief in one text, with a head: the last step, as one long session is one long cell. stats: those of brief_stats(), with source."""
+    body = texts.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("body"))
+    text = lambda c: F.col(c).cast("string")
+    if markdown:
+        head = F.concat(F.lit("# Session brief\n\n**Source:** `"), "source", F.lit("`\n**Rounds:** "), text("rounds"), F.lit("  •  **Assistant text:** ~"), text("text_tokens"), F.lit(" tok  •  **Tool uses:** "), text("tool_uses"), F.lit("\n\n---\n"))
+    else:
+        head = F.concat(F.lit('<session source="'), "source", F.lit('" rounds="'), text("rounds"), F.lit('" assistant_text_tokens="'), text("text_tokens"), F.lit('" tool_uses="'), text("tool_uses"), F.lit('">\n'))
+    return stats.join(body, "session_id", "left").select("session_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("" if markdown else "</session>\n")).alias("text"))
 
 
 def brief_stats(entries: DataFrame, blocks: DataFrame, humans: DataFrame) -> DataFrame:

@@ -31,19 +31,36 @@ def distinct_contents(texts: DataFrame) -> DataFrame:
 
 
 def scan(texts: DataFrame, checks: tuple = CHECKS) -> DataFrame:
-    """O1: an issue for each match: location, 1-based line, check, severity, match and the line, trimmed and cut. A text is split only if it holds a match."""
+    """O1: an issue for each match: location, 1-based line, check, severity, match and the line, trimmed and cut.
+
+    One pass: a text is split only if it holds a match, a line is searched by all
+    checks at once.
+    """
     hits = reduce(lambda a, b: a | b, [F.rlike("text", F.lit(p)) for _, _, p in checks])
     lines = texts.filter(hits).select("location", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    found = [lines.select("location", (F.col("n") + 1).alias("line_no"), F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.explode(F.regexp_extract_all("line", F.lit(p), F.lit(0))).alias("match"), F.substring(F.trim("line"), 1, LINE_CHARS).alias("line")) for name, severity, p in checks]
-    return reduce(DataFrame.unionByName, found)
+    found = F.array(*[F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("matches")) for name, severity, p in checks])
+    each = lines.select("location", (F.col("n") + 1).alias("line_no"), "line", F.explode(F.filter(found, lambda x: F.size(x["matches"]) > 0)).alias("f"))
+    return each.select("location", "line_no", "f.check_name", "f.severity", F.explode("f.matches").alias("match"), F.substring(F.trim("line"), 1, LINE_CHARS).alias("line"))
+
+
+SESSION_ID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: Fixed value: shorter names are too common to look for.
+TOKEN_CHARS = 10
 
 
-def known_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """O2: whole tokens that a list (column token) names, by an equality join."""
-    each = texts.select("location", F.explode(F.array_distinct(F.split("text", r"[^a-zA-Z0-9-]+"))).alias("token")).filter("token <> ''")
+def known_tokens(texts: DataFrame, tokens: DataFrame, least: int = TOKEN_CHARS) -> DataFrame:
+    """O2: whole tokens of at least `least` characters that a list (column token) names, by an equality join."""
+    long = lambda c: F.length(c) >= least
+    each = texts.select("location", F.explode(F.filter(F.array_distinct(F.split("text", r"[^a-zA-Z0-9-]+")), long)).alias("token"))
     return each.join(tokens.select("token").distinct(), "token")
 
 
+def known_sessions(texts: DataFrame, sessions: DataFrame, pattern: str = SESSION_ID) -> DataFrame:
+    """O2: session ids (column session_id) of a known shape wherever they stand in a text, by an equality join."""
+    each = texts.select("location", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?={'(' + pattern + ')'})"), F.lit(1)))).alias("session_id"))
+    return each.join(sessions.select("session_id").distinct(), "session_id")
+
+
 def report(issues: DataFrame, most: int = PER_CHECK) -> DataFrame:
     """The first issues of each check, each once."""
     order = Window.partitionBy("severity", "check_name").orderBy("location", "line_no", "match")

@@ -37,6 +37,18 @@ def tool_results(blocks: DataFrame, errors_only: bool = False, tool_use_id: str
     return found.select("session_id", "ix", "block_ix", F.lit("tool_result").alias("kind"), F.concat_ws("  ", "tool_use_id", F.when(failed, "[ERROR]"), head).alias("summary"), failed.alias("is_error"))
 
 
+def searched_texts(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Q3: the text of each entry that is searched: a string, else its text blocks and, of a user, results that are strings, a line each."""
+    part = F.when(F.col("type") == "text", F.col("text")).when((F.col("type") == "tool_result") & (F.col("content_kind") == "string"), F.col("content"))
+    each = blocks.select("session_id", "ix", "block_ix", "type", part.alias("part")).filter("part IS NOT NULL")
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["part"]), "\n")
+    own = F.struct("block_ix", "part")
+    whole = each.groupBy("session_id", "ix").agg(joined(own).alias("all"), joined(F.when(F.col("type") == "text", own)).alias("texts"))
+    rows = entries.filter("type IN ('user', 'assistant')").join(whole, ["session_id", "ix"], "left")
+    text = F.coalesce("content_text", F.when(F.col("type") == "user", F.col("all")).otherwise(F.col("texts")), F.lit(""))
+    return rows.select("session_id", "ix", F.col("type").alias("role"), text.alias("text"))
+
+
 def text_search(texts: DataFrame, needle: str, role: str | None = None, before: int = 20, after: int = 60) -> DataFrame:
     """Q3: entries whose text holds the needle, with a snippet. texts: session_id, ix, role, text."""
     found = texts.filter(F.contains("text", F.lit(needle)) & F.col("role").isin(*(("user", "assistant") if role is None else (role,))))
@@ -56,8 +68,12 @@ def field(rows: DataFrame, path: str, column: str = "raw") -> DataFrame:
     return rows.select("session_id", "ix", F.get_json_object(column, "$." + path).alias("value"))
 
 
-def format_matches(matches: DataFrame) -> DataFrame:
-    """Q7: a line for each match."""
+def format_matches(matches: DataFrame, form: str = "compact") -> DataFrame:
+    """Q7: a line for each match, or all of it as JSON (form json), or the number of matches of each session (form count)."""
+    if form == "count":
+        return matches.groupBy("session_id").agg(F.count(F.lit(1)).alias("matches"))
+    if form == "json":
+        return matches.select("session_id", "ix", F.to_json(F.struct(*[c for c in matches.columns if c != "session_id"])).alias("line"))
     return matches.select("session_id", "ix", F.concat_ws("  ", F.format_string("%5d", "ix"), "kind", "summary").alias("line"))
 
 

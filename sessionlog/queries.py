@@ -63,8 +63,7 @@ _META = SQL + """, o AS (SELECT DISTINCT e.session_id FROM (SELECT session_id, m
 m AS (SELECT session_id, arg_min(ts, ix) AS start_ts, arg_max(ts, ix) AS end_ts, CAST(round(epoch_ms(CAST(arg_max(ts, ix) AS TIMESTAMP) ) / 1000.0 - epoch_ms(CAST(arg_min(ts, ix) AS TIMESTAMP)) / 1000.0) AS BIGINT) AS duration_s,
   count(*) AS turn_count, CASE WHEN session_id IN (SELECT session_id FROM o) THEN 'ongoing' WHEN bool_or(type = 'assistant') THEN 'completed' ELSE 'unknown' END AS end_state FROM e GROUP BY session_id)"""
 _of("m1_metadata", metadata.metadata, event_entries, event_blocks, sql=_META + " SELECT * FROM m")
-_of("m6_info", metadata.info, event_entries, event_blocks, sql=_META + f", t AS (SELECT session_id, {ZEROED} FROM e GROUP BY 1) SELECT * FROM m JOIN t USING (session_id)")
-_of("m7_info_text", metadata.info_lines, event_entries, event_blocks)
+_of("m6_info", lambda e, b: metadata.info(e, b).drop("by_model", "git_branch"), event_entries, event_blocks, sql=_META + f", t AS (SELECT session_id, {ZEROED} FROM e GROUP BY 1) SELECT * FROM m JOIN t USING (session_id)")
 
 # --- analysis ----------------------------------------------------------------------
 _A1 = f"SELECT session_id, model, {COUNTERS}, count(*) AS message_count FROM e WHERE type = 'assistant' AND model <> '<synthetic>' GROUP BY ALL"
@@ -102,7 +101,6 @@ def phases(spark: SparkSession, d: str) -> DataFrame:
     return analyze.compaction_phases(event_entries(spark, d).withColumn("is_boundary", (F.col("ix") > 0) & (F.col("ix") % 25 == 0)))
 
 
-_of("a14_analysis", analyze.analyze, event_entries, event_blocks)
 _of("a15_usage_rollup", analyze.usage_rollup, event_entries, sql=SQL + f", t AS (SELECT session_id, {ZEROED} FROM e GROUP BY 1) SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in analyze.COUNTERS)}, count(*) AS sessions FROM t")
 
 
@@ -152,9 +150,7 @@ lines AS (SELECT session_id, round, ix, block_ix, kind, CASE tool_name
   WHEN 'Edit' THEN 'Edit ' || p || CASE WHEN failed THEN ' → [error: ' || left(split_part(res, chr(10), 1), 80) || ']' ELSE ' +1 -1' END
   ELSE '' END AS line, failed, res, p, tool_name, command FROM st)"""
 _of("b5_round_stream", lambda e, b, h: rounds.round_stream(rounds.rounds(e, h), b).filter("line LIKE 'Read %' OR line LIKE 'Write %' OR line LIKE 'Edit %'").select("session_id", "round", "ix", "line"), event_entries, event_blocks, _event_humans, sql=_STREAM + " SELECT session_id, round, ix, line FROM lines WHERE tool_name IN ('Read', 'Write', 'Edit')")
-_of("b6_tool_groups", lambda e, b, h: rounds.tool_groups(rounds.round_stream(rounds.rounds(e, h), b)).select("session_id", "round", "from_ix", "to_ix", F.size(F.split("lines", "\n")).alias("calls")), event_entries, event_blocks, _event_humans, sql=_STREAM + " SELECT session_id, round, min(ix) AS from_ix, max(ix) AS to_ix, CAST(count(*) AS INTEGER) AS calls FROM st GROUP BY ALL")
-_of("b7_brief", rounds.brief, event_entries, event_blocks, _event_humans)
-_of("b7_whole_brief", lambda e, b, h: rounds.whole_brief(rounds.brief(e, b, h)), conversation_entries, event_blocks, _conversation_humans)
+_of("b6_tool_groups", lambda e, b, h: rounds.tool_groups(rounds.round_stream(rounds.rounds(e, h), b)).select("session_id", "round", "from_ix", "to_ix", F.size("lines").alias("calls")), event_entries, event_blocks, _event_humans, sql=_STREAM + " SELECT session_id, round, min(ix) AS from_ix, max(ix) AS to_ix, CAST(count(*) AS INTEGER) AS calls FROM st GROUP BY ALL")
 _of("b8_brief_stats", rounds.brief_stats, event_entries, event_blocks, _event_humans, sql=_ROUNDS + """ SELECT t.session_id, coalesce(n.rounds, 0) AS rounds, coalesce(n.raw_rounds, 0) AS raw_rounds, coalesce(u.tool_uses, 0) AS tool_uses, CAST(0 AS BIGINT) AS text_tokens, t.entry_count
 FROM (SELECT session_id, count(*) AS entry_count FROM e GROUP BY 1) t LEFT JOIN (SELECT session_id, count(*) FILTER (NOT wrapper) AS rounds, count(*) AS raw_rounds FROM r GROUP BY 1) n USING (session_id)
 LEFT JOIN (SELECT session_id, count(*) FILTER (type = 'tool_use') AS tool_uses FROM b GROUP BY 1) u USING (session_id)""")
@@ -194,19 +190,10 @@ def condensed(spark: SparkSession, d: str) -> DataFrame:
     return condense.condensed_texts(conversation_entries(spark, d), 500).select("session_id", "ix", "role", "content", "stub.ref", "stub.bytes", "stub.preview")
 
 
-_of("c9_condense_stats", lambda c: condense.text_stats(c, 500).drop("inlined_bytes"), conversation_entries, sql=SQL + f"SELECT session_id, type || ':text' AS kind, count(*) AS texts, CAST(sum(strlen(content_text)) AS BIGINT) AS orig_bytes, count(*) FILTER ({_STUB}) AS truncated FROM c GROUP BY GROUPING SETS ((session_id, type || ':text'), (session_id))")
-_of("c11_stats_report", lambda c: condense.stats_report(condense.text_stats(c, 500)), conversation_entries)
 _of("c12_truncated_ix", lambda c: condense.truncated_ix(condense.condensed_texts(c, 500)), conversation_entries, sql=SQL + f"SELECT session_id, ix FROM c WHERE {_STUB}")
 _of("c13_full_turns", lambda c: condense.full_turns(c, condense.truncated_ix(condense.condensed_texts(c, 500))).select("session_id", "ix", "content_text"), conversation_entries, sql=SQL + f"SELECT session_id, ix, content_text FROM c WHERE {_STUB}")
 
 
-@_query("c3_condensed_blocks", SQL + "SELECT session_id, ix, type, strlen(coalesce(input, '')) > 60 OR strlen(coalesce(content, '')) > 60 AS over FROM b")
-def condensed_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """C2-C4 over calls and results; over: which blocks have more than 60 bytes."""
-    out = condense.condensed_blocks(event_blocks(spark, d), 60)
-    return out.select("session_id", "ix", "type", ((F.octet_length(F.coalesce("input", F.lit(""))) > 60) | (F.octet_length(F.coalesce("content", F.lit(""))) > 60)).alias("over"))
-
-
 @_query("c17_previews", "SELECT event_id, CASE WHEN length(props) > 5 THEN left(replace(props, ' ', ''), 5) || ' …[truncated]' ELSE replace(props, ' ', '') END AS preview FROM events")
 def previews(spark: SparkSession, d: str) -> DataFrame:
     """C17 over the events' JSON."""
@@ -228,7 +215,7 @@ FROM q ASOF LEFT JOIN v ON v.session_id = q.session_id AND v.path = q.path AND q
 def file_at(spark: SparkSession, d: str) -> DataFrame:
     """the version that each Read sees."""
     reads = event_blocks(spark, d).filter("tool_name = 'Read'").select("session_id", F.col("file_path").alias("path"), "ix")
-    return filehistory.file_at(_versions(spark, d), reads)
+    return filehistory.file_at(_versions(spark, d), reads).drop("blob")
 
 
 # --- compacting --------------------------------------------------------------------------
@@ -240,20 +227,18 @@ _START = SQL + """, f AS (SELECT session_id, ix, row_number() OVER (PARTITION BY
 p AS (SELECT session_id, CAST(coalesce((SELECT min(ix) FROM f WHERE f.session_id = t.session_id AND n <= 2), cnt) AS INTEGER) AS preserved_from FROM (SELECT session_id, count(*) AS cnt FROM c GROUP BY 1) t),
 g AS (SELECT c.session_id, CASE WHEN ix >= preserved_from THEN 2 WHEN type IN ('user', 'assistant') THEN 0 ELSE 1 END AS section, ix, type, content_text FROM c JOIN p USING (session_id))"""
 _of("k1_preserved_from", lambda s: s, _start, sql=_START + " SELECT * FROM p")
-_of("k11_bundle", compact.bundle, conversation_entries, _start, sql=_START + r""" SELECT session_id, section, ix, type, CASE WHEN section > 0 THEN content_text ELSE '<turn ix="' || ix || '" kind="' || type || '">' ||
-CASE WHEN content_text = '' THEN '(empty)' ELSE replace(replace(replace(content_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END || '</turn>' END AS body FROM g""")
-_of("k12_bundle_text", lambda c, s: compact.bundle_text(compact.bundle(c, s)).select("session_id", "turns", F.length("text").alias("chars")), conversation_entries, _start)
-_of("k17_compact_stats", lambda c, s: compact.compact_stats(compact.bundle(c, s)), conversation_entries, _start, sql=_START + " SELECT session_id, count(*) AS source, count(*) FILTER (section = 2) AS preserved, count(*) FILTER (section = 0) AS bundled, count(*) FILTER (section = 1) AS passed, CAST(0 AS BIGINT) AS truncated FROM g GROUP BY 1")
+_of("k11_bundle", compact.bundle, conversation_entries, _start, sql=_START + r""" SELECT session_id, section, ix, type, CASE WHEN section > 0 THEN content_text ELSE '<turn ix="' || ix || '" kind="' || type || '">' || chr(10) ||
+CASE WHEN content_text = '' THEN '(empty)' ELSE replace(replace(replace(content_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END || chr(10) || '</turn>' END AS body FROM g""")
 
 
-@_query("k10_text_blocks", r"""SELECT doc_id, CASE WHEN strlen(text) > 16384 THEN '<truncated_text bytes="' || strlen(text) || '" ix="' || doc_id || '"/>' ELSE replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS xml FROM documents""")
+@_query("k10_text_blocks", r"""SELECT doc_id, CASE WHEN strlen(text) > 16384 THEN '<truncated_text bytes="' || strlen(text) || '" ix="' || doc_id || '">' || replace(replace(replace(left(text, 100), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '…</truncated_text>' ELSE replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS xml FROM documents""")
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     """K9, K10 over documents."""
     return table(spark, d, "documents").select("doc_id", compact.text_xml(F.col("text"), F.col("doc_id")).alias("xml"))
 
 
-_of("k7_tool_use_xml", compact.tool_use_xml, event_blocks, sql=SQL + r"""SELECT session_id, ix, block_ix, '<tool_use name="' || tool_name || '">' || coalesce('<file_path>' || file_path || '</file_path>', '') || coalesce('<command>' || command || '</command>', '') ||
-CASE WHEN tool_name = 'Edit' THEN '<old_string>' || json_extract_string(input, '$.old_string') || '</old_string><new_string>' || json_extract_string(input, '$.new_string') || '</new_string>' ELSE '' END || '</tool_use>' AS xml FROM b WHERE type = 'tool_use'""")
+_of("k7_event_xml", lambda b: compact.tool_use_xml(b).select("session_id", "ix", "block_ix", "xml"), event_blocks, sql=SQL + r"""SELECT session_id, ix, block_ix, '<tool_use name="' || tool_name || '" ix="' || ix || '">' || coalesce(chr(10) || '<file_path>' || file_path || '</file_path>', '') || coalesce(chr(10) || '<command>' || command || '</command>', '') ||
+CASE WHEN tool_name = 'Edit' THEN chr(10) || '<old_string>' || json_extract_string(input, '$.old_string') || '</old_string>' || chr(10) || '<new_string>' || json_extract_string(input, '$.new_string') || '</new_string>' ELSE '' END || chr(10) || '</tool_use>' AS xml FROM b WHERE type = 'tool_use'""")
 _of("k4_tool_fields", compact.tool_fields, event_blocks, sql=SQL + r""", x AS (SELECT session_id, ix, block_ix, CASE WHEN command IS NOT NULL THEN [{'n': 0, 'name': 'command', 'value': command}]
 WHEN tool_name = 'Edit' THEN [{'n': 0, 'name': 'file_path', 'value': file_path}, {'n': 1, 'name': 'old_string', 'value': json_extract_string(input, '$.old_string')}, {'n': 2, 'name': 'new_string', 'value': json_extract_string(input, '$.new_string')}]
 ELSE [{'n': 0, 'name': 'file_path', 'value': file_path}] END AS fs FROM b WHERE type = 'tool_use') SELECT session_id, ix, block_ix, f.n AS n, f.name AS name, f.value AS value, CAST(NULL AS INTEGER) AS bytes FROM x, unnest(fs) AS u(f)""")
@@ -291,27 +276,27 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return conversation_entries(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("turn_count"))
 
 
-@_query("n1_lint", SQL + """, t AS (SELECT session_id, count(*) AS n FROM c GROUP BY 1) SELECT session_id, x AS error FROM (
-SELECT session_id, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN ['summary is empty'] WHEN CAST(session_id AS BIGINT) % 3 = 1 THEN ['main_tasks[0]: ref ' || (n + 5) || ' out of range'] ELSE [] END AS xs FROM t), unnest(xs) u(x)""")
-def lint(spark: SparkSession, d: str) -> DataFrame:
-    """N1 over placeholders of which two thirds are spoilt."""
-    turns, third = _turns(spark, d), F.col("session_id").cast("long") % 3
-    spoilt = narrative.placeholder(turns).join(turns, "session_id").withColumn(
-        "narrative",
-        F.when(third == 0, F.regexp_replace("narrative", r'"summary":"Session[^"]*"', '"summary":" "')).when(third == 1, F.replace(F.col("narrative"), F.lit('"refs":[0]}],"episodes"'), F.concat(F.lit('"refs":['), (F.col("turn_count") + 5).cast("string"), F.lit(']}],"episodes"')))).otherwise(F.col("narrative")),
-    )
-    return narrative.lint(spoilt.select("session_id", "narrative"), turns)
-
+_KINDS = "research, planning, implementation, debugging, review, housekeeping, other"
 
-_of("n2_placeholder", narrative.placeholder, _turns, sql=SQL + """, t AS (SELECT session_id, count(*) AS n FROM c GROUP BY 1) SELECT session_id, '{"summary":"Session of ' || n || ' entries.","main_tasks":[{"title":"session","status":"unknown","description":"","refs":[0]}],"episodes":[{"title":"all","kind":"other","ix_range":[0,' || greatest(n - 1, 0) || '],"summary":"","refs":[0]}],"decisions":[],"corrections":[],"verification":{"was_verified":false,"how":"","refs":[]},"friction_points":[],"wins":[],"unresolved":[]}' AS narrative FROM t""")
 
+@_query("n1_lint", SQL + f""", t AS (SELECT session_id, count(*) AS n, CAST(session_id AS BIGINT) % 7 AS k FROM c GROUP BY 1) SELECT session_id, x AS error FROM (
+SELECT session_id, CASE k WHEN 0 THEN ['narrative.summary must be a non-empty string'] WHEN 1 THEN ['main_tasks[0].refs[0] is not a valid ref (got ' || (n + 5) || ')']
+WHEN 2 THEN ['main_tasks[0].title must be a string', 'main_tasks[0].status must be one of completed, partial, abandoned, verified (got "done")', 'decisions[0] must be an object']
+WHEN 3 THEN ['verification.was_verified must be a boolean', 'episodes[0].ix_range is inverted: [9999, 0]', 'episodes[0].ix_range[0]=9999 is not a valid ix', 'episodes[0].kind must be one of {_KINDS} (got "nap")']
+WHEN 4 THEN ['narrative root is not an object'] WHEN 5 THEN ['narrative missing required field: wins', 'narrative missing required field: unresolved'] ELSE [] END AS xs FROM t), unnest(xs) u(x)""")
+def lint(spark: SparkSession, d: str) -> DataFrame:
+    """N1 over placeholders, six of seven spoilt in a way of their own."""
+    turns, k = _turns(spark, d), F.col("session_id").cast("long") % 7
+    text, put = F.col("narrative"), lambda x, a, b: F.replace(x, F.lit(a), b if not isinstance(b, str) else F.lit(b))
+    far = F.concat(F.lit('"refs":['), (F.col("turn_count") + 5).cast("string"), F.lit(']}],"episodes"'))
+    spoilt = F.when(k == 0, F.regexp_replace(text, r'"summary":"Session[^"]*"', '"summary":" "')).when(k == 1, put(text, '"refs":[0]}],"episodes"', far))
+    spoilt = spoilt.when(k == 2, put(put(put(text, '"title":"session"', '"title":5'), '"partial"', '"done"'), '"decisions":[]', '"decisions":["x"]'))
+    spoilt = spoilt.when(k == 3, put(put(F.regexp_replace(text, r'"ix_range":\[0,\d+\]', '"ix_range":[9999,0]'), '"was_verified":false', '"was_verified":"no"'), '"kind":"other"', '"kind":"nap"'))
+    spoilt = spoilt.when(k == 4, F.concat(F.lit("["), text, F.lit("]"))).when(k == 5, put(text, ',"wins":[],"unresolved":[]', "")).otherwise(text)
+    return narrative.lint(narrative.placeholder(turns).join(turns, "session_id").select("session_id", spoilt.alias("narrative")), turns)
 
-@_query("n4_artifacts")
-def artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """The whole job over the event log."""
-    from sessionlog.jobs.distill import distill
 
-    return distill(event_entries(spark, d), event_blocks(spark, d), GENERATED_AT)[0]
+_of("n2_placeholder", narrative.placeholder, _turns, sql=SQL + """, t AS (SELECT session_id, count(*) AS n FROM c GROUP BY 1) SELECT session_id, '{"summary":"Session of ' || n || ' entries.","main_tasks":[{"title":"session","status":"partial","description":"","refs":[0]}],"episodes":[{"title":"all","kind":"other","ix_range":[0,' || greatest(n - 1, 0) || '],"summary":"","refs":[0]}],"decisions":[],"corrections":[],"verification":{"was_verified":false,"how":"","refs":[]},"friction_points":[],"wins":[],"unresolved":[]}' AS narrative FROM t""")
 
 
 # --- scans ---------------------------------------------------------------------------------
@@ -327,8 +312,14 @@ _of("o5_report", lambda t: scan.report(scan.scan(t)).drop("n"), _texts, sql=_ISS
 _of("o5_totals", lambda t: scan.totals(scan.scan(t)), _texts, sql=_ISSUES + " SELECT severity, check_name, count(*) AS issues FROM u GROUP BY ALL")
 
 
-@_query("o2_known_tokens", "WITH k AS (SELECT DISTINCT regexp_extract(url, '://([^/]+)/', 1) AS host FROM pages), s AS (SELECT DISTINCT unnest(string_split(host, '.')) AS token FROM k), t AS (SELECT DISTINCT source || '/' || doc_id AS location, unnest(string_split_regex(text, '[^a-zA-Z0-9-]+')) AS token FROM documents) SELECT location, token FROM t JOIN s USING (token) WHERE token <> ''")
+@_query("o2_known_tokens", "WITH k AS (SELECT DISTINCT regexp_extract(url, '://([^/]+)/', 1) AS host FROM pages), s AS (SELECT DISTINCT unnest(string_split(host, '.')) AS token FROM k), t AS (SELECT DISTINCT source || '/' || doc_id AS location, unnest(string_split_regex(text, '[^a-zA-Z0-9-]+')) AS token FROM documents) SELECT location, token FROM t JOIN s USING (token) WHERE length(token) >= 4")
 def known_tokens(spark: SparkSession, d: str) -> DataFrame:
     """O2: parts of known host names in documents."""
     hosts = table(spark, d, "pages").select(F.explode(F.split(F.regexp_extract("url", "://([^/]+)/", 1), r"\.")).alias("token"))
-    return scan.known_tokens(_texts(spark, d), hosts)
+    return scan.known_tokens(_texts(spark, d), hosts, 4)
+
+
+from sessionlog import queries_rich  # noqa: E402
+
+QUERIES |= queries_rich.QUERIES
+ORACLE_SQL |= queries_rich.ORACLE_SQL

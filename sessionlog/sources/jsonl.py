@@ -8,22 +8,34 @@ from pyspark.sql import functions as F
 _ENVELOPE = "type string, uuid string, parentUuid string, timestamp string, requestId string, promptId string, gitBranch string, cwd string, version string, permissionMode string, isCompactSummary boolean, subtype string, attachment string, message struct<role:string,model:string,content:string,usage:struct<input_tokens:long,output_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long>>"
 
 
+def placed(lines: DataFrame) -> DataFrame:
+    """S3: lines with their session and parent session, by their path. A log is a file, or a folder of parts, named <session>.jsonl."""
+    name = F.regexp_extract("path", r"([^/=]+)\.jsonl(?:/[^/]*)?$", 1)
+    parent = F.nullif(F.regexp_extract("path", r"([^/]+)/subagents/agent-[^/]+\.jsonl(?:/[^/]*)?$", 1), F.lit(""))
+    return lines.withColumn("parent_session_id", parent).withColumn("session_id", F.when(parent.isNotNull(), F.concat_ws("/", parent, name)).otherwise(name))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line with its file, session, parent session and place; the place follows the file's order across splits."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
     ).filter("raw <> ''")
-    name = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
-    parent = F.nullif(F.regexp_extract("path", r"([^/]+)/subagents/agent-[^/]+\.jsonl$", 1), F.lit(""))
-    return lines.withColumn("parent_session_id", parent).withColumn("session_id", F.when(parent.isNotNull(), F.concat_ws("/", parent, name)).otherwise(name))
+    return placed(lines)
 
 
 def resolve(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each wanted prefix with the sessions that it names: one, none (status unknown) or several (ambiguous). wanted: prefix."""
-    own = sessions.select("session_id", "path").distinct()
+    """Each wanted prefix with the sessions that it names: one, none (status unknown) or several (ambiguous). wanted: prefix.
+
+    Paths join by equality; prefixes too, on as many characters of the session's id as the prefix has.
+    """
+    own, wanted = sessions.select("session_id", "path").distinct(), wanted.select("prefix").distinct()
     by_path = F.contains("prefix", F.lit("/")) | F.col("prefix").endswith(".jsonl")
-    hit = F.when(by_path, F.col("path") == F.col("prefix")).otherwise(F.startswith("session_id", F.col("prefix")))
-    found = wanted.join(own, hit, "left").groupBy("prefix").agg(F.array_sort(F.collect_set("session_id")).alias("sessions"))
+    paths = wanted.filter(by_path).join(own.withColumnRenamed("path", "prefix"), "prefix")
+    asked = wanted.filter(~by_path).withColumn("size", F.length("prefix"))
+    heads = own.select("session_id").distinct().join(F.broadcast(asked.select("size").distinct()), F.length("session_id") >= F.col("size"))  # a row a length asked for
+    heads = heads.withColumn("prefix", F.substring(F.col("session_id"), F.lit(1), F.col("size")))
+    hits = paths.select("prefix", "session_id").unionByName(asked.join(heads, ["prefix", "size"]).select("prefix", "session_id"))
+    found = wanted.join(hits, "prefix", "left").groupBy("prefix").agg(F.array_sort(F.collect_set("session_id")).alias("sessions"))
     n = F.size("sessions")
     return found.select("prefix", "sessions", F.when(n == 1, "ok").when(n == 0, "unknown").otherwise("ambiguous").alias("status"))
 
@@ -42,13 +54,18 @@ def _kind(value: str, path: str = "$") -> Column:
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all logs under a path; lines that aren't JSON are left out (see bad_lines)."""
     lines = read_lines(spark, path).filter(F.try_parse_json("raw").isNotNull())
-    lines = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("block", "id"))).withColumn("j", F.from_json("raw", _ENVELOPE))
+    return parsed(lines.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("block", "id"))))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Entries of lines that are JSON: session_id, parent_session_id, path, line_no, raw."""
+    lines = lines.withColumn("j", F.from_json("raw", _ENVELOPE))
     text = F.when(F.col("kind") == "STRING", F.col("j.message.content"))
     usage = lambda name: F.col(f"j.message.usage.{name}")
     flat = lines.withColumn("kind", _kind("raw", "$.message.content")).select(
         "session_id", "parent_session_id", "path", "line_no", F.col("j.type").alias("type"), F.col("j.uuid").alias("uuid"), F.col("j.parentUuid").alias("parent_uuid"), F.col("j.timestamp").alias("ts"),
         F.col("j.requestId").alias("request_id"), F.col("j.gitBranch").alias("git_branch"), F.col("j.cwd").alias("cwd"), F.col("j.version").alias("version"), F.col("j.permissionMode").alias("permission_mode"),
-        F.get_json_object("j.attachment", "$.type").alias("attachment_type"), (F.coalesce("j.isCompactSummary", F.lit(False)) | F.coalesce(F.col("j.subtype") == "compact_boundary", F.lit(False))).alias("is_boundary"),
+        F.get_json_object("j.attachment", "$.type").alias("attachment_type"), "j.attachment", (F.coalesce("j.isCompactSummary", F.lit(False)) | F.coalesce(F.col("j.subtype") == "compact_boundary", F.lit(False))).alias("is_boundary"),
         F.col("j.message.model").alias("model"), usage("input_tokens").alias("input_tokens"), usage("output_tokens").alias("output_tokens"), usage("cache_read_input_tokens").alias("cache_read"), usage("cache_creation_input_tokens").alias("cache_write"),
         text.alias("content_text"), F.col("j.message.usage").isNotNull().alias("has_usage"), "raw",
     )

@@ -1,15 +1,53 @@
-"""Where results go. Each sink is a table keyed by session_id, not a file a row."""
+"""Where results go. Each sink is a table keyed by session_id, in buckets of many sessions, not a file or folder a session."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def write_sessions(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite the sessions that rows hold, and no others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").format(fmt).save(path)
+#: Folders of a table of sessions; a session's rows are all in that of its hash.
+BUCKETS = 64
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without one gets one of its own, elsewhere that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def write_sessions(rows: DataFrame, path: str, fmt: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Replace the sessions that rows hold, and no others: only their buckets are written anew.
+
+    A bucket's other sessions are read first, so a rerun of a job that was stopped
+    gives the same table.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    placed = rows.withColumn("bucket", bucket)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        there = spark.read.schema(placed.schema).format(fmt).load(path)
+        touched = placed.select("bucket").distinct()
+        others = there.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("session_id").distinct(), "session_id", "left_anti")
+        # Spark can't overwrite what it reads, so the rows kept pass through a folder beside it.
+        beside = f"{path.rstrip('/')}__kept"
+        others.select(placed.columns).write.mode("overwrite").parquet(beside)
+        placed = placed.unionByName(spark.read.schema(placed.schema).parquet(beside))
+    placed.repartition("bucket").sortWithinPartitions("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(fmt).save(path)
 
 
 def write_compacted(rows: DataFrame, path: str) -> None:
     """Lines of compacted sessions in order; never over an output that is there."""
     rows.repartition("new_session_id").sortWithinPartitions("new_session_id", "section", "ix").select("new_session_id", "section", "ix", "raw").write.mode("errorifexists").parquet(path)
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    """Lines (session, line_no, raw) as text, a folder of parts <session>.jsonl each, in order."""
+    named = lines.select(F.concat("session", F.lit(".jsonl")).alias("log"), "line_no", "raw")
+    named.repartition("log").sortWithinPartitions("log", "line_no").select("log", "raw").write.partitionBy("log").text(path)

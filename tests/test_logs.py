@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlog.operators import analyze, compact, condense, filehistory, metadata, narrative, rounds, search
+from sessionlog.operators import analyze, compact, condense, filehistory, metadata, narrative, rounds, scan, search
 from sessionlog.sources import jsonl, sinks
 
 
@@ -80,6 +80,9 @@ def test_order_across_splits(spark, tmp_path):
 
 
 def test_resolve(spark, logs):
+    known = spark.createDataFrame([("0f8fad5b-d9cb-469f-a165-70867728950e",)], "session_id string")
+    texts = spark.createDataFrame([("a", "see x0f8fad5b-d9cb-469f-a165-70867728950ez"), ("b", "0f8fad5b-d9cb-469f-a165-70867728950f")], "location string, text string")
+    assert rows(scan.known_sessions(texts, known), "location") == [("a",)]
     wanted = spark.createDataFrame([("tw",), ("o",), ("zz",)], "prefix string")
     assert rows(jsonl.resolve(logs[1], wanted), "prefix", "status") == [("o", "ambiguous"), ("tw", "ok"), ("zz", "unknown")]
 
@@ -110,11 +113,14 @@ def test_rounds_and_brief(logs):
     humans = rounds.human_texts(entries, blocks)
     assert rows(humans.filter("session_id = 'one' AND text IS NOT NULL"), "ix", "text") == [(0, "please start"), (4, "<system-reminder>x</system-reminder>")]
     assert rows(rounds.brief_stats(entries, blocks, humans).filter("session_id = 'one'"), "rounds", "raw_rounds", "tool_uses", "entry_count") == [(1, 2, 3, 7)]
-    text = rounds.whole_brief(rounds.brief(entries, blocks, humans)).filter("session_id = 'one'").first()["xml"]
+    stats = rounds.brief_stats(entries, blocks, humans).withColumn("source", F.lit("one.jsonl"))
+    text = rounds.whole_brief(rounds.brief(entries, blocks, humans), stats).filter("session_id = 'one'").first()["text"]
     assert text == (
-        '<round n="1" branch="main">\n<user idx="0">please start</user>\n<assistant idx="1">Sure.</assistant>\n<tools idx="1">\n'
-        "Read a.ts → [error: &lt;persisted-output&gt;]\nBash `npm test ⏎` — ~1 tok out [error]\n</tools>\n</round>"
-    ) or "<tools idx=" in text
+        '<session source="one.jsonl" rounds="1" assistant_text_tokens="1" tool_uses="3">\n<round n="1">\n<user idx="0">\nplease start\n</user>\n<git branch="main"/>\n<assistant idx="1">\nSure.\n</assistant>\n'
+        '<tools idx="1">\n- [1] Read a.ts — 5 lines, ~27 tokens\n- [1] Bash ` npm test ⏎ ` — ~1 tok out [error]\n</tools>\n</round>\n</session>\n'
+    )
+    marked = rounds.whole_brief(rounds.brief(entries, blocks, humans, markdown=True), stats, markdown=True).filter("session_id = 'one'").first()["text"]
+    assert marked.startswith("# Session brief\n\n**Source:** `one.jsonl`\n**Rounds:** 1") and "> please start\n\n*on `main`*\n\n**Assistant** `[ix 1]`\n\nSure.\n\n**Tools** `[ix 1]`\n- [1] Read" in marked
 
 
 def test_search(logs):
@@ -126,16 +132,18 @@ def test_search(logs):
 def test_condensed_blocks(logs):
     out = condense.condensed_blocks(logs[2], 60)
     (spilled,) = out.filter("tool_use_id = 't1' AND ix = 6").collect()
-    stub = json.loads(spilled["condensed_content"])
-    assert stub["ref"] == "spill/spill-1.txt" and stub["truncated"] and spilled["stubbed"]
+    stub = json.loads(spilled["json"])["result"]
+    assert stub["ref"] == "spill/spill-1.txt" and stub["truncated"] and stub["preview"] == "x" and spilled["stubbed"]
 
 
 def test_file_history(spark):
-    tracked = {f"src/foo.ts": {"backupFileName": f"b{v}", "version": v, "backupTime": "t"} for v in (1,)}
     snaps = spark.createDataFrame([("s", ix, json.dumps({"src/foo.ts": {"backupFileName": f"b{v}", "version": v, "backupTime": "t"}})) for ix, v in ((5, 1), (9, 1), (12, 2), (30, 3))], "session_id string, ix int, tracked string")
     versions = filehistory.file_versions(snaps)
-    assert rows(versions, "version", "ix") == [(1, 5), (2, 12), (3, 30)] and tracked
+    assert rows(versions, "version", "ix") == [(1, 5), (2, 12), (3, 30)]
     asked = spark.createDataFrame([("s", "src/foo.ts", 15), ("s", "src/foo.ts", 999), ("s", "src/foo.ts", 0), ("s", "other", 3)], "session_id string, path string, ix int")
+    stored = spark.createDataFrame([("s", "b1", 7), ("s", "b2", 8)], "session_id string, blob string, bytes long")
+    seen = filehistory.file_at(filehistory.with_blobs(versions, stored), asked)
+    assert {(r["ix"], r["version"], r["status"], r["blob"]) for r in seen.collect()} == {(15, 2, "ok", "b2"), (999, 3, "no blob", None), (0, None, "too early", None), (3, None, "untracked", None)}
     got = filehistory.file_at(versions, asked).select("ix", "version", "status").collect()
     assert {tuple(r) for r in got} == {(15, 2, "ok"), (999, 3, "ok"), (0, None, "too early"), (3, None, "untracked")}
 
@@ -153,7 +161,7 @@ def test_selectors_and_result_tokens(spark):
 def test_lint_reports_missing_parts_alone(spark):
     turns = spark.createDataFrame([("s", 3)], "session_id string, turn_count long")
     bad = spark.createDataFrame([("s", '{"summary":""}')], "session_id string, narrative string")
-    assert narrative.lint(bad, turns).filter("error LIKE 'missing:%'").count() == 8
+    assert narrative.lint(bad, turns).filter("error LIKE 'narrative missing required field:%'").count() == narrative.lint(bad, turns).count() == 8
     assert narrative.lint(narrative.placeholder(turns), turns).count() == 0
 
 
@@ -162,6 +170,10 @@ def test_sinks_keep_other_sessions(spark, tmp_path):
     sinks.write_sessions(make("a", 1).union(make("b", 1)), str(tmp_path / "t"))
     sinks.write_sessions(make("b", 2), str(tmp_path / "t"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("session_id", "v").collect()} == {("a", 1), ("b", 2)}
+    # Sessions that share a bucket, too.
+    for v in (1, 2):
+        sinks.write_sessions(make("c", v).union(make("d", 1)) if v == 1 else make("c", v), str(tmp_path / "u"), buckets=1)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "u")).select("session_id", "v").collect()} == {("c", 2), ("d", 1)}
 
 
 def test_plan_stays_in_the_engine(spark, sf_dir):
@@ -178,7 +190,7 @@ def test_compacted_logs(spark, logs, tmp_path):
     out = compact_sessions(logs[1], logs[2], keep=1)
     lines = [json.loads(r["raw"]) for r in out.filter("session_id = 'one'").orderBy("section", "ix").collect()]
     assert [x["type"] for x in lines] == ["user", "user", "assistant", "user"]  # the bundle, then the last round
-    assert '<turn ix="0" kind="user">please start</turn>' in lines[0]["message"]["content"] and 'error="true"' in lines[0]["message"]["content"]
+    assert '<turn ix="0" kind="user">\nplease start\n</turn>' in lines[0]["message"]["content"] and 'error="true"' in lines[0]["message"]["content"]
     assert lines[0]["parentUuid"] is None and [x.get("parentUuid", lines[i - 1]["uuid"]) for i, x in enumerate(lines) if i] == [x["uuid"] for x in lines[:-1]]
     assert len({x.get("sessionId") for x in lines if "sessionId" in x}) == 1
     sinks.write_compacted(out, str(tmp_path / "c"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlog.functions import text as T
-from sessionlog.functions.jsonwalk import deep_truncate, pretty, sweep, with_ids
+from sessionlog.functions.jsonwalk import condensed, pretty, sweep, with_ids
 from sessionlog.functions.oneliners import one_liner, parsed_input, result_text
 
 
@@ -91,11 +91,13 @@ def test_result_text(spark):
 def test_json_walks_keep_order_and_cap(spark):
     text = json.dumps({"z": "x" * 9, "a": {"b": "y" * 9}, "n": 1}, separators=(",", ":"))
     ref = F.lit("turns/00001.json")
-    deep = json.loads(value(spark, deep_truncate(F.col("t"), ref, 8), t=text))
+    deep = json.loads(value(spark, condensed(F.col("t"), ref, 8)["json"], t=text))
     assert list(deep) == ["z", "a", "n"] and deep["a"]["b"]["bytes"] == 9 and deep["z"]["truncated"]
-    top = json.loads(value(spark, deep_truncate(F.col("t"), ref, 8, top_level=True), t=text))
+    call = json.dumps({"type": "tool_use", "id": "i", "name": "X", "input": json.loads(text)}, separators=(",", ":"))
+    top = json.loads(value(spark, condensed(F.col("t"), ref, 8)["json"], t=call))["input"]  # strings at the top alone
     assert top["a"]["b"] == "y" * 9 and top["z"]["ref"] == "turns/00001.json"
-    assert value(spark, deep_truncate(F.col("t"), ref, 9), t=text) == text  # a value at the cap stays
+    assert value(spark, condensed(F.col("t"), ref, 9)["json"], t=text) == text  # a value at the cap stays
+    assert not value(spark, condensed(F.col("t"), ref, 9)["stubbed"], t=text)
     assert "[truncated: 9 bytes; preview: yyy" in value(spark, sweep(F.col("t"), 8), t=text)
     assert value(spark, pretty(F.col("t")), t='{"b":1,"a":[]}') == '{\n  "b": 1,\n  "a": []\n}'
     assert value(spark, with_ids(F.col("t"), F.create_map(F.lit("uuid"), F.lit("n"), F.lit("other"), F.lit("m"))), t='{"b":1,"uuid":"o"}') == '{"b":1,"uuid":"n"}'
