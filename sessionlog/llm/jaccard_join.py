@@ -31,8 +31,8 @@ of shingles have 64 bits, keys of classes 128.
 
 Defined cases: a text with fewer words than a shingle has its whole sequence as
 one; one without words has an empty set and is its own component; rows with
-equal doc_id are one document in its component; a null doc_id takes no part in
-links; an empty table gives an empty result; extra columns are ignored.
+equal doc_id are one document in its component; a null doc_id makes no links, but
+has the component of documents with an equal set, if there are any; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -100,3 +101,64 @@ def token_pieces(text, tokenizer, sequence=2048):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def source_rates(sizes, target, most=2):
+    """Rates r = min(most, exp(m * size / scale)) with sum(r * size) = target, by halving."""
+    scale = sum(x * x for x in sizes) / sum(sizes)
+    rates = lambda m: [min(most, math.exp(min(50, m * x / scale))) if x else 0.0 for x in sizes]
+    if target >= most * sum(sizes) * (1 - 1e-9):
+        return [float(most) if x else 0.0 for x in sizes]
+    low, high = -1e3, 1e6
+    for _ in range(300):
+        m = (low + high) / 2
+        low, high = (m, high) if sum(r * x for r, x in zip(rates(m), sizes, strict=True)) < target else (low, m)
+    return rates(low)
+
+
+def slot_table(shards, slots, weights=None):
+    """Every shard walks its own permutation of the slots and claims the next free one at its turn."""
+    walks = []
+    for s in shards:
+        h = hashlib.sha256(s.encode()).digest()
+        start, skip = int.from_bytes(h[:8], "big") % slots, int.from_bytes(h[8:16], "big") % (slots - 1) + 1
+        walks.append(iter([(start + i * skip) % slots for i in range(slots)]))
+    table = {}
+    while len(table) < slots:
+        for i, walk in enumerate(walks):
+            for _ in range((weights or [1] * len(shards))[i]):
+                if len(table) < slots:
+                    table[next(x for x in walk if x not in table)] = i
+    return [table[i] for i in range(slots)]
+
+
+def languages(rows, names, text_logs, declared_trust, path_trust, host_weight, little):
+    """rows: (declared, path, suffix, domain, host, evidence or None); -> [(language, confidence)]"""
+
+    def said(x, trust):
+        rest = math.log((1 - trust) / max(1, len(names) - 1))
+        return [math.log(trust) if n == x else rest for n in names] if x in names else [0.0] * len(names)
+
+    def posterior(logs):
+        e = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    logs = [[a + b + c for a, b, c in zip(ev or [0.0] * len(names), said(d, declared_trust), said(p, path_trust), strict=True)] for d, p, _, _, _, ev in rows]
+    counts = defaultdict(lambda: [0.0] * len(names))
+    for (_, _, suffix, domain, host, ev), own in zip(rows, logs, strict=True):
+        if ev is not None:
+            for i, x in enumerate(posterior(own)):
+                if x >= little:
+                    for key in ((), (suffix,), (suffix, domain), (suffix, domain, host)):
+                        counts[key][i] += x
+    n = len(names)
+    drawn = {(): [(x + 1) / (sum(counts[()]) + n) for x in counts[()]]}
+    for depth in (1, 2, 3):
+        for key in [k for k in counts if len(k) == depth]:
+            drawn[key] = [(x + host_weight * above) / (sum(counts[key]) + host_weight) for x, above in zip(counts[key], drawn[key[:-1]], strict=True)]
+    out = []
+    for (_, _, suffix, domain, host, ev), own in zip(rows, logs, strict=True):
+        prior = drawn.get((suffix, domain, host))
+        final = posterior([a + (math.log(b) if prior else 0.0) for a, b in zip(own, prior or [1.0] * n, strict=True)])
+        out.append((names[final.index(max(final))] if ev is not None else None, max(final)))
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 import numpy as np
@@ -112,6 +113,27 @@ def test_op1_meets_targets(spark, docs, real, empty):
     assert mixing.op1(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [5, mixing.BUCKET_ROWS])
+def test_op1_reruns_agree_for_any_layout(spark, bucket_rows):
+    r = np.random.default_rng(4)
+    rows = [(int(i) if i % 11 else None, " ".join(f"t{i % 37}-{j}" for j in range(40 + int(r.integers(5)))), f"s{i % 3}" if i % 3 else None) for i in range(300)]
+    rows += [(7, rows[8][1], "s2")] * 4 + [(7, rows[9][1], "s2"), (7, None, "s2"), (8, "", "s1")]  # a doc_id with rows alike and not
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = lambda d: sorted(map(tuple, mixing.mix(d, bucket_rows=bucket_rows).select("doc_id", "source", "size", "taken", "rate").collect()), key=str)
+    first = of(frame.coalesce(1))
+    assert len(first) == len(rows) and first == of(frame.repartition(3)) == of(frame.orderBy(F.desc("text")).repartition(7, "text"))
+    check_mix(mixing.mix(frame, bucket_rows=bucket_rows).collect())
+
+
+def test_op1_rates_solve_the_dual(real):
+    rows = mixing.mix(real).collect()
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        want = brute.source_rates([r["size"] for r in own], own[0]["target"])
+        assert [r["rate"] for r in own] == pytest.approx(want, abs=2e-3)
+        assert all(abs(r["copies"] - r["rate"]) < 1 + 1e-6 for r in own)
+
+
 # --- op2 -----------------------------------------------------------------------------
 def test_op2_table_and_placement(docs, empty):
     table = sharding.fill_table(("a", "b", "c"), 1009)
@@ -124,6 +146,25 @@ def test_op2_table_and_placement(docs, empty):
     rows = sharding.op2(docs).collect()
     assert len(rows) == len(TEXTS) and all(r["shard"] == sharding.SHARDS[r["shard_no"]] for r in rows)
     assert sharding.op2(empty).count() == 0
+    for weights in (None, (3, 1, 2)):
+        assert sharding.fill_table(("a", "b", "c"), 211, weights).tolist() == brute.slot_table(("a", "b", "c"), 211, weights)
+
+
+def test_op2_places_as_a_plain_lookup_does(spark, docs):
+    import struct
+
+    import xxhash
+
+    own = spark.createDataFrame([(3, "x"), (3, None), (None, "y"), (None, "y"), (-5, ""), (1 << 60, "z")], "doc_id long, text string")
+    table = brute.slot_table(sharding.SHARDS, sharding.SLOTS)
+    for d in (own, docs):
+        got = sharding.op2(d).collect()
+        assert len(got) == d.count()
+        for r in got:
+            h = 42 if r["doc_id"] is None else xxhash.xxh64(struct.pack("<q", r["doc_id"]), seed=42).intdigest()
+            slot = (h - (1 << 64) if h >> 63 else h) % sharding.SLOTS
+            assert (r["slot"], r["shard_no"]) == (slot, table[slot])
+    assert sharding.place(own.withColumnRenamed("text", "slot")).count() == own.count()  # a clashing name
 
 
 # --- op3 -----------------------------------------------------------------------------
@@ -250,8 +291,57 @@ def test_op6_finds_languages(real, docs, empty, spark, sf_dir):
     rejected = {r["doc_id"] for r in language_id.op6(docs).filter("NOT accepted").collect()}
     assert {0, 7} <= rejected  # null and empty texts
     assert language_id.op6(empty).count() == 0
-    pages = language_id.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), real).collect()
-    assert all(f"/{r['language']}/" in r["url"] for r in pages) or sum(r["accepted"] for r in pages) == len(pages)
+
+
+def _evidence(text, model):
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    code, _ = language_id._trigrams(raw, np.array([0, len(raw)]))
+    return [float(x) for x in model[1][:, code].astype(np.float64).sum(axis=1) * min(len(code), language_id.EVIDENCE) / len(code)] if len(code) else None
+
+
+def _compare(got, rows, model, key):
+    want = brute.languages([x[1:] for x in rows], model[0], None, language_id.DECLARED_TRUST, language_id.PATH_TRUST, language_id.HOST_WEIGHT, language_id.LITTLE)
+    want = sorted((x[0], lang, round(p, 4)) for x, (lang, p) in zip(rows, want, strict=True))
+    have = sorted((r[key], r["language"], round(r["confidence"], 4)) for r in got)
+    assert [x[:2] for x in have] == [x[:2] for x in want] and [x[2] for x in have] == pytest.approx([x[2] for x in want], abs=2e-3)
+    assert all(r["accepted"] == (r["n_trigrams"] > 0 and r["confidence"] >= language_id.LEAST) for r in got)
+
+
+def test_op6_same_as_plain(real, docs):
+    model = language_id.fit(real)
+    for d in (real, docs):
+        rows = [(r["doc_id"], r["lang"] or "", "", "", "", r["source"] or "", _evidence(r["text"], model)) for r in d.collect()]
+        got = language_id.identify(d, model, ["doc_id"], "text", declared=F.col("lang"), host=F.col("source")).collect()
+        _compare(got, rows, model, "doc_id")
+
+
+def test_op6_held_out_texts_alone(spark, real):
+    model = language_id.fit(real.filter("doc_id % 2 = 0"))
+    rest = language_id.identify(real.filter("doc_id % 2 = 1"), model, ["doc_id", "lang"], "text").collect()
+    assert len(rest) > 50 and sum(r["language"] == r["lang"] for r in rest) / len(rest) > 0.95
+
+
+def test_op6_keeps_every_language(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" * 30, f"l{i:03d}") for i in range(160)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[0] == [f"l{i:03d}" for i in range(160)]
+
+
+def test_pages_same_as_plain(spark, real, sf_dir, empty):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    odd = [(9001, None, None), (9002, "http://x.fr/de/a", ""), (9002, "http://x.fr/de/a", ""), (9003, "nonsense", "<html lang='xx'>" + "der die das und " * 9), (9004, "https://a.b.co.uk/", "<script>x</script><p>" + "le la les et de " * 9)]
+    pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    model = language_id.fit(real)
+    bare = re.compile(r"<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", re.I | re.S)
+    first = lambda p, x: (re.search(p, x or "") or ["", ""])[1]
+    rows = []
+    for r in pages.collect():
+        host = first(r"^[a-zA-Z]+://([^/:?#]+)", r["url"]).lower()
+        body = None if r["html"] is None else bare.sub(" ", r["html"])
+        rows.append((r["page_id"], first(r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2})", r["html"]).lower(), first(r"^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})(?:/|$)", r["url"]).lower(), first(r"\.([^.]+)$", host), first(r"([^.]+\.[^.]+)$", host), host, _evidence(body, model)))
+    got = language_id.identify_pages(pages, real)
+    _compare(got.collect(), rows, model, "page_id")
+    assert language_id.identify_pages(pages.limit(0), real).count() == 0 and language_id.identify_pages(pages, empty).filter("accepted").count() == 0
 
 
 # --- op7 -----------------------------------------------------------------------------
@@ -300,6 +390,13 @@ def test_op7_regions_are_entered(real, monkeypatch):
     assert got == want and len(entered) > 0
 
 
+def test_op7_null_and_repeated_doc_ids(spark):
+    near = BODY.replace("w59", "x")
+    rows = [(4, BODY), (4, "something else here now"), (6, near), (None, BODY), (None, "lone words"), (9, "something else here now"), (2, None), (2, "")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.op7(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(4, 57, 4), (4, 1, 4), (6, 57, 4), (None, 57, 4), (None, 1, None), (9, 1, 4), (2, 0, 2), (2, 0, 2)], key=str)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (20, 21), (21, 22), (30, 30)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -378,6 +475,29 @@ def test_op10_same_as_plain(docs, plain, real, empty):
     assert exact_dedup.op10(empty).count() == 0
 
 
+def test_op10_null_and_repeated_doc_ids(spark):
+    rows = [(3, "A"), (3, "a"), (5, "a"), (None, "a"), (None, "b"), (None, None), (7, ""), (9, "c"), (9, "c"), (9, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.op10(frame).collect()), key=str)
+    want = [(3, 5, 4, False)] * 2 + [(5, 5, 4, True), (None, 5, 4, False), (None, None, 1, True), (None, 7, 2, False), (7, 7, 2, True), (9, 9, 2, True), (9, 9, 2, True), (9, 9, 1, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_op10_filters_screen_and_are_reused(spark, monkeypatch):
+    old = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    stored = exact_dedup.freeze(old, shard_keys=100)
+    assert stored.filters.count() == stored.shards > 1
+    for first in (300, 390):  # two batches against one snapshot
+        new = spark.createDataFrame([(1000 + i, f"TEXT {i}") for i in range(first, first + 200)], "doc_id long, text string")
+        digests = exact_dedup.with_digest(new).groupBy("digest").count()
+        positive = {bytes(r["digest"]) for r in exact_dedup.screen(digests, stored.filters, stored.shards).collect()}
+        held = {bytes(r["digest"]) for r in stored.digests.collect()}
+        assert {bytes(r["digest"]) for r in digests.collect()} & held <= positive and len(positive) < 400 - first + 30
+        monkeypatch.setattr(exact_dedup, "build_filters", None)  # the stored ones are used
+        got = exact_dedup.exact_dedup(stored, new).filter("batch").collect()
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == {1000 + i: (1000 + i, 2 if i < 400 else 1, True) for i in range(first, first + 200)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 50_000])
 def test_fuse_filter_never_misses(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
