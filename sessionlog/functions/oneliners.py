@@ -16,22 +16,23 @@ BROWSER_FIELDS = ("url", "element", "ref", "text", "key", "selector")
 TASK_LISTS = ("TodoWrite", "TaskCreate", "TaskUpdate", "TaskList", "TaskGet")
 
 
-def parsed_input(column: str) -> Column:
-    """An input's JSON text with its parsed form, so that it is parsed once; a column of its own before any line is built."""
-    return F.struct(F.col(column).alias("json"), F.try_parse_json(column).alias("parsed"))
-
+#: Fields of inputs that some line shows.
+STRINGS = ("file_path", "old_string", "new_string", "content", "pattern", "path", "glob", "command", "description", "prompt", "subagent_type", "taskId", "id", "subject", "title", "status", *(x for x in BROWSER_FIELDS))
+OTHERS = ("offset", "limit", "replace_all")
 
-def _kind(given: Column, name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(given["parsed"], f"$.{name}", "variant"))
 
-
-def _value(given: Column, name: str) -> Column:
-    return F.try_variant_get(given["parsed"], f"$.{name}", "string")
+def parsed_input(column: str) -> Column:
+    """An input's JSON text with the fields that lines need, taken out once; a column of its own before any line is built."""
+    of = lambda name, kind: f"try_variant_get(v, '$.{name}', '{kind}')"
+    strings = [f"'{x}', if(schema_of_variant({of(x, 'variant')}) = 'STRING', {of(x, 'string')}, null)" for x in STRINGS]
+    others = [f"'{x}', {of(x, 'string')}" for x in OTHERS]
+    flag = f"'flag', schema_of_variant({of('replace_all', 'variant')}) = 'BOOLEAN'"
+    return F.expr(f"element_at(transform(array(try_parse_json({column})), v -> named_struct('json', {column}, {', '.join([*strings, *others, flag])})), 1)")
 
 
 def string_field(given: Column, name: str) -> Column:
     """A field of the input if it is a string and not empty, else null."""
-    return F.when(_kind(given, name) == "STRING", F.nullif(_value(given, name), F.lit("")))
+    return F.nullif(given[name], F.lit(""))
 
 
 def _or_empty(x: Column) -> Column:
@@ -56,7 +57,7 @@ def _error(result: Column) -> Column:
 
 def read_line(given: Column, result: Column, failed: Column) -> Column:
     """B13."""
-    offset, limit = (_value(given, x) for x in ("offset", "limit"))
+    offset, limit = given["offset"], given["limit"]
     window = F.when(offset.isNotNull() | limit.isNotNull(), F.concat(F.lit(" (offset="), F.coalesce(offset, F.lit("0")), F.lit(", limit="), F.coalesce(limit, F.lit("?")), F.lit(")"))).otherwise("")
     lines = F.when(result == "", 0).otherwise(F.size(F.split(result, "\n")) - F.when(result.endswith("\n"), 1).otherwise(0))
     tokens = est_tokens(F.length(F.regexp_replace(result, r"(?m)^\s*\d+\s*\t", "")))
@@ -66,7 +67,7 @@ def read_line(given: Column, result: Column, failed: Column) -> Column:
 def edit_line(given: Column, result: Column, failed: Column) -> Column:
     """B14."""
     stat = diff_stat(_or_empty(string_field(given, "old_string")), _or_empty(string_field(given, "new_string")))
-    every = F.when((_kind(given, "replace_all") == "BOOLEAN") & (_value(given, "replace_all") == "true"), " (replace_all)").otherwise("")
+    every = F.when(given["flag"] & (given["replace_all"] == "true"), " (replace_all)").otherwise("")
     return F.concat(F.lit("Edit "), _path(given), F.when(failed, _error(result)).otherwise(F.concat(every, F.lit(" +"), _text(stat["added"]), F.lit(" -"), _text(stat["deleted"]))))
 
 
@@ -131,7 +132,7 @@ def _first_scalar(given: Column, numbers: bool) -> Column:
 
 def browser_line(name: Column, given: Column, failed: Column) -> Column:
     """B21."""
-    named = [F.when(_kind(given, x) == "STRING", F.concat(F.lit(f"{x}="), json_quote(shorten(_value(given, x), 40)))) for x in BROWSER_FIELDS]
+    named = [F.concat(F.lit(f"{x}="), json_quote(shorten(given[x], 40))) for x in BROWSER_FIELDS]
     return F.concat(F.replace(name, F.lit(BROWSER_PREFIX), F.lit("")), F.lit("("), _or_empty(F.coalesce(*named, _first_scalar(given, False))), F.lit(")"), F.when(failed, " → [error]").otherwise(""))
 
 

@@ -49,8 +49,9 @@ def round_stream(rounds_: DataFrame, blocks: DataFrame) -> DataFrame:
     """Texts and one-line calls of each round in order, with stretches of calls numbered."""
     results = tool_result_index(blocks).withColumnRenamed("tool_use_id", "tool_id")
     lines = blocks.filter("type IN ('text', 'tool_use')").join(rounds_.filter("type = 'assistant'").select("session_id", "ix", "round"), ["session_id", "ix"])
-    lines = lines.drop("content", "content_kind", "is_error").withColumn("given", parsed_input("input")).join(results, ["session_id", "tool_id"], "left")
-    line = F.when(F.col("type") == "text", trim_all(F.col("text"))).otherwise(one_liner(F.col("tool_name"), F.col("given"), result_text(F.col("content"), F.col("content_kind")), F.coalesce("is_error", F.lit(False))))
+    lines = lines.drop("content", "content_kind", "is_error").join(results, ["session_id", "tool_id"], "left").withColumn("answer", result_text(F.col("content"), F.col("content_kind")))
+    lines = lines.withColumn("given", F.explode(F.array(parsed_input("input"))))
+    line = F.when(F.col("type") == "text", trim_all(F.col("text"))).otherwise(one_liner(F.col("tool_name"), F.col("given"), F.col("answer"), F.coalesce("is_error", F.lit(False))))
     # An array of one, exploded: filters on the line stay above it and don't build the line anew.
     out = lines.select("session_id", "round", "ix", "block_ix", F.when(F.col("type") == "text", "text").otherwise("tool").alias("kind"), F.explode(F.array(line)).alias("line")).filter("line <> ''")
     order = Window.partitionBy("session_id", "round").orderBy("ix", "block_ix").rowsBetween(Window.unboundedPreceding, 0)

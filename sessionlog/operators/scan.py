@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: name, severity, pattern: each pattern stands within a line.
+#: name, severity, pattern, and a text that every match holds: each pattern stands within a line.
 CHECKS = (
-    ("email", "warn", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("api-key", "fail", r"\bsk-[A-Za-z0-9]{16,}\b"),
-    ("cloud-key", "fail", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("ip-address", "warn", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("email", "warn", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    ("api-key", "fail", r"\bsk-[A-Za-z0-9]{16,}\b", "sk-"),
+    ("cloud-key", "fail", r"\bAKIA[0-9A-Z]{16}\b", "AKIA"),
+    ("ip-address", "warn", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "."),
 )
 MAX_BYTES = 2 * 1024 * 1024
 LINE_CHARS = 140
@@ -34,11 +34,12 @@ def scan(texts: DataFrame, checks: tuple = CHECKS) -> DataFrame:
     """O1: an issue for each match: location, 1-based line, check, severity, match and the line, trimmed and cut.
 
     One pass: a text is split only if it holds a match, a line is searched by all
-    checks at once.
+    checks at once; patterns are tried only where the text that they need stands.
     """
-    hits = reduce(lambda a, b: a | b, [F.rlike("text", F.lit(p)) for _, _, p in checks])
+    hits = reduce(lambda a, b: a | b, [F.contains("text", F.lit(needs)) & F.rlike("text", F.lit(p)) for _, _, p, needs in checks])
     lines = texts.filter(hits).select("location", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    found = F.array(*[F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("matches")) for name, severity, p in checks])
+    matches = lambda p, needs: F.when(F.contains("line", F.lit(needs)), F.regexp_extract_all("line", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.array(*[F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), matches(p, needs).alias("matches")) for name, severity, p, needs in checks])
     each = lines.select("location", (F.col("n") + 1).alias("line_no"), "line", F.explode(F.filter(found, lambda x: F.size(x["matches"]) > 0)).alias("f"))
     return each.select("location", "line_no", "f.check_name", "f.severity", F.explode("f.matches").alias("match"), F.substring(F.trim("line"), 1, LINE_CHARS).alias("line"))
 

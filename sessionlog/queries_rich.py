@@ -131,6 +131,7 @@ _of("a16_result_tokens", analyze.result_tokens, _messages, sql="WITH e AS (SELEC
 
 # --- condensing ----------------------------------------------------------------------------
 _of("c2_condensed_blocks", lambda b: condense.condensed_blocks(b, INLINE).select("session_id", "ix", "block_ix", "json", "stubbed", "orig", "inlined"), rich.blocks, sql=SQL + " SELECT session_id, ix, block_ix, condensed AS json, cut AS stubbed, orig, inlined FROM xb")
+_of("c3_condensed_blocks", lambda b: condense.condensed_blocks(b.filter("type = 'tool_result'"), INLINE).select("session_id", "ix", "block_ix", F.get_json_object("json", "$.result").alias("result"), "stubbed"), rich.blocks, sql=SQL + " SELECT session_id, ix, block_ix, coalesce(json_extract_string(condensed, '$.result'), CAST(json_extract(condensed, '$.result') AS VARCHAR)) AS result, cut AS stubbed FROM xb WHERE kind LIKE 'tool_result:%'")
 _of("c5_payloads", lambda e: condense.condensed_payloads(e, INLINE).select("session_id", "ix", "type", "json", "stubbed"), rich.entries, sql=SQL + """ SELECT session_id, ix, type, condensed AS json, contains(condensed, '"truncated":true') AS stubbed FROM x WHERE k IN (7, 10, 12)""")
 _CONDENSED = """, parents AS (SELECT session_id, ix, 'u-' || c || '-' || ix AS uuid FROM x WHERE k NOT IN (10, 12)),
 ce AS (SELECT x.session_id, x.ix, CASE WHEN k IN (10, 12) THEN 'ix:' || x.ix ELSE 'uuid:u-' || x.c || '-' || x.ix END AS ref, p.ix AS parent_ix, CASE WHEN k IN (10, 12) THEN 'other' ELSE type END AS role, type, condensed AS content, contains(condensed, '"truncated":true') AS stubbed, k = 11 AS synthetic
