@@ -130,6 +130,10 @@ class _Neighbourhood:
         self.n = np.array([len(s) for s in sets], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
         universe, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        # The classes that hold each shingle.
+        self.held = np.repeat(np.arange(len(self.n)), self.n)[np.argsort(self.flat, kind="stable")]
+        self.df = np.bincount(self.flat, minlength=len(universe))
+        self.held_from = np.cumsum(self.df) - self.df
         self.mark = np.zeros(len(universe), bool)
         self.percent, self.eps = percent, 1 - percent / 100
         self.root = np.arange(len(self.n))
@@ -138,6 +142,8 @@ class _Neighbourhood:
     def _shared(self, i: int, own: np.ndarray) -> np.ndarray:
         """How many shingles class i shares with each of own."""
         mine, n = self.flat[self.first[i] : self.first[i + 1]], self.n[own]
+        if n.sum() > self.df[mine].sum():
+            return np.bincount(self._holders(mine), minlength=len(self.n))[own]
         starts = np.cumsum(n) - n
         at = np.arange(int(n.sum())) + np.repeat(self.first[own] - starts, n)
         self.mark[mine] = True
@@ -145,6 +151,20 @@ class _Neighbourhood:
         self.mark[mine] = False
         return out
 
+    def _holders(self, shingles: np.ndarray) -> np.ndarray:
+        """The classes that hold each of the shingles, one after the other."""
+        many = self.df[shingles]
+        at = np.arange(int(many.sum())) + np.repeat(self.held_from[shingles] - (np.cumsum(many) - many), many)
+        return self.held[at]
+
+    def _may_link(self, i: int) -> np.ndarray:
+        """Whether each class holds one of so many of i's rarest shingles that a linked one can't lack them all."""
+        mine = self.flat[self.first[i] : self.first[i + 1]]
+        rare = mine[np.argsort(self.df[mine], kind="stable")[: len(mine) - int(_needed(len(mine), self.percent)) + 1]]
+        out = np.zeros(len(self.n), bool)
+        out[self._holders(rare)] = True
+        return out
+
     def _link(self, i: int, own: np.ndarray, shared: np.ndarray, level: int) -> np.ndarray:
         linked = 100 * shared >= self.percent * (self.n[i] + self.n[own] - shared)
         for j in own[linked].tolist():
@@ -153,15 +173,25 @@ class _Neighbourhood:
                 self.links.append((int(self.ids[i]), int(self.ids[j]), level))
         return linked
 
-    def _compare(self, own: np.ndarray, level: int) -> None:
-        """Every two of own, in order of size, within the window that the threshold leaves and not yet in one component."""
-        own = np.sort(own)
+    def _compare(self, own: np.ndarray, level: int, away: np.ndarray | None = None) -> None:
+        """Every two of own, in order of size, within the windows that the threshold leaves and not yet in one component.
+
+        The windows are of size and, given distances to pivots, of these: by the triangle
+        inequality those of linked classes differ by EPS at most. What is left must hold
+        some of the rarer shingles.
+        """
+        order = np.argsort(own, kind="stable")
+        own, away = own[order], None if away is None else away[:, order]
         end = np.searchsorted(self.n[own] * self.percent, self.n[own] * 100, "right")
         for k, i in enumerate(own.tolist()):
-            near = own[k + 1 : int(end[k])]
-            near = near[self.root[near] != self.root[i]]
+            near = np.arange(k + 1, int(end[k]))
+            near = near[self.root[own[near]] != self.root[i]]
+            if away is not None and len(near):
+                near = near[(np.abs(away[:, near] - away[:, [k]]) <= self.eps + 1e-9).all(axis=0)]
             if len(near):
-                self._link(i, near, self._shared(i, near), level)
+                near = near[self._may_link(i)[own[near]]]
+            if len(near):
+                self._link(i, own[near], self._shared(i, own[near]), level)
 
     def join(self, own: np.ndarray, level: int = 0) -> None:
         """Divide own by pivots into Voronoi regions with their windows, and join each."""
@@ -192,7 +222,7 @@ class _Neighbourhood:
             if (lives | window).sum() > 1:
                 parts.append(own[lives | window])
         if sum(map(len, parts)) > 3 * len(own) or max(map(len, parts), default=0) > 0.9 * len(own):
-            return self._compare(own, level)
+            return self._compare(own, level, d)
         for part in parts:
             self.join(part, level + 1)
 
