@@ -33,6 +33,8 @@ from ._store import cut, discard
 from ._words import LOWER, chunks
 
 TRAIN_ROWS = 1_000
+#: Most chosen texts that are broadcast, by two numbers each.
+CHOSEN = 1_000_000
 FEATURES = 1 << 14
 #: The text counts as this many independent trigrams at most.
 EVIDENCE = 60
@@ -68,11 +70,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows:
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("tag", F.xxhash64("text"))
     texts = cut(rows.groupBy("lang", "tag").agg(F.count(F.lit(1)).alias("many")))
     most = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
-    # A hash threshold leaves about twice what is wanted, so that no language's texts all meet.
-    hashed = texts.select("lang", "tag").join(most, "lang").filter(F.pmod(F.xxhash64("tag"), F.lit(1 << 30)) * F.col("many") < 2 * train_rows * (1 << 30))
+    # A row a language, fewer bytes than the model has for it, is broadcast. A hash threshold leaves about twice what is wanted, so that no language's texts all meet.
+    hashed = texts.select("lang", "tag").join(F.broadcast(most), "lang").filter(F.pmod(F.xxhash64("tag"), F.lit(1 << 30)) * F.col("many") < 2 * train_rows * (1 << 30))
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("tag"), "tag")
     chosen = cut(hashed.withColumn("i", F.row_number().over(drawn)).filter(F.col("i") <= train_rows).select("lang", "tag"))
-    sample = rows.join(chosen, ["lang", "tag"]).groupBy("lang", "tag").agg(F.max("text").alias("text"))
+    few = chosen.count() <= CHOSEN  # else a join as Spark sees fit
+    sample = rows.join(F.broadcast(chosen) if few else chosen, ["lang", "tag"]).groupBy("lang", "tag").agg(F.max("text").alias("text"))
     found = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in sample.groupBy("lang").applyInPandas(count, "lang string, counts binary").collect()}
     names = sorted(found)
     smooth = [np.log((found[x] + 0.5) / (found[x].sum() + 0.5 * FEATURES)) for x in names]
