@@ -34,7 +34,7 @@ SHARE = 1.5
 MOST_COPIES = 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many documents of a source and size class are sampled by one window.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 250
 #: A rate's fraction in units of 1 / 2**20; terms of the constraints in 1 / 2**10 words.
 UNIT, TERM = 1 << 20, 1 << 10
 
