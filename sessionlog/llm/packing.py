@@ -13,9 +13,10 @@ gives each piece its pattern and sequence.
 Ranks come from windows over (class, bucket) with bucket offsets, so that a
 class holding a third of all pieces is spread over many tasks.
 
+No order hangs on a physical row id, so any layout of one table gives one plan.
+
 Defined cases: a null or empty text is the single end id; a doc_id that occurs
-in several rows is packed once per row, its pieces told apart by `copy`; an
-empty table gives an empty result; extra columns are ignored.
+in several rows is packed once per row, a null one too; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ class WordIds:
 def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """Pieces of every text: doc_id, copy, start, length, ids_crc32, doc_tokens and, if asked for, ids.
 
-    copy numbers the rows of the whole table uniquely within a doc_id.
+    copy, a hash of the text, tells rows of one doc_id apart; rows alike in both are packed alike, each once.
     """
     path = tokenizer or default_tokenizer()
 
@@ -140,7 +141,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, se
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=False)], names)
 
     names = ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("copy"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, ", ".join(f"{x} array<long>" if x == "ids" else f"{x} long" for x in names))
 
 
