@@ -132,7 +132,7 @@ def _first_scalar(given: Column, numbers: bool) -> Column:
 
 def browser_line(name: Column, given: Column, failed: Column) -> Column:
     """B21."""
-    named = [F.concat(F.lit(f"{x}="), json_quote(shorten(given[x], 40))) for x in BROWSER_FIELDS]
+    named = [F.when(given[x].isNotNull(), F.concat(F.lit(f"{x}="), json_quote(shorten(given[x], 40)))) for x in BROWSER_FIELDS]
     return F.concat(F.replace(name, F.lit(BROWSER_PREFIX), F.lit("")), F.lit("("), _or_empty(F.coalesce(*named, _first_scalar(given, False))), F.lit(")"), F.when(failed, " → [error]").otherwise(""))
 
 
