@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionlog.functions.text import json_quote, stub, turn_ref
+from sessionlog.functions.text import json_quote
 
 INLINE = 500
 ENVELOPE = '"uuid":"u-<c>-<ix>","parentUuid":<p>,"sessionId":"<c>","timestamp":"<ts>","cwd":"/work/<c>","gitBranch":"b<b>","version":"1.<b>"'
