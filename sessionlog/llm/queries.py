@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, sharding, substring_dedup, top_k
+from . import conversation_repair, exact_dedup, filter_audit, jaccard_join, language_id, license_scan, mixing, packing, posting_lists, quality, sharding, substring_dedup, top_k
 from ._store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,10 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": lambda spark, d: license_scan.op8(documents(spark, d)),
     "op9_top_k": lambda spark, d: top_k.op9(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.op10(documents(spark, d)),
+    "op11_conversation_repair": lambda spark, d: conversation_repair.op11(spark.read.parquet(f"{d}/conversations.parquet")),
+    "op12_posting_lists": lambda spark, d: posting_lists.op12(spark.read.parquet(f"{d}/embeddings.parquet")),
+    "op13_filter_audit": lambda spark, d: filter_audit.op13(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op9_top_k": top_k.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
