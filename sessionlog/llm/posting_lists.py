@@ -8,12 +8,12 @@
    many vectors at once, finds the centroids of a vector.
 3. Postings. Every vector of the table goes to its nearest list and, when it lies at
    a boundary, to others whose distance is within (1 + CLOSURE) of the nearest one's and
-   which are not on the far side of one already taken. Long lists are cut into
-   blocks.
+   which are not on the far side of one already taken.
 4. Search. A query's lists are those within (1 + PRUNE) of its nearest centroid's
-   distance; each meets the list's blocks in bounded groups, whose best rows are
-   merged. A query that finds fewer than k rows in its lists meets all lists, so
-   that it gets k.
+   distance. Neighbouring lists lie together in groups of bounded size, a longer list
+   in blocks; a task holds one of them and a block of queries. A query's own group is
+   searched first, and its kth score there is the floor for what others return. A
+   query that finds fewer than k rows in its lists meets all lists, so that it gets k.
 
 Inner products become distances by one more component, sqrt(M^2 - |v|^2), M being the
 largest norm; queries are scaled to norm M and get 0 there. Scores are sums of products
@@ -28,7 +28,7 @@ Defined cases: vectors that are null, all zero, or hold null or non-finite compo
 take no part, nor do rows with a null id; vectors of different lengths are
 compared only with their equals in length, each length has an index of its own; of
 equal vectors a list needs, and keeps, the k + 1 smallest ids only; repeated rows
-count once; a repeated vec_id is a candidate with each of its vectors, none
+count once; a repeated vec_id is a candidate with each of its scores, none
 of them for a query of that id, and asks with its least vector; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -57,7 +57,8 @@ LINKS = 16
 COPIES, CLOSURE = 3, 0.05
 #: Lists that a query looks into are at most this much farther than the nearest; so many of them at most.
 PRUNE, PROBES = 0.25, 256
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Rows of a group of neighbouring lists, and queries that meet it at once.
+GROUP_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
 def halved(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
@@ -197,21 +198,36 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _search(k: int):  # noqa: ANN202
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        """The best k rows of each query in its lists of this group, those that reach its floor."""
+        out = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(rows) or not len(asked):
-            return empty
+            return out
+        rows = rows.sort_values("list", kind="stable")
         ids, v = rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy())
         names, q = asked["query_id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy())
-        scores = q @ v.T
-        scores[names[:, None] == ids[None]] = -np.inf
-        most = min(k, len(ids))
+        floor = asked["least"].fillna(-np.inf).to_numpy(float)
         # Rounding can't exchange scores that differ by more than this.
-        slack = 1e-13 * q.shape[1] * np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1).max())
-        least = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most] - 2 * slack
-        i, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-        found = pd.DataFrame({"query_id": names[i], "vec_id": ids[j], "score": products(q[i], v[j])})
-        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return found[found.groupby("query_id").cumcount() < k]
+        slack = 2e-13 * q.shape[1] * np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1).max())
+        who = np.repeat(np.arange(len(asked)), asked["lists"].map(len))
+        wanted = np.concatenate(asked["lists"].to_list())
+        by_list = np.argsort(wanted, kind="stable")
+        who, wanted = who[by_list], wanted[by_list]
+        held, first = np.unique(rows["list"].to_numpy(), return_index=True)
+        found = []
+        for n, a, b in zip(held, first, [*first[1:], len(rows)], strict=True):
+            own = who[np.searchsorted(wanted, n) : np.searchsorted(wanted, n, "right")]
+            scores = q[own] @ v[a:b].T
+            scores[names[own][:, None] == ids[None, a:b]] = -np.inf
+            least = floor[own]
+            if b - a > k:
+                least = np.maximum(least, np.partition(scores, b - a - k, axis=1)[:, b - a - k])
+            i, j = np.nonzero((scores >= (least - slack[own])[:, None]) & np.isfinite(scores))
+            found.append((own[i], a + j))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = pd.DataFrame({"query_id": names[i], "vec_id": ids[j], "score": products(q[i], v[j])})
+        best = best[best["score"].to_numpy() >= floor[i]].drop_duplicates()
+        best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        return best[best.groupby("query_id").cumcount() < k]
 
     return run
 
@@ -220,18 +236,24 @@ def _block(name: str, size: Column) -> Column:
     return F.pmod(F.xxhash64(name, F.lit(7)), size).cast("int")
 
 
-def _searched(postings: DataFrame, asked: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
-    """postings: list, vec_id, v; asked: list, query_id, v. Each list in blocks of rows, met by blocks of its queries."""
-    sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("row_blocks"))
-    wanted = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks"))
-    sizes = F.broadcast(cut(sizes.join(wanted, "list")))  # a row a list, whose number MODEL_BYTES bounds
+def _searched(postings: DataFrame, asked: DataFrame, k: int, group_rows: int, block_queries: int) -> DataFrame:
+    """postings: part, list, vec_id, v; asked: part, lists, query_id, v, least. Each group of lists, in blocks of rows if a list is long, is met by blocks of its queries."""
+    sizes = postings.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (2 * group_rows)).cast("int").alias("row_blocks"))
+    wanted = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks"))
+    sizes = F.broadcast(cut(sizes.join(wanted, "part")))  # no more rows than lists, whose number MODEL_BYTES bounds
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = postings.join(sizes, "list").withColumn("rb", _block("vec_id", F.col("row_blocks"))).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "vec_id", "v")
-    qs = asked.join(sizes, "list").withColumn("qb", _block("query_id", F.col("query_blocks"))).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "query_id", "v")
-    keys = ["list", "rb", "qb"]
+    rows = postings.join(sizes, "part").withColumn("rb", _block("vec_id", F.col("row_blocks"))).withColumn("qb", each("query_blocks")).select("part", "rb", "qb", "list", "vec_id", "v")
+    qs = asked.join(sizes, "part").withColumn("qb", _block("query_id", F.col("query_blocks"))).withColumn("rb", each("row_blocks")).select("part", "rb", "qb", "query_id", "v", "lists", "least")
+    keys = ["part", "rb", "qb"]
     return rows.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
 
 
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The best k of each query; replicas of a row count once."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def fitted(vectors: DataFrame, dim: int, n: int, radius: float, list_rows: int) -> Lists:
     """The lists of all vectors of one length, from a sample of at most SAMPLE_BYTES."""
     rows = max(1, min(n, SAMPLE_BYTES // (8 * dim)))
@@ -242,7 +264,7 @@ def fitted(vectors: DataFrame, dim: int, n: int, radius: float, list_rows: int)
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = K, list_rows: int = LIST_ROWS, copies: int = COPIES, closure: float = CLOSURE,
-    prune: float = PRUNE, probes: int = PROBES, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
+    prune: float = PRUNE, probes: int = PROBES, group_rows: int = GROUP_ROWS, block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """vectors: vec_id, v array<double>, finite; queries: query_id, v. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -256,31 +278,48 @@ def nearest(
         own, asked = rows.filter(F.col("dim") == dim).select("vec_id", "v"), queries.filter(F.col("dim") == dim).select("query_id", "v")
         model = spark.sparkContext.broadcast(fitted(own, dim, n, radius, list_rows))
 
-        def dealt(batches: Iterator[pd.DataFrame], of, model=model) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            for batch in batches:
-                for a in range(0, len(batch), 512):
-                    part = batch.iloc[a : a + 512]
-                    lists = of(model.value, np.stack(part["v"].to_numpy()))
-                    counts = [len(x) for x in lists]
-                    out = part.loc[part.index.repeat(counts)]
-                    yield out.assign(list=np.concatenate([np.asarray(x, np.int32) for x in lists]) if sum(counts) else np.zeros(0, np.int32))
-
-        postings = cut(own.mapInPandas(lambda b, dealt=dealt: dealt(b, lambda m, v: m.postings(v, copies, closure)), "vec_id long, v array<double>, list int"))
-        looked = cut(asked.mapInPandas(lambda b, dealt=dealt: dealt(b, lambda m, q: m.probes(q, prune, probes)), "query_id long, v array<double>, list int"))
-
-        def best(hits: DataFrame) -> DataFrame:
-            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")  # k rows a list looked into
-            # A row with a list's replicas comes once; a repeated vec_id once for each of its scores.
-            return hits.distinct().withColumn("copy", F.lit(0)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("copy")
-
-        hits = cut(best(_searched(postings, looked, k, block_rows, block_queries)))
-        others = asked.join(own.groupBy(F.col("vec_id").alias("query_id")).agg(F.count(F.lit(1)).alias("own")), "query_id", "left")
+        def post(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            for part in _small(batches):
+                lists = model.value.postings(np.stack(part["v"].to_numpy()), copies, closure)
+                out = part.loc[part.index.repeat([len(x) for x in lists])]
+                yield out.assign(list=np.concatenate([np.asarray(x, np.int32) for x in lists]))
+
+        postings = cut(own.mapInPandas(post, "vec_id long, v array<double>, list int"))
+        # Neighbouring lists go into groups of about group_rows rows; there are no more of them than MODEL_BYTES lets.
+        counts = np.zeros(len(model.value.centroids), np.int64)
+        for row in postings.groupBy("list").count().collect():
+            counts[row["list"]] = row["count"]
+        group_of = ((np.cumsum(counts) - counts) // group_rows).astype(np.int32)
+        groups = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(counts), dtype=np.int32), "part": group_of}), "list int, part int"))
+        postings = postings.join(groups, "list")
+
+        def look(batches: Iterator[pd.DataFrame], every: bool, model=model, group_of=group_of) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            for part in _small(batches):
+                ids, v = part["query_id"].to_numpy(), part["v"].to_numpy()
+                lists = [list(range(len(group_of)))] * len(part) if every else model.value.probes(np.stack(v), prune, probes)
+                out = []
+                for i, own_lists in enumerate(lists):
+                    own_lists = np.asarray(own_lists, np.int32)
+                    for p in np.unique(group_of[own_lists]):
+                        out.append((ids[i], v[i], p, own_lists[group_of[own_lists] == p], p == group_of[own_lists[0]]))
+                yield pd.DataFrame(out, columns=["query_id", "v", "part", "lists", "home"])
+
+        schema, tasks = "query_id long, v array<double>, part int, lists array<int>, home boolean", spark.sparkContext.defaultParallelism
+        looked = cut(asked.repartition(tasks, "query_id").mapInPandas(lambda b, look=look: look(b, False), schema))
+        # A query's own group first: its kth score there is a floor for what other groups return.
+        none = F.lit(None).cast("double").alias("least")
+        first = cut(_searched(postings, looked.filter("home").select("*", none), k, group_rows, block_queries))
+        floor = _best(first, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        others = looked.filter("NOT home").join(floor, "query_id", "left")
+        hits = cut(_best(first.unionByName(_searched(postings, others, k, group_rows, block_queries)), k))
+
+        copies_of = own.groupBy(F.col("vec_id").alias("query_id")).agg(F.count(F.lit(1)).alias("own"))
         got = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
-        short = others.join(got, "query_id", "left").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0))))
-        short = cut(short.select("query_id", "v"))
+        short = asked.join(copies_of, "query_id", "left").join(got, "query_id", "left")
+        short = cut(short.filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0)))).select("query_id", "v"))
         if not short.isEmpty():
-            every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(model.value.centroids) - 1))))
-            again = best(_searched(postings, every, k, block_rows, block_queries))
+            every = short.mapInPandas(lambda b, look=look: look(b, True), schema).select("*", none)
+            again = _best(_searched(postings, cut(every), k, group_rows, block_queries), k)
             hits = hits.join(short, "query_id", "left_anti").unionByName(again)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
@@ -288,6 +327,12 @@ def nearest(
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def _small(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.iloc[a : a + rows].reset_index(drop=True)
+
+
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """(vec_id, v): finite vectors that aren't zero, in double precision."""
     x = F.col(vector).cast("array<double>")

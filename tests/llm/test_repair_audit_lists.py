@@ -275,7 +275,7 @@ def test_nearest_of_hard_cases_equals_plain_version_where_all_lists_are_met(spar
     rows += [(3_000, [1.0, 2.0]), (3_001, [2.0, 1.0]), (3_020, [5.0])]  # other lengths, too few of them
     rows += rows[:10] + [(0, [0.5, 0.5, 0.5, 0.5])]  # repeated rows, a second vector of one id
     assert found_of(spark, rows, list_rows=10, prune=9.0) == plain_nearest(rows)
-    assert found_of(spark, rows, list_rows=10, prune=9.0, block_rows=7, block_queries=2) == plain_nearest(rows)
+    assert found_of(spark, rows, list_rows=10, prune=9.0, group_rows=7, block_queries=2) == plain_nearest(rows)
 
 
 def test_queries_with_too_few_rows_in_their_lists_meet_all(spark):
