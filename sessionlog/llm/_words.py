@@ -3,10 +3,17 @@
 Words are the runs of bytes other than space and 0x09-0x0D. Everything works on
 the byte buffer of an Arrow string column, so a batch costs a few numpy passes
 and no Python object per word.
+
+Short words are hashed by a polynomial modulo 2^64 over random bytes' values. Such
+polynomials have equal values at words of a thousand bytes and more that are built on
+the Thue-Morse sequence, whatever the base, so words of more than LONG_WORD bytes
+are hashed by BLAKE2 instead. Sums run over segments of bounded size, however
+long a text is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +40,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_P)) | _U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes are hashed by BLAKE2.
+LONG_WORD = 32
+#: Numbers that one sum runs over.
+SEGMENT = 1 << 18
+
+
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < SEGMENT."""
+    return tuple(np.multiply.accumulate(np.concatenate([[_U(1)], np.full(SEGMENT - 1, b, np.uint64)])) for b in (_U(base), _U(pow(base, -1, 1 << 64))))
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        _powers[base] = tuple(
-            np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)]))
-            for b in (_U(base), _U(pow(base, -1, 1 << 64)))
-        )
-    return tuple(x[:n] for x in _powers[base])
+_BYTE_POWERS, _WORD_POWERS = _powers(_P), _powers(_Q)
 
 
 class Words:
@@ -84,24 +91,37 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _power(_P, n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out = np.zeros(len(self.starts), np.uint64)
+        short = self.ends - self.starts <= LONG_WORD
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
+        own = np.flatnonzero(short)
+        starts, ends = self.starts[own], self.ends[own]
+        up, down = _BYTE_POWERS
+        i = 0
+        while i < len(own):
+            at = starts[i]
+            j = int(np.searchsorted(ends, at + SEGMENT, "right"))
+            part = self.data[at : ends[j - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+            out[own[i:j]] = mix((sums[ends[i:j] - at] - sums[starts[i:j] - at]) * down[starts[i:j] - at])
+            i = j
+        return out
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each n consecutive hashes, by where they start."""
-    m = len(hashes) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _power(_Q, len(hashes))
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up, out=sums[1:])
-    return mix((sums[n:] - sums[:m]) * down[:m] + _U(n))
+    m = max(0, len(hashes) - n + 1)
+    out = np.zeros(m, np.uint64)
+    up, down = _WORD_POWERS
+    for i in range(0, m, SEGMENT - n):
+        part = hashes[i : i + SEGMENT - 1]
+        k = len(part) - n + 1
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out[i : i + k] = mix((sums[n:] - sums[:k]) * down[:k] + _U(n))
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,10 @@ def _checksum(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links: u, v long. Returns (node, component) of every node that has a link; component is its smallest node."""
+    """links: u, v long. Returns (node, component) of every node that has a link; component is its smallest node.
+
+    Rounds grow with the logarithm of a component's size; where they don't suffice that is an error, never a partial result.
+    """
     stars = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     seen = _checksum(stars)
     for _ in range(rounds):
@@ -33,5 +36,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     ends = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -67,7 +67,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys and their rows
+        self.rows: dict[bytes, int] = {}  # a word's bytes and its row
         self.ids, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0  # ids of row r: at[r]:at[r + 1]
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,18 +82,17 @@ class WordIds:
             sizes.append(np.bincount(of, minlength=len(own)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, sizes = self._encode(words)
+    def _add(self, words: list[bytes]) -> None:
+        ids, sizes = self._encode([w.decode("utf-8", "replace") for w in words])
         ends, n = self.at[self.n] + np.cumsum(sizes), self.n
-        if len(self.at) < n + len(keys) + 1:
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(keys) + 1), np.int64)])
+        if len(self.at) < n + len(words) + 1:
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(words) + 1), np.int64)])
         if len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        self.at[n + 1 : n + 1 + len(keys)] = ends
+        self.at[n + 1 : n + 1 + len(words)] = ends
         self.ids[self.at[n] : ends[-1]] = ids
-        self.n += len(keys)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.row = np.insert(self.keys, where, keys), np.insert(self.row, where, np.arange(n, self.n))
+        self.n += len(words)
+        self.rows.update(zip(words, range(n, self.n), strict=True))
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a chunk and where each text's ids start, one more than texts."""
@@ -103,14 +102,14 @@ class WordIds:
         words.split_stops()
         if self.n > MEMO_WORDS:
             self.clear()
-        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new):
-            raw, starts, ends = words.data.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            self._add(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)])
-            where = np.searchsorted(self.keys, keys)
-        row = self.row[where][inverse]
+        # Equal words of a chunk are found by their hash and size, and remembered by their bytes.
+        _, first, inverse = np.unique(words.hashes() + (words.ends - words.starts).astype(np.uint64), return_index=True, return_inverse=True)
+        raw = words.data.tobytes()
+        distinct = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        new = [w for w in distinct if w not in self.rows]
+        if new:
+            self._add(list(dict.fromkeys(new)))
+        row = np.array([self.rows[w] for w in distinct])[inverse]
         begin, size = self.at[row], self.at[row + 1] - self.at[row]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)

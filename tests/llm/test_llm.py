@@ -564,3 +564,64 @@ def test_pipeline_null_and_repeated_doc_ids(spark, sf_dir):
     assert max(mixed.count(x) for x in set(mixed)) <= 2 * 5 and any(i is None for i, _ in mixed)
     known = run(p.identify_language, [(None, text("a"))] * 3 + [(None, text("b"))])
     assert len(known) == 4
+
+
+# --- words that defeat polynomial hashes, and very long texts ---------------------
+def thue_morse(bytes_: int, letters: str = "ab") -> str:
+    return "".join(letters[i.bit_count() & 1] for i in range(bytes_))
+
+
+@pytest.mark.parametrize("size", [16, 32, 64, 1_024, 2_048, 4_096])
+def test_words_on_the_thue_morse_sequence_are_told_apart(spark, size):
+    one, two = thue_morse(size), thue_morse(size, "ba")
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{one} {two} {one} x"])], ["text"])
+    (_, data, offsets), = _words.chunks(batch, "text")
+    a, b, c, _ = _words.Words(data, offsets).hashes().tolist()
+    assert a == c != b
+    tail = " ".join(f"t{i}" for i in range(14))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, " ".join([one] * 4)), (4, " ".join([two] * 4)), (5, one), (6, two)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.op4(table).collect()} == {1: 0, 2: 14, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert all(r["doc_id"] == r["component_id"] for r in jaccard_join.op7(table.filter("doc_id > 2")).collect())
+    ids = packing.WordIds(packing.default_tokenizer())
+    for word in (one, two):
+        got, _ = ids.of(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+        assert got.tolist() == ids.tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_a_text_of_many_segments_hashes_like_its_parts():
+    words = [f"w{i % 9_973}" for i in range(200_000)] + ["y" * 700_000, "z"]
+    whole = pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], ["text"])
+    (_, data, offsets), = _words.chunks(whole, "text")
+    h = _words.Words(data, offsets).hashes()
+    alone = {}
+    for w in (words[0], words[9_972], words[-2], words[-1]):
+        alone[w] = _words.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hashes()[0]
+    assert [h[0], h[9_972], h[-2], h[-1]] == list(alone.values())
+    own = _words.windows(h, 13)
+    assert len(own) == len(words) - 12 and own[0] == own[9_973] == _words.windows(h[:13], 13)[0] and own[-1] == _words.windows(h[-13:], 13)[0]
+    cut = _words.SEGMENT - 13
+    assert (own[cut - 20 : cut] == _words.windows(h[cut - 20 : cut + 12], 13)).all() if cut < len(own) else True
+
+
+def test_components_that_are_not_complete_are_an_error(spark):
+    chain = spark.range(200).selectExpr("id AS u", "id + 1 AS v")
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+
+
+def test_one_text_of_five_megabytes(spark):
+    """Its last words repeat an earlier document's, and a copy of it is found."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    long = " ".join(f"v{i}" for i in range(620_000))
+    rows = spark.createDataFrame([(1, passage), (2, "")], "doc_id long, text string").unionByName(
+        spark.range(3, 5).selectExpr("id AS doc_id", f"concat(array_join(transform(sequence(0, 619999), i -> concat('v', i)), ' '), ' {passage}') AS text")
+    )
+    assert len(long) > 4_000_000
+    found = by_doc(substring_dedup.op4(rows))
+    n = 620_000 + 30
+    assert [(found[i]["n_words"], found[i]["n_removed"]) for i in (1, 2, 3, 4)] == [(30, 0), (0, 0), (n, 30), (n, n)]
+    joined = by_doc(jaccard_join.op7(rows))
+    assert joined[3]["component_id"] == joined[4]["component_id"] == 3 and joined[3]["n_shingles"] == n - 3
+    pieces = packing.pieces(rows).filter("doc_id >= 3").groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert len(pieces) == 2 and all(r["n"] == r["t"] for r in pieces)
