@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from sessionlog.functions.oneliners import one_liner, parsed_input, result_text
 from sessionlog.functions.text import xml_attr, xml_text
 from sessionlog.operators import compact, rounds
 from sessionlog.operators.analyze import tool_use_index
+from sessionlog.operators.metadata import session_facts
+from sessionlog.sources import sinks
+from sessionlog.sources.store import cut
 
 
 def turn_parts(entries: DataFrame, blocks: DataFrame, selectors: tuple[str, ...] = (), most: int = compact.FIELD_BYTES, text_bytes: int = compact.TEXT_BYTES) -> DataFrame:
@@ -43,19 +48,43 @@ def bundles(classed: DataFrame, parts: DataFrame, start: DataFrame, stats: DataF
     return facts.join(turns, "session_id", "left").select("session_id", F.concat_ws("", compact.preamble(keep, selectors), F.concat("text", F.lit("\n"))).alias("text"))
 
 
-def compact_sessions(entries: DataFrame, blocks: DataFrame, keep: int = 1, known: DataFrame | None = None, selectors: tuple[str, ...] = ()) -> DataFrame:
-    """Lines of the new logs: session_id, new_session_id, section, ix, raw. Sections: 0 the bundle, 1 entries passed through, 2 the last rounds."""
+def compact_sessions(
+    entries: DataFrame, blocks: DataFrame, keep: int = 1, known: DataFrame | None = None, selectors: tuple[str, ...] = (), at: str | None = None, fresh: DataFrame | None = None
+) -> DataFrame:
+    """Lines of the new logs: session_id, new_session_id, section, ix, raw. Sections: 0 the bundle, 1 entries passed through, 2 the last rounds.
+
+    at: the bundle's timestamp, by default now. fresh: ids that were claimed for the
+    sessions; else they are ids that no known session has.
+    """
     table = rounds.round_table(rounds.rounds(entries, rounds.human_texts(entries, blocks)))
     start = compact.preserved_from(table.select("session_id", "user_ix"), entries, keep)
-    fresh = compact.fresh_sessions(start, entries.select("session_id") if known is None else known)
-    classed = compact.classes(entries, blocks, start, selectors)
-    parts = turn_parts(entries, blocks, selectors)
+    if fresh is None:
+        fresh = compact.fresh_sessions(start, entries.select("session_id") if known is None else known)
+    # Both are read several times, and the walk of long inputs is dear.
+    classed = cut(compact.classes(entries, blocks, start, selectors))
+    parts = cut(turn_parts(entries, blocks, selectors))
     dropped = entries.join(classed.filter("class = 'dropped'").select("session_id", "ix"), ["session_id", "ix"], "left_semi")
     text = bundles(classed, parts, start, compact.compact_stats(classed, parts, dropped), keep, selectors)
     section = F.when(F.col("class") == "tail", 2).when(F.col("class").isin("preserved", "user_type"), 1)
     kept = entries.join(classed.select("session_id", "ix", section.alias("section")).filter("section IS NOT NULL"), ["session_id", "ix"]).select("session_id", "section", "ix", "uuid", "raw")
+    # Fixed here, so that a task that runs again writes the same line.
+    now = F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z") if at is None else at)
+    facts = session_facts(entries, ["version", "git_branch", "cwd"])
+    known_of = lambda column, name: F.coalesce(column, F.lit("")).alias(name)
+    text = text.join(facts, "session_id", "left")
     message = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
-    entry = F.struct(F.lit("").alias("parentUuid"), F.lit(False).alias("isSidechain"), F.lit("").alias("promptId"), F.lit("external").alias("userType"), F.lit(False).alias("isMeta"), F.lit("user").alias("type"), message.alias("message"), F.lit("").alias("uuid"), F.lit("").alias("sessionId"))
+    entry = F.struct(F.lit("").alias("parentUuid"), F.lit(False).alias("isSidechain"), F.lit("").alias("promptId"), F.lit("external").alias("userType"), F.lit(False).alias("isMeta"), F.lit("user").alias("type"), message.alias("message"), F.lit("").alias("uuid"), now.alias("timestamp"), F.lit("").alias("sessionId"), known_of(F.col("version"), "version"), known_of(F.col("git_branch"), "gitBranch"), known_of(F.col("cwd"), "cwd"))
     first = text.select("session_id", F.lit(0).alias("section"), F.lit(-1).alias("ix"), F.lit("bundle").alias("uuid"), F.to_json(entry).alias("raw"))
     chained = compact.chain(first.unionByName(kept)).join(fresh, "session_id")
     return compact.rewrite(chained).select("session_id", "new_session_id", "section", "ix", "raw")
+
+
+def write_compacted_sessions(entries: DataFrame, blocks: DataFrame, path: str, keep: int = 1, selectors: tuple[str, ...] = (), at: str | None = None) -> DataFrame:
+    """Compact the sessions into logs `<new id>.jsonl` under a path; returns session_id, new_session_id.
+
+    Their ids are claimed in `<path>/ids` before a line is written, so jobs that run
+    at once share neither an id nor a log.
+    """
+    fresh = sinks.claim(entries.select("session_id"), f"{path}/ids", entries.select("session_id"))
+    sinks.write_compacted(compact_sessions(entries, blocks, keep, selectors=selectors, at=at, fresh=fresh), path)
+    return fresh

@@ -122,12 +122,17 @@ def preview(value: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(" …[truncated]"))).otherwise(text)
 
 
-def stage_summary(condensed: DataFrame, spills: DataFrame, subagents: DataFrame) -> DataFrame:
-    """Per session: cut entries, spills, subagents."""
-    out = condensed.groupBy("session_id").agg(F.count_if("stubbed").alias("truncated"))
-    for rows, name in ((spills, "spills"), (subagents, "subagents")):
+def stage_summary(condensed: DataFrame, sources: DataFrame, subagents: DataFrame, stats: DataFrame) -> DataFrame:
+    """Per session: the places of its cut entries in order, spills that were copied, subagents, and what condensing left in all.
+
+    sources: spill_sources(), each file of a session and its subagents once; those
+    that weren't there don't count. stats: condense_stats().
+    """
+    out = condensed.groupBy("session_id").agg(F.array_sort(F.collect_list(F.when(F.col("stubbed"), F.col("ix")))).alias("truncated"))
+    for rows, name in ((sources.filter("copied"), "spills"), (subagents, "subagents")):
         out = out.join(rows.groupBy("session_id").agg(F.count(F.lit(1)).alias(name)), "session_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+    whole = stats.filter("kind IS NULL").select("session_id", F.col("count").alias("parts"), "orig_bytes", "inlined_bytes", F.col("truncated").alias("stubbed_parts"))
+    return out.join(whole, "session_id", "left")
 
 
 def parent_ix(entries: DataFrame) -> DataFrame:

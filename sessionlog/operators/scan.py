@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlog.functions.matching import Finder
+
 #: name, severity, pattern, and a text that every match holds: each pattern stands within a line.
 CHECKS = (
     ("email", "warn", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
@@ -62,6 +66,35 @@ def known_sessions(texts: DataFrame, sessions: DataFrame, pattern: str = SESSION
     return each.join(sessions.select("session_id").distinct(), "session_id")
 
 
+#: Most bytes of ids that one scan looks for; a longer list is dealt to several scans.
+LIST_BYTES = 64 << 20
+
+
+def known_ids(texts: DataFrame, ids: DataFrame, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """O2: ids (column id) of any shape wherever they stand in a text: location, id, places. Overlapping ids and places count; empty ids stand nowhere.
+
+    One scan of the texts for every list_bytes of ids: a scan's ids, whose size is so bounded, go to all tasks.
+    """
+    spark, own = texts.sparkSession, ids.select("id").filter("id <> ''").distinct()
+    size = own.agg(F.sum(F.octet_length("id").cast("long"))).first()[0] or 0
+    parts = -(-size // list_bytes)
+    found = None
+    for part in range(parts):
+        listed = [r["id"].encode() for r in own.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator()]
+        finder = spark.sparkContext.broadcast(Finder(listed))
+
+        def look(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            f = finder.value
+            for batch in batches:
+                rows = [(where, f.strings[i].decode(), n) for where, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text for i, n in f.counts(text.encode()).items()]
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["location", "id", "places"])
+
+        hits = texts.select(F.col("location").cast("string"), F.col("text").cast("string")).mapInArrow(look, "location string, id string, places long")
+        found = hits if found is None else found.unionByName(hits)
+    return spark.createDataFrame([], "location string, id string, places long") if found is None else found
+
+
 def report(issues: DataFrame, most: int = PER_CHECK) -> DataFrame:
     """The first issues of each check, each once."""
     order = Window.partitionBy("severity", "check_name").orderBy("location", "line_no", "match")

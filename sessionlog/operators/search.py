@@ -85,9 +85,13 @@ def render(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     items = F.transform(F.from_json(c, "array<string>"), lambda x: F.coalesce(F.when(F.get_json_object(x, "$.type") == "text", F.get_json_object(x, "$.text")), F.get_json_object(x, "$.content"), x))
     flat = F.when(kind == "string", F.when(F.startswith(c, F.lit("<persisted-output>")), wrapped).otherwise(c)).when(kind == "array", F.array_join(items, "\n")).otherwise(F.coalesce(pretty(F.when(kind == "object", c)), F.lit("")))
     part = F.when(F.col("type") == "text", F.col("text")).when(F.col("type") == "tool_use", F.concat(F.lit("[tool_use: "), "tool_name", F.lit(" id="), "tool_id", F.lit("]\ninput: "), pretty(F.col("input"))))
-    part = part.when(F.col("type") == "tool_result", F.concat(F.lit("tool_use_id: "), "tool_use_id", F.when(F.col("is_error"), "\nis_error: true").otherwise(""), F.lit("\ncontent:\n"), flat)).otherwise(F.concat(F.lit("["), "type", F.lit("]")))
+    part = part.when(F.col("type") == "tool_result", F.concat(F.lit("tool_use_id: "), "tool_use_id", F.when(F.col("is_error"), "\nis_error: true").otherwise(""), F.lit("\ncontent:\n"), flat)).otherwise(F.concat(F.lit("["), F.coalesce("type", F.lit("unknown-block")), F.lit("] "), "block") if "block" in blocks.columns else F.concat(F.lit("["), "type", F.lit("]")))
     each = blocks.select("session_id", "ix", "block_ix", part.alias("part"), (F.col("type") == "tool_result").alias("answer"))
     body = each.groupBy("session_id", "ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "part"))), lambda x: x["part"]), "\n").alias("body"), F.bool_or("answer").alias("answers"))
     head = F.when(F.col("type") == "assistant", F.concat(F.lit("[assistant · "), "model", F.lit("]"))).when(F.coalesce("answers", F.lit(False)), "[user · tool_result]").otherwise("[user]")
-    rows = entries.filter("type IN ('assistant', 'user')").join(body, ["session_id", "ix"], "left")
-    return rows.select("session_id", "ix", F.concat_ws("\n", head, F.coalesce("content_text", "body")).alias("text"))
+    spoken = entries.filter("type IN ('assistant', 'user')").join(body, ["session_id", "ix"], "left")
+    out = spoken.select("session_id", "ix", F.concat_ws("\n", head, F.coalesce("content_text", "body")).alias("text"))
+    if "raw" not in entries.columns:  # tables of calls alone have no other entries
+        return out
+    others = entries.filter(~F.coalesce(F.col("type").isin("assistant", "user"), F.lit(False)))
+    return out.unionByName(others.select("session_id", "ix", pretty(F.col("raw")).alias("text")))

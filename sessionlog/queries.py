@@ -319,7 +319,7 @@ def known_tokens(spark: SparkSession, d: str) -> DataFrame:
     return scan.known_tokens(_texts(spark, d), hosts, 4)
 
 
-from sessionlog import queries_rich  # noqa: E402
+from sessionlog import queries_rich, queries_sinks  # noqa: E402
 
-QUERIES |= queries_rich.QUERIES
-ORACLE_SQL |= queries_rich.ORACLE_SQL
+QUERIES |= queries_rich.QUERIES | queries_sinks.QUERIES
+ORACLE_SQL |= queries_rich.ORACLE_SQL | queries_sinks.ORACLE_SQL

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from sessionlog.functions.oneliners import result_text
 from sessionlog.jobs import compact_sessions as job
 from sessionlog.jobs.distill import distill
 from sessionlog.operators import analyze, compact, condense, filehistory, metadata, rounds, search
-from sessionlog.sources import jsonl, rich, sinks
+from sessionlog.sources import jsonl, rich, sinks, store
 from sessionlog.sources.rich import INLINE, SQL, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,19 +27,12 @@ def _of(name: str, function: Callable, *sources: Callable, sql: str | None = Non
         ORACLE_SQL[name] = sql
 
 
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A stored table, so that what follows doesn't read and parse the logs once a use."""
-    path = f"{sinks.shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _stored(function: Callable) -> Callable[[SparkSession, str], DataFrame]:
     """Of entries and blocks that are stored first."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        entries = _cut(spark, rich.entries(spark, d))
-        return function(entries, _cut(spark, jsonl.blocks(entries)))
+        entries = store.cut(rich.entries(spark, d))
+        return function(entries, store.cut(jsonl.blocks(entries)))
 
     return run
 
@@ -56,7 +48,7 @@ _TOTALS = ", ".join(f"CAST(coalesce(sum({c}) FILTER (model <> '<synthetic>'), 0)
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
     """The main logs written as JSONL and read back."""
-    folder = f"{sinks.shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    folder = f"{store.fresh_folder(spark)}/logs"
     sinks.write_log(_lines(spark, d).filter("parent_session_id IS NULL").select(F.col("session_id").alias("session"), "line_no", "raw"), folder)
     return jsonl.read_entries(spark, folder).select("session_id", "ix", "type", "uuid", "model", "output_tokens", "content_text")
 
@@ -187,12 +179,17 @@ SELECT session_id, '/work/f.ts' AS path, ix, version, CASE WHEN version IS NULL
 
 
 def _summary(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """C18 of main sessions."""
+    """C18, with subagents' spills counted to their main session."""
     subs = entries.filter("parent_session_id IS NOT NULL").select(F.col("parent_session_id").alias("session_id"), F.col("session_id").alias("sub")).distinct()
-    return condense.stage_summary(condense.condensed_entries(entries, blocks, INLINE), analyze.spills(blocks), subs)
+    made = condense.stage_summary(condense.condensed_entries(entries, blocks, INLINE), _spill_sources(entries, blocks), subs, condense.condense_stats(entries, blocks, INLINE))
+    return made.withColumn("truncated", F.array_join("truncated", " "))
 
 
-_of("c18_stage_summary", _stored(_summary), sql=SQL + """ SELECT session_id, count(*) FILTER (contains(condensed, '"truncated":true')) AS truncated, count(*) FILTER (k = 6) AS spills, (SELECT count(DISTINCT s.session_id) FROM x s WHERE s.parent_session_id = x.session_id) AS subagents FROM x GROUP BY session_id""")
+_of("c18_stage_summary", _stored(_summary), sql=SQL + _STATS + """, sp AS (SELECT coalesce(parent_session_id, session_id) AS session_id, count(DISTINCT '/spill/' || c || '/r' || ix || '.txt') AS spills FROM x WHERE k = 6 AND c % 2 = 0 GROUP BY 1),
+cs AS (SELECT session_id, coalesce(string_agg(CASE WHEN contains(condensed, '"truncated":true') THEN ix::VARCHAR END, ' ' ORDER BY ix), '') AS truncated, (SELECT count(DISTINCT s.session_id) FROM x s WHERE s.parent_session_id = x.session_id) AS subagents FROM x GROUP BY session_id)
+SELECT cs.*, coalesce(spills, 0) AS spills, st.count AS parts, st.orig_bytes, st.inlined_bytes, st.truncated AS stubbed_parts FROM cs LEFT JOIN sp USING (session_id) LEFT JOIN st ON st.session_id = cs.session_id AND st.kind IS NULL""")
+_of("q6_other_entries", lambda e, b: search.render(e, b).join(e.filter("type NOT IN ('user', 'assistant')").select("session_id", "ix"), ["session_id", "ix"], "left_semi").select("session_id", "ix", F.size(F.split("text", "\n")).alias("lines"), F.replace(F.regexp_replace("text", r"\n *", ""), F.lit('": '), F.lit('":')).alias("flat")), rich.entries, rich.blocks,
+    sql=SQL + """ SELECT session_id, ix, (2 + len(json_keys(raw)) + CASE k WHEN 7 THEN 3 WHEN 12 THEN 8 ELSE 0 END)::INT AS lines, raw AS flat FROM x WHERE type NOT IN ('user', 'assistant')""")
 
 # --- search ----------------------------------------------------------------------------------
 _TEXTS = ", tx AS (SELECT session_id, ix, type AS role, CASE k WHEN 1 THEN t WHEN 4 THEN t WHEN 8 THEN t WHEN 6 THEN json_extract_string(raw, '$.message.content[0].content') WHEN 3 THEN '' WHEN 5 THEN '' WHEN 11 THEN '' ELSE t END AS text FROM x WHERE type IN ('user', 'assistant'))"

@@ -15,7 +15,7 @@ def placed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("parent_session_id", parent).withColumn("session_id", F.when(parent.isNotNull(), F.concat_ws("/", parent, name)).otherwise(name))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line with its file, session, parent session and place; the place follows the file's order across splits."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
@@ -40,21 +40,42 @@ def resolve(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("prefix", "sessions", F.when(n == 1, "ok").when(n == 0, "unknown").otherwise("ambiguous").alias("status"))
 
 
-def collapse_rolls(entries: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], split: list[str], within: list[str], name: str) -> DataFrame:
+    """Rows with their number from 0 in the order of `split`, then `within`, for each of `keys`.
+
+    Parallel prefix sums: rows are numbered inside a split, splits are counted, and a
+    split's number begins where those before it end. No window holds more than one
+    split's rows, or one key's splits.
+    """
+    local = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *split).orderBy(*within)))
+    sizes = rows.groupBy(*keys, *split).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_size")
+    return local.join(starts, [*keys, *split]).withColumn(name, F.col("_start") + F.col("_n") - 1).drop("_start", "_n")
+
+
+#: Lines of a session that one window numbers.
+RUN_LINES = 100_000
+
+
+def collapse_rolls(entries: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     """Of entries with one request id the last stays, where it stands; ix numbers what is left. entries: session_id, line_no, request_id."""
     roll = Window.partitionBy("session_id", F.coalesce("request_id", F.concat(F.lit("\0"), F.col("line_no").cast("string")))).orderBy(F.desc("line_no"))
     last = entries.withColumn("n", F.row_number().over(roll)).filter("n = 1").drop("n")
-    return last.withColumn("ix", (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("int"))
+    runs = last.withColumn("run", F.floor(F.col("line_no") / run_lines))
+    return numbered(runs, ["session_id"], ["run"], ["line_no"], "ix").withColumn("ix", F.col("ix").cast("int")).drop("run")
 
 
 def _kind(value: str, path: str = "$") -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all logs under a path; lines that aren't JSON are left out (see bad_lines)."""
+def read_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Entries of all logs under a path; lines that aren't JSON are left out (see bad_lines). A log of many splits or parts is numbered by as many tasks."""
     lines = read_lines(spark, path).filter(F.try_parse_json("raw").isNotNull())
-    return parsed(lines.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("block", "id"))))
+    lines = lines.withColumn("log", F.regexp_replace("path", r"(\.jsonl)/[^/]*$", "$1"))
+    placed_lines = numbered(lines, ["log"], ["path", "block"], ["id"], "line_no")
+    return parsed(placed_lines.withColumn("line_no", F.col("line_no") + 1).withColumn("path", F.col("log")).drop("log"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -1,53 +1,79 @@
-"""Where results go. Each sink is a table keyed by session_id, in buckets of many sessions, not a file or folder a session."""
+"""Where results go. Each sink is a standing table of sessions (see standing), not a file or folder a session; compacted sessions become logs."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of a table of sessions; a session's rows are all in that of its hash.
-BUCKETS = 64
+from sessionlog.operators import compact
 
+from . import jsonl, standing
+from .store import cut, discard
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local session without one gets one of its own, elsewhere that is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
 
+def write_sessions(rows: DataFrame, path: str, order: tuple[str, ...] = (), fmt: str = "parquet", file_bytes: int = standing.FILE_BYTES) -> int:
+    """Replace the sessions that rows hold, and no others; returns the table's new version."""
+    return standing.replace(rows, path, order, fmt, file_bytes)
 
-def write_sessions(rows: DataFrame, path: str, fmt: str = "parquet", buckets: int = BUCKETS) -> None:
-    """Replace the sessions that rows hold, and no others: only their buckets are written anew.
 
-    A bucket's other sessions are read first, so a rerun of a job that was stopped
-    gives the same table.
-    """
-    spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
-    placed = rows.withColumn("bucket", bucket)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        there = spark.read.schema(placed.schema).format(fmt).load(path)
-        touched = placed.select("bucket").distinct()
-        others = there.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("session_id").distinct(), "session_id", "left_anti")
-        # Spark can't overwrite what it reads, so the rows kept pass through a folder beside it.
-        beside = f"{path.rstrip('/')}__kept"
-        others.select(placed.columns).write.mode("overwrite").parquet(beside)
-        placed = placed.unionByName(spark.read.schema(placed.schema).parquet(beside))
-    placed.repartition("bucket").sortWithinPartitions("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(fmt).save(path)
+def read_sessions(spark: SparkSession, path: str, schema: str, sessions: list[str] | None = None, fmt: str = "parquet") -> DataFrame:
+    """What write_sessions wrote; of some sessions without opening the files of others."""
+    return standing.read(spark, path, schema, sessions, fmt)
 
 
-def write_compacted(rows: DataFrame, path: str) -> None:
-    """Lines of compacted sessions in order; never over an output that is there."""
-    rows.repartition("new_session_id").sortWithinPartitions("new_session_id", "section", "ix").select("new_session_id", "section", "ix", "raw").write.mode("errorifexists").parquet(path)
+def claim(sessions: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:
+    """A new id for each session (column session_id), which no known session has and no other claim in this table: session_id, new_session_id.
+
+    Ids are committed to the table before anything is written under them, so two
+    jobs at once never hold the same one: the later commit starts anew with the
+    other's ids known. A session that is claimed again gets another id.
+    """
+    spark = sessions.sparkSession
+    wanted = cut(sessions.select("session_id").distinct())
+    schema = "session_id string, source string"
+    for _ in range(standing.ATTEMPTS):
+        taken = standing.read(spark, path, schema).select("session_id")
+        if known is not None:
+            taken = taken.unionByName(known.select("session_id"))
+        fresh = cut(compact.fresh_sessions(wanted, taken))
+        try:
+            standing.replace(fresh.select(F.col("new_session_id").alias("session_id"), F.col("session_id").alias("source")), path, only_new=True)
+        except FileExistsError:
+            discard(fresh)
+            continue
+        return fresh
+    raise standing.Conflict(f"{path}: ids were taken {standing.ATTEMPTS} times")
 
 
 def write_log(lines: DataFrame, path: str) -> None:
-    """Lines (session, line_no, raw) as text, a folder of parts <session>.jsonl each, in order."""
+    """Lines (session, line_no, raw) as text, a folder of parts <session>.jsonl each, in the order of the parts' names; a long log has many parts."""
     named = lines.select(F.concat("session", F.lit(".jsonl")).alias("log"), "line_no", "raw")
-    named.repartition("log").sortWithinPartitions("log", "line_no").select("log", "raw").write.partitionBy("log").text(path)
+    named.repartitionByRange("log", "line_no").sortWithinPartitions("log", "line_no").select("log", "raw").write.mode("append").partitionBy("log").text(path)
+
+
+_DONE = "session_id string, folder string"
+
+
+def write_compacted(rows: DataFrame, path: str) -> None:
+    """Lines of compacted sessions in order, as logs <new id>.jsonl; never over a log that is there.
+
+    rows: new_session_id, section, ix, raw, under ids that claim() gave. Every write has
+    a folder of its own; the table `<path>/done` says which folder holds a log, once it is
+    complete, so what a stopped job leaves is never read.
+    """
+    rows = cut(rows.select("new_session_id", "section", "ix", "raw"))
+    spark, ids = rows.sparkSession, rows.select(F.col("new_session_id").alias("session_id")).distinct()
+    if not standing.read(spark, f"{path}/done", _DONE).join(ids, "session_id", "left_semi").isEmpty():
+        raise FileExistsError(f"{path} has some of these logs")
+    folder = f"{path}/logs/{uuid.uuid4().hex}"
+    write_log(rows.select(F.col("new_session_id").alias("session"), F.struct("section", "ix").alias("line_no"), "raw"), folder)
+    standing.replace(ids.withColumn("folder", F.lit(folder)), f"{path}/done", only_new=True)
+    discard(rows)
+
+
+def read_compacted(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all complete compacted logs."""
+    folders = [r[0] for r in standing.read(spark, f"{path}/done", _DONE).select("folder").distinct().collect()]  # a row a write
+    return jsonl.read_entries(spark, folders)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlog.functions import matching
 from sessionlog.operators import analyze, compact, condense, filehistory, metadata, narrative, rounds, scan, search
-from sessionlog.sources import jsonl, sinks
+from sessionlog.sources import jsonl, sinks, standing
 
 
 def user(text, uuid, ts="2026-01-01T00:00:00.000Z", **more):
@@ -165,15 +168,123 @@ def test_lint_reports_missing_parts_alone(spark):
     assert narrative.lint(narrative.placeholder(turns), turns).count() == 0
 
 
+SESSION_ROWS = "session_id string, ix int, v int"
+
+
+def table_of(spark, *parts):
+    """Rows of (session, number of rows, value)."""
+    return spark.createDataFrame([(s, i, v) for s, n, v in parts for i in range(n)], SESSION_ROWS)
+
+
 def test_sinks_keep_other_sessions(spark, tmp_path):
-    make = lambda s, v: spark.createDataFrame([(s, v)], "session_id string, v int")
-    sinks.write_sessions(make("a", 1).union(make("b", 1)), str(tmp_path / "t"))
-    sinks.write_sessions(make("b", 2), str(tmp_path / "t"))
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("session_id", "v").collect()} == {("a", 1), ("b", 2)}
-    # Sessions that share a bucket, too.
-    for v in (1, 2):
-        sinks.write_sessions(make("c", v).union(make("d", 1)) if v == 1 else make("c", v), str(tmp_path / "u"), buckets=1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "u")).select("session_id", "v").collect()} == {("c", 2), ("d", 1)}
+    path = str(tmp_path / "t")
+    assert sinks.write_sessions(table_of(spark, ("a", 2, 1), ("b", 2, 1), ("c", 1, 1)), path, ("ix",)) == 1
+    assert sinks.write_sessions(table_of(spark, ("b", 1, 2), ("d", 1, 2)), path, ("ix",)) == 2
+    got = sinks.read_sessions(spark, path, SESSION_ROWS)
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 1), ("a", 1, 1), ("b", 0, 2), ("c", 0, 1), ("d", 0, 2)]
+    assert standing.read(spark, path, SESSION_ROWS, version=1).count() == 5  # an earlier version can still be read
+    assert sinks.write_sessions(table_of(spark), path) == 3 and got.count() == 5
+    assert sinks.write_sessions(table_of(spark), str(tmp_path / "none")) == 1 and sinks.read_sessions(spark, str(tmp_path / "none"), SESSION_ROWS).count() == 0
+
+
+def test_files_grow_with_the_data_and_only_those_of_a_session_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_sessions(table_of(spark, *((f"s{i:03}", 40, 1) for i in range(100)), ("s500", 4_000, 1)), path, ("ix",), file_bytes=2_000)
+    _, before = standing.current(spark, path)
+    assert len(before) > 8 and sum(f["rows"] for f in before) == 8_000
+    assert sum(f["low"] <= "s500" <= f["high"] for f in before) > 1  # a long session lies in several files
+    sinks.write_sessions(table_of(spark, ("s007", 3, 2)), path, ("ix",), file_bytes=2_000)
+    _, after = standing.current(spark, path)
+    left = {f["file"] for f in before} & {f["file"] for f in after}
+    assert len(before) - len(left) <= 2
+    assert rows(sinks.read_sessions(spark, path, SESSION_ROWS, ["s007"]), "ix", "v") == [(0, 2), (1, 2), (2, 2)]
+    # One entry is found without opening files of other sessions.
+    opened = sinks.read_sessions(spark, path, SESSION_ROWS, ["s007"]).inputFiles()
+    assert 1 <= len(opened) <= 2 < len(after)
+    plan = sinks.read_sessions(spark, path, SESSION_ROWS, ["s007"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "s007" in plan
+    assert standing.merge_small(spark, path, SESSION_ROWS, ("ix",), file_bytes=1 << 20) == 3
+    assert len(standing.current(spark, path)[1]) == 1 and sinks.read_sessions(spark, path, SESSION_ROWS).count() == 7_963
+    assert standing.vacuum(spark, path, keep=1) == 2 and sinks.read_sessions(spark, path, SESSION_ROWS).count() == 7_963
+
+
+def test_a_stopped_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.write_sessions(table_of(spark, ("a", 1, 1)), path)
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(standing, "_put_in_place", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_sessions(table_of(spark, ("a", 1, 2)), path)
+    assert rows(sinks.read_sessions(spark, path, SESSION_ROWS), "v") == [(1,)]
+    sinks.write_sessions(table_of(spark, ("a", 1, 3)), path)
+    assert rows(sinks.read_sessions(spark, path, SESSION_ROWS), "v") == [(3,)]
+
+
+def test_writers_at_once_lose_nothing_and_share_no_id(spark, tmp_path, monkeypatch):
+    path, put, others = str(tmp_path / "t"), standing._put_in_place, []
+
+    def late(*args):
+        if not others:  # another writer commits first
+            others.append(1)
+            standing.replace(table_of(spark, ("b", 1, 1), ("a", 1, 1)), path)
+        return put(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(standing, "_put_in_place", late)
+        assert standing.replace(table_of(spark, ("a", 1, 2), ("c", 1, 2)), path) == 2
+    assert sorted(map(tuple, standing.read(spark, path, SESSION_ROWS).collect())) == [("a", 0, 2), ("b", 0, 1), ("c", 0, 2)]
+    with pytest.raises(FileExistsError):
+        standing.replace(table_of(spark, ("c", 1, 3)), path, only_new=True)
+
+    ids, others, wanted = str(tmp_path / "ids"), [], spark.createDataFrame([("x",), ("y",)], "session_id string")
+    real = standing.replace
+
+    def raced(*args, **more):
+        if not others:
+            others.append(0)
+            others[0] = rows(sinks.claim(wanted.filter("session_id = 'x'"), ids), "new_session_id")[0][0]
+        return real(*args, **more)
+
+    with monkeypatch.context() as m:
+        m.setattr(standing, "replace", raced)
+        got = dict(rows(sinks.claim(wanted, ids), "session_id", "new_session_id"))
+    assert len({others[0], *got.values()}) == 3
+
+
+def test_numbers_of_one_log_of_many_splits(spark):
+    found = jsonl.numbered(spark.range(1_000).selectExpr("concat('one', id DIV 1000) AS session_id", "id DIV 37 AS split", "id"), ["session_id"], ["split"], ["id"], "n")
+    assert {r["id"] == r["n"] for r in found.collect()} == {True}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(session_id#\d+, split#", plan)
+    entries = spark.range(500).selectExpr("'one' AS session_id", "id AS line_no", "CASE WHEN id % 5 = 0 THEN 'r' || id DIV 10 END AS request_id")
+    whole, short = (rows(jsonl.collapse_rolls(entries, n), "line_no", "ix") for n in (100_000, 7))
+    assert whole == short and [ix for _, ix in whole] == list(range(len(whole)))
+
+
+def test_ids_of_any_shape_are_found_in_one_pass(spark):
+    rng = random.Random(4)
+    strings = {b"a", b"ab", b"aba", b"session-0000001", b"session-00000012", b"\xc3\xa9t\xc3\xa9", b"x" * 40, b"x" * 9}
+    strings |= {bytes(rng.choice(b"abx-") for _ in range(rng.randint(1, 14))) for _ in range(300)}
+    text = b"session-0000001234 ababa " + "été".encode() + b"x" * 45 + bytes(rng.choice(b"abx- ") for _ in range(3_000))
+    finder = matching.Finder(list(strings))
+    want = {s: sum(text.startswith(s, i) for i in range(len(text))) for s in strings}
+    assert {finder.strings[i]: n for i, n in finder.counts(text).items()} == {s: n for s, n in want.items() if n}
+    assert matching.Finder([]).counts(text) == {} and finder.counts(b"") == {}
+    texts = spark.createDataFrame([("p", "see id-1 and id-12"), ("q", None), ("r", ""), ("s", "Id-1")], "location string, text string")
+    ids = spark.createDataFrame([("id-1",), ("id-12",), ("",), (None,), ("id-1",)], "id string")
+    for most in (1 << 20, 5):
+        assert rows(scan.known_ids(texts, ids, most), "location", "id", "places") == [("p", "id-1", 2), ("p", "id-12", 1)]
+    assert scan.known_ids(texts, ids.filter("false")).count() == 0
+
+
+def test_a_hundred_thousand_ids(spark):
+    ids = spark.range(100_000).selectExpr("'session-' || sha2(string(id), 256) AS id")
+    texts = spark.range(200).selectExpr("string(id) AS location", "repeat('text session-0 ', 50) || 'session-' || sha2(string(id * 500), 256) AS text")
+    assert scan.known_ids(texts, ids).count() == 200
 
 
 def test_plan_stays_in_the_engine(spark, sf_dir):
@@ -193,7 +304,29 @@ def test_compacted_logs(spark, logs, tmp_path):
     assert '<turn ix="0" kind="user">\nplease start\n</turn>' in lines[0]["message"]["content"] and 'error="true"' in lines[0]["message"]["content"]
     assert lines[0]["parentUuid"] is None and [x.get("parentUuid", lines[i - 1]["uuid"]) for i, x in enumerate(lines) if i] == [x["uuid"] for x in lines[:-1]]
     assert len({x.get("sessionId") for x in lines if "sessionId" in x}) == 1
+    assert lines[0]["version"] == "" and lines[0]["timestamp"].endswith("Z") and {"cwd", "gitBranch"} <= lines[0].keys()
     sinks.write_compacted(out, str(tmp_path / "c"))
-    assert spark.read.parquet(str(tmp_path / "c")).count() == out.count()
-    with pytest.raises(Exception, match="(?i)exists"):
+    read = sinks.read_compacted(spark, str(tmp_path / "c"))
+    sent = out.orderBy("new_session_id", "section", "ix").collect()
+    assert [r["raw"] for r in read.orderBy("session_id", "line_no").collect()] == [r["raw"] for r in sent]
+    with pytest.raises(Exception, match="(?i)some of these"):
         sinks.write_compacted(out, str(tmp_path / "c"))
+
+
+def test_entries_that_are_no_messages_are_rendered_as_json(spark, tmp_path):
+    log = [user("hi", "u1"), {"type": "attachment", "attachment": {"type": "note", "é": [1, {}]}}, {"type": "summary", "summary": "s"}, assistant([{"type": "thinking", "thinking": "hm"}], "u2", "r1")]
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in log))
+    entries = jsonl.read_entries(spark, str(tmp_path))
+    text = dict(rows(search.render(entries, jsonl.blocks(entries)), "ix", "text"))
+    assert text[1] == json.dumps(log[1], ensure_ascii=False, indent=2) and text[2] == json.dumps(log[2], indent=2)
+    assert text[3] == '[assistant · sonnet]\n[thinking] {"type":"thinking","thinking":"hm"}' and len(text) == 4
+
+
+def test_copied_spills_count_once_over_a_session_and_its_subagents(spark):
+    spills = spark.createDataFrame([("s", "/a"), ("s", "/a"), ("s/agent-1", "/a"), ("s/agent-1", "/b"), ("s", "/gone")], "session_id string, path string")
+    parents = spark.createDataFrame([("s", "s"), ("s/agent-1", "s")], "session_id string, root string")
+    sources = condense.spill_sources(spills, spark.createDataFrame([("/a",), ("/b",)], "path string"), parents)
+    condensed = spark.createDataFrame([("s", 0, True), ("s", 1, False), ("s", 2, True)], "session_id string, ix int, stubbed boolean")
+    stats = spark.createDataFrame([("s", None, 3, 90, 40, 2), ("s", "user:text", 3, 90, 40, 2)], "session_id string, kind string, count int, orig_bytes int, inlined_bytes int, truncated int")
+    subs = spark.createDataFrame([("s", "s/agent-1")], "session_id string, sub string")
+    assert [tuple(r) for r in condense.stage_summary(condensed, sources, subs, stats).collect()] == [("s", [0, 2], 2, 1, 3, 90, 40, 2)]
