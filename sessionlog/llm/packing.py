@@ -42,6 +42,9 @@ MEMO_WORDS = 1_000_000
 #: About so many pieces of a class are ranked by one window.
 BUCKET_ROWS = 2_000
 
+#: Masks of the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 _memo: dict[str, Any] = {}
 
 
@@ -67,7 +70,8 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[bytes, int] = {}  # a word's bytes and its row
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys and their rows
+        self.marks = np.zeros((1 << 14, 3), np.uint64)  # size and ends of each row's word
         self.ids, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0  # ids of row r: at[r]:at[r + 1]
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,17 +86,48 @@ class WordIds:
             sizes.append(np.bincount(of, minlength=len(own)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _add(self, words: list[bytes]) -> None:
+    def _add(self, words: list[bytes], marks: np.ndarray) -> np.ndarray:
+        """Encode words; their new rows."""
         ids, sizes = self._encode([w.decode("utf-8", "replace") for w in words])
         ends, n = self.at[self.n] + np.cumsum(sizes), self.n
         if len(self.at) < n + len(words) + 1:
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(words) + 1), np.int64)])
+            more = max(len(self.at), len(words) + 1)
+            self.at, self.marks = np.concatenate([self.at, np.zeros(more, np.int64)]), np.concatenate([self.marks, np.zeros((more, 3), np.uint64)])
         if len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        self.at[n + 1 : n + 1 + len(words)] = ends
+        self.at[n + 1 : n + 1 + len(words)], self.marks[n : n + len(words)] = ends, marks
         self.ids[self.at[n] : ends[-1]] = ids
         self.n += len(words)
-        self.rows.update(zip(words, range(n, self.n), strict=True))
+        return np.arange(n, self.n)
+
+    @staticmethod
+    def _marks(words: Words) -> np.ndarray:
+        """Size, first and last eight bytes of every word: all of a word up to sixteen bytes."""
+        size = words.ends - words.starts
+        padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
+        codes = np.ndarray((len(words.data) + 1,), "<u8", padded, strides=(1,))
+        head = codes[words.starts] & _FIRST[np.minimum(size, 8)]
+        return np.stack([size.astype(np.uint64), head, np.where(size < 8, head, codes[np.maximum(words.ends - 8, 0)])], axis=1)
+
+    def _rows(self, words: Words) -> np.ndarray:
+        """The row of each word. Words are remembered by their hash; where the marks of two words of one hash differ, the chunk's words are told apart by their bytes."""
+        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        marks, raw = self._marks(words), words.data.tobytes()
+        spelt = lambda at: [raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
+        where = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(where, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        apart = (marks != marks[first][inverse]).any() or (self.marks[self.row[where[known]]] != marks[first[known]]).any()
+        if apart:
+            every = spelt(np.arange(len(words.starts)))
+            at = {w: i for i, w in enumerate(every)}
+            rows = dict(zip(at, self._add(list(at), marks[list(at.values())]).tolist(), strict=True))
+            return np.array([rows[w] for w in every])
+        new = np.flatnonzero(~known)
+        if len(new):
+            rows, to = self._add(spelt(first[new]), marks[first[new]]), where[new]
+            self.keys, self.row = np.insert(self.keys, to, keys[new]), np.insert(self.row, to, rows)
+            where = np.searchsorted(self.keys, keys)
+        return self.row[where][inverse]
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a chunk and where each text's ids start, one more than texts."""
@@ -102,14 +137,7 @@ class WordIds:
         words.split_stops()
         if self.n > MEMO_WORDS:
             self.clear()
-        # Equal words of a chunk are found by their hash and size, and remembered by their bytes.
-        _, first, inverse = np.unique(words.hashes() + (words.ends - words.starts).astype(np.uint64), return_index=True, return_inverse=True)
-        raw = words.data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-        new = [w for w in distinct if w not in self.rows]
-        if new:
-            self._add(list(dict.fromkeys(new)))
-        row = np.array([self.rows[w] for w in distinct])[inverse]
+        row = self._rows(words)
         begin, size = self.at[row], self.at[row + 1] - self.at[row]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)

@@ -625,3 +625,12 @@ def test_one_text_of_five_megabytes(spark):
     assert joined[3]["component_id"] == joined[4]["component_id"] == 3 and joined[3]["n_shingles"] == n - 3
     pieces = packing.pieces(rows).filter("doc_id >= 3").groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert len(pieces) == 2 and all(r["n"] == r["t"] for r in pieces)
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    ids = packing.WordIds(packing.default_tokenizer())
+    texts = ["alpha beta, alpha gamma. x", "beta x alpha delta", " ".join(f"w{i}" for i in range(500))]
+    monkeypatch.setattr(_words.Words, "hashes", lambda self: np.full(len(self.starts), 7, np.uint64))
+    for text in texts * 2:
+        got, _ = ids.of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert got.tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
