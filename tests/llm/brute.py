@@ -99,6 +99,12 @@ def token_pieces(text, tokenizer, sequence=2048):
     return [(i, len(x), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in x)), len(ids)) for i in range(0, len(ids), sequence) for x in [ids[i : i + sequence]]]
 
 
+def token_crc(text, tokenizer, start, length):
+    """CRC-32 of some of a text's ids, and how many ids it has."""
+    ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return zlib.crc32(b"".join(n.to_bytes(4, "little") for n in ids[start : start + length])), len(ids)
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
