@@ -151,6 +151,41 @@ def test_file_history(spark):
     assert {tuple(r) for r in got} == {(15, 2, "ok"), (999, 3, "ok"), (0, None, "too early"), (3, None, "untracked")}
 
 
+@pytest.mark.parametrize("span", [1, 7, 100, filehistory.SPAN])
+def test_file_at_of_a_hot_file(spark, span):
+    """One file holds most rows; ties, repeated requests, null keys and files without versions are among them."""
+    r = random.Random(5)
+    path = lambda: r.choice(["hot"] * 8 + ["cold", "other", None])
+    place = lambda: (r.choice(["s", "s", "s", None]), path(), r.choice([None, *range(400)]))
+    saved = [(*place(), r.choice([None, *range(1, 6)]), r.choice([None, "b1", "b2"])) for _ in range(250)]
+    asked = [place() for _ in range(500)] + [("s", "unseen", 3)] * 2
+    low = lambda *xs: tuple((x is not None, x if x is not None else 0) for x in xs[:2]) + tuple((x is not None, x or "") for x in xs[2:])
+
+    def plain(s, p, ix):
+        own = [v for v in saved if v[:2] == (s, p)]
+        old = [v for v in own if v[2] is None or (ix is not None and v[2] <= ix)]
+        if not old:
+            return (s, p, ix, None, "too early" if any(v[3] is not None for v in own) else "untracked", None)
+        v = max(old, key=lambda v: low(v[2], v[3], v[4]))
+        return (s, p, ix, v[3], "ok" if v[4] is not None else "no blob", v[4])
+
+    versions = spark.createDataFrame(saved, "session_id string, path string, ix int, version int, blob string")
+    got = filehistory.file_at(versions, spark.createDataFrame(asked, "session_id string, path string, ix int"), span)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((plain(*a) for a in asked), key=str)
+    empty = versions.limit(0)
+    assert filehistory.file_at(empty, empty.select("session_id", "path", "ix"), span).count() == 0
+
+
+def test_file_at_deals_a_hot_file_to_ranges(spark):
+    """No window over rows of a whole file: each that orders them is partitioned by range too."""
+    rows = spark.range(4000).select(F.lit("s").alias("session_id"), F.lit("hot").alias("path"), F.col("id").cast("int").alias("ix"), F.col("id").cast("int").alias("version"))
+    seen = filehistory.file_at(rows, rows.select("session_id", "path", "ix"), span=100)
+    assert seen.filter("version = ix").count() == 4000
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "asks" in line]
+    assert windows and all("range#" in line for line in windows)
+
+
 def test_selectors_and_result_tokens(spark):
     calls = spark.createDataFrame([("mcp__x", "assistant"), ("Read", "user")], "tool_name string, type string")
     assert calls.filter(compact.selector("tool:mcp__*")).count() == 1 and calls.filter(compact.selector("type:user")).count() == 1
