@@ -169,6 +169,34 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("hash IS NOT NULL")
 
 
+_CALL_LINES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, replace(coalesce(text, ''), '. ', '.' || chr(10)) AS out, '/home/u/' || coalesce(source, '') || '/' || doc_id || '.txt' AS path, doc_id % 11 = 0 AS failed FROM documents),
+f AS (SELECT *, regexp_replace(path, '^/(?:root|home|tmp|Users|users)/[^/]+/(.+)$', '\1') AS p, len(list_filter(string_split(out, chr(10)), lambda s: regexp_matches(s, '[^\s\p{Z}\x{0B}\x{85}]'))) AS filled,
+  replace(t, chr(10), ' ⏎ ') AS flat FROM d),
+b AS (SELECT page_id, page_id % 7 = 0 AS failed, CASE page_id % 6 WHEN 0 THEN ['url', url] WHEN 1 THEN ['element', 'Link ' || url] WHEN 2 THEN ['name', url] WHEN 3 THEN ['key', ''] WHEN 5 THEN ['selector', html] END AS arg FROM pages)
+SELECT 'glob' AS call, doc_id AS id, 'Glob ' || to_json(CASE WHEN length(flat) > 60 THEN substring(flat, 1, 59) || '…' ELSE flat END)::VARCHAR || CASE WHEN failed THEN ' → [error]' ELSE ' — ' || filled || ' matches' END AS line FROM f
+UNION ALL SELECT 'grep', doc_id, 'Grep ' || to_json(CASE WHEN length(flat) > 50 THEN substring(flat, 1, 49) || '…' ELSE flat END)::VARCHAR || ' in ' || p || CASE WHEN failed THEN ' → [error]' ELSE ' — ' || CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE filled END || ' matches' END FROM f
+UNION ALL SELECT 'write', doc_id, 'Write ' || p || CASE WHEN failed THEN ' → [error: ' || substring(string_split(out, chr(10))[1], 1, 80) || ']' ELSE ' — ' || CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END || ' lines, ~' || CAST(round(length(t) / 4.0) AS BIGINT) || ' tokens' END FROM f
+UNION ALL SELECT 'browser', page_id, 'browser_' || page_id % 3 || '(' || coalesce(arg[1] || '=' || to_json(CASE WHEN length(replace(arg[2], chr(10), ' ⏎ ')) > 40 THEN substring(replace(arg[2], chr(10), ' ⏎ '), 1, 39) || '…' ELSE replace(arg[2], chr(10), ' ⏎ ') END)::VARCHAR, '') || ')' || CASE WHEN failed THEN ' → [error]' ELSE '' END FROM b"""
+
+
+@_query("b17_call_lines", _CALL_LINES)
+def call_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of file searches and writes over documents, with results of many lines, and of browser calls over pages, whose input names a known field, another one or none."""
+    docs, pages = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/pages.parquet")
+    text, number, page = F.coalesce("text", F.lit("")), F.col("doc_id"), F.col("page_id")
+    out = F.replace(text, F.lit(". "), F.lit(".\n"))
+    found = F.when(number % 3 == 0, F.concat(F.lit("Found "), number.cast("string"), F.lit(" files\n"), out)).otherwise(out)
+    path = F.concat(F.lit("/home/u/"), F.coalesce("source", F.lit("")), F.lit("/"), number.cast("string"), F.lit(".txt"))
+    call = lambda kind, tool, result, **given: F.struct(F.lit(kind).alias("call"), F.lit(tool).alias("tool_name"), F.to_json(F.struct(*[x.alias(k) for k, x in given.items()])).alias("input"), result.alias("content"))
+    calls = F.explode(F.array(call("glob", "Glob", out, pattern=text), call("grep", "Grep", found, pattern=text, path=path), call("write", "Write", out, file_path=path, content=text)))
+    files = docs.select(number.alias("id"), (number % 11 == 0).alias("failed"), calls.alias("c")).select("id", "failed", "c.*")
+    of = lambda n, x: F.when(page % 6 == n, x)
+    given = {"n": of(2, page), "name": F.when((page % 6).isin(2, 3), F.col("url")), "ref": of(1, page.cast("string")), "element": of(1, F.concat(F.lit("Link "), "url")), "url": of(0, F.col("url")), "key": of(3, F.lit("")), "selector": of(5, F.col("html"))}
+    browser = pages.select(page.alias("id"), (page % 7 == 0).alias("failed"), F.lit("browser").alias("call"), F.concat(F.lit("mcp__plugin_playwright_playwright__browser_"), (page % 3).cast("string")).alias("tool_name"), F.to_json(F.struct(*[x.alias(k) for k, x in given.items()])).alias("input"), F.lit("").alias("content"))
+    every = files.unionByName(browser).withColumn("given", parsed_input("input"))
+    return every.select("call", "id", one_liner(F.col("tool_name"), F.col("given"), F.col("content"), F.col("failed")).alias("line"))
+
+
 @_query("b18_bash_lines", SQL + r""", l AS (SELECT session_id, tool_use_id, arg_max(content, ix) AS content, arg_max(is_error, ix) AS is_error FROM b WHERE type = 'tool_result' GROUP BY ALL)
 SELECT b.session_id, b.ix, rtrim('Bash `' || b.command || '` — ~' || CAST(round(length(coalesce(l.content, '')) / 4.0) AS BIGINT) || ' tok out ' || CASE WHEN coalesce(l.is_error, false) THEN '[error]' WHEN l.content LIKE '[main%' THEN ' → commit abc1234 "commit ' || split_part(l.content, ' ', 4) || '"' ELSE '' END) AS line
 FROM b LEFT JOIN l ON l.session_id = b.session_id AND l.tool_use_id = b.tool_id WHERE b.tool_name = 'Bash'""")
