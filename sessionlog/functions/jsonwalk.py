@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -78,8 +79,65 @@ class _Condenser:
         return self.deep(b)
 
 
+#: JSON that a walk would write as it stands: no blanks, escapes only where they must be, whole numbers or short decimals.
+_STRING = r'"(?:[^"\\\x00-\x1f]++|\\["\\nrtbf]|\\u00(?:0[0-7bef]|1[0-9a-f]))*+"'
+_SCALAR = rf"(?:{_STRING}|-?[1-9]\d*+(?![.\deE])|0(?![.\deE])|-?(?:0|[1-9]\d{{0,8}})\.(?:\d{{0,3}}[1-9]|0)(?![\deE])|true|false|null)"
+#: How deep lists and objects may lie within a block that isn't walked.
+_DEPTH = 3
+
+
+def _listed(one: str, opens: str, closes: str) -> str:
+    """Any number of `one` between commas; possessive, so that long lists take no stack."""
+    return rf"\{opens}(?:{one}(?:,(?!\{closes})|(?=\{closes})))*+\{closes}"
+
+
+def _loose(depth: int) -> str:
+    """A value, whose objects may repeat a key."""
+    if depth == 0:
+        return _SCALAR
+    one = _loose(depth - 1)
+    return f"(?:{_SCALAR}|{_listed(one, '[', ']')}|{_listed(f'{_STRING}:{one}', '{', '}')})"
+
+
+def _object(depth: int, names: Iterator[int]) -> str:
+    """An object in which no key stands twice: a walk would keep the last of them alone."""
+    key, one = f"k{next(names)}", _loose(depth - 1)
+    again = rf"(?!{one}(?:,{_STRING}:{one})*?,\k<{key}>:)"
+    return _listed(f"(?<{key}>{_STRING}):{again}{_value(depth - 1, names)}", "{", "}")
+
+
+def _value(depth: int, names: Iterator[int]) -> str:
+    if depth == 0:
+        return _SCALAR
+    return f"(?:{_SCALAR}|{_listed(_value(depth - 1, names), '[', ']')}|{_object(depth, names)})"
+
+
+def _same_after_walk() -> tuple[str, str]:
+    """Blocks without a long string that condensing leaves as they are, and contents of results of which that holds."""
+    names = count()
+    image = rf'\{{"type":"image","source":\{{"type":{_STRING},"media_type":{_STRING},"data":{_STRING}\}}\}}'
+    text = rf'\{{"type":"text","text":{_STRING}\}}'
+    thinking = rf'\{{"type":"thinking","thinking":{_STRING}(?:,"signature":{_STRING})?\}}'
+    call = rf'\{{"type":"tool_use","id":{_STRING},"name":{_STRING},"input":{_object(_DEPTH, names)}\}}'
+    other = rf'(?=\{{"type":"(?!(?:text|thinking|tool_use|tool_result|image)")){_object(_DEPTH, names)}'
+    return rf"\A(?:{text}|{thinking}|{call}|{image}|{other})\z", rf"(?:{_STRING}|{_listed(f'(?:{text}|{image})', '[', ']')})"
+
+
+_SAME, _CONTENT = _same_after_walk()
+_RESULT = rf'\A\{{(?:"type":"tool_result","tool_use_id":({_STRING})|"tool_use_id":({_STRING}),"type":"tool_result"),"content":({_CONTENT})(?:(,"is_error":true)|,"is_error":false)?\}}\z'
+#: Longer blocks are walked whatever the cap is, so patterns stay cheap.
+_PATTERN_BYTES = 4096
+
+
+def unwalked(block: Column, most: int) -> Column:
+    """C2-C4 by built-in functions: a block's condensed JSON where it can hold neither a string over `most` bytes nor a note of a spill and is written as a walk would write it; else null."""
+    small = (F.octet_length(block) <= min(most, _PATTERN_BYTES)) & ~F.contains(block, F.lit("<persisted-output>"))
+    result = F.regexp_replace(block, F.lit(_RESULT), F.lit('{"type":"tool_result","tool_use_id":$1$2,"result":$3$4}'))
+    return F.when(small, F.when(F.contains(block, F.lit('"type":"tool_result"')) & F.rlike(block, F.lit(_RESULT)), result).when(F.rlike(block, F.lit(_SAME)), block))
+
+
 def condensed(value: Column, ref: Column, most: int, whole_entry: bool = False, preview: int = 500) -> Column:
-    """A content block, or an entry's payload, as condensed JSON: json, whether it holds a stub, bytes before and after."""
+    """A content block, or an entry's payload, as condensed JSON: json, whether it holds a stub, bytes before and after; nulls of null."""
 
     @F.pandas_udf(_CONDENSED)
     def cut(values: pd.Series, refs: pd.Series) -> pd.DataFrame:
@@ -93,7 +151,7 @@ def condensed(value: Column, ref: Column, most: int, whole_entry: bool = False,
                 given = {k: v for k, v in given.items() if k not in ENTRY_KEYS}
             done = _dump(c.deep(given) if whole_entry else c.block(given))
             out.append((done, c.stubs, len(_dump(given).encode()), len(done.encode())))
-        return pd.DataFrame(out, columns=["json", "stubbed", "orig", "inlined"])
+        return pd.DataFrame(out, columns=["json", "stubbed", "orig", "inlined"], dtype=object)
 
     return cut(value, ref)
 
@@ -115,7 +173,8 @@ def sweep(value: Column, most: int, preview: int = 100) -> Column:
 
         return values.map(one)
 
-    return F.when(F.octet_length(value) > most, cut(value)).otherwise(value)
+    long = F.octet_length(value) > most
+    return F.when(long, cut(F.when(long, value))).otherwise(value)
 
 
 def pretty(value: Column) -> Column:

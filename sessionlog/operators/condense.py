@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlog.functions.jsonwalk import condensed
+from sessionlog.functions.jsonwalk import condensed, unwalked
 from sessionlog.functions.text import json_quote, stub, turn_ref
 
 from .analyze import tool_use_index
@@ -22,12 +22,17 @@ def condensed_texts(entries: DataFrame, most: int = MAX_INLINE) -> DataFrame:
 def condensed_blocks(blocks: DataFrame, most: int = MAX_INLINE) -> DataFrame:
     """session_id, ix, block_ix, type, json (the condensed block), stubbed, orig and inlined (bytes before and after).
 
-    The walk over a block is one Python step in Arrow batches; its result is exploded
-    from an array of one, so that no column builds it anew.
+    Built-in functions condense what needs no walk (`unwalked`); the walk over the
+    other blocks is one Python step in Arrow batches, in which the former are nulls.
+    Results are exploded from an array of one, so that no column builds them anew.
     """
-    cut = F.array(condensed(F.col("block"), turn_ref(F.col("ix")), most))
-    names = [c for c in ("tool_name", "tool_use_id") if c in blocks.columns]
-    return blocks.select("session_id", "ix", "block_ix", "type", *names, F.explode(cut).alias("cut")).select("session_id", "ix", "block_ix", "type", *names, "cut.*")
+    names = ["session_id", "ix", "block_ix", "type", *(c for c in ("tool_name", "tool_use_id") if c in blocks.columns)]
+    rows = blocks.select(*names, "block", F.explode(F.array(unwalked(F.col("block"), most))).alias("own"))
+    own, size = F.col("own"), lambda c: F.octet_length(c).cast("long")
+    walked = condensed(F.when(own.isNull(), F.col("block")), turn_ref(F.col("ix")), most)
+    rows = rows.select(*names, "block", "own", F.explode(F.array(walked)).alias("cut"))
+    own_values = {"json": own, "stubbed": F.lit(False), "orig": size("block"), "inlined": size(own)}
+    return rows.select(*names, *[F.when(own.isNotNull(), v).otherwise(F.col("cut")[c]).alias(c) for c, v in own_values.items()])
 
 
 def condensed_payloads(entries: DataFrame, most: int = MAX_INLINE) -> DataFrame:

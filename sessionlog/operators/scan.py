@@ -30,8 +30,8 @@ def scannable(texts: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
 
 def distinct_contents(texts: DataFrame) -> DataFrame:
-    """Each content once, with how many places hold it and the first of them."""
-    return texts.groupBy(F.sha2("text", 256).alias("content_id")).agg(F.count(F.lit(1)).alias("places"), F.min("location").alias("location"), F.any_value("text").alias("text"))
+    """Each content once, with how many places hold it and the first of them; only digests are shuffled."""
+    return texts.groupBy(F.sha2("text", 256).alias("content_id")).agg(F.count(F.lit(1)).alias("places"), F.min("location").alias("location"))
 
 
 def scan(texts: DataFrame, checks: tuple = CHECKS) -> DataFrame:
@@ -48,6 +48,19 @@ def scan(texts: DataFrame, checks: tuple = CHECKS) -> DataFrame:
     return each.select("location", "line_no", "f.check_name", "f.severity", F.explode("f.matches").alias("match"), F.substring(F.trim("line"), 1, LINE_CHARS).alias("line"))
 
 
+def content_issues(texts: DataFrame, checks: tuple = CHECKS) -> DataFrame:
+    """O1 over O4: the issues of each content once, at the first of its places: content_id, places, and the columns of scan().
+
+    Texts are scanned where they lie; what is shuffled is digests, places and issues,
+    whatever the texts' length. A place that is listed twice with one text gives its
+    issues twice; a null text has none.
+    """
+    content = F.sha2("text", 256).alias("content_id")
+    issues = scan(texts.select(F.struct(content, "location").alias("location"), "text"), checks)
+    issues = issues.select("location.content_id", "location.location", *issues.columns[1:])
+    return issues.join(distinct_contents(texts), ["content_id", "location"]).select("content_id", "places", *issues.columns[1:])
+
+
 SESSION_ID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 #: Fixed value: shorter names are too common to look for.
 TOKEN_CHARS = 10

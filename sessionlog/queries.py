@@ -335,7 +335,8 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 _ISSUES = "WITH t AS (SELECT source || '/' || doc_id AS location, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT location, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM t), i AS (" + " UNION ALL ".join(
     f"SELECT location, line_no, '{n}' AS check_name, '{s}' AS severity, unnest(regexp_extract_all(line, '{p}')) AS match, left(trim(line, ' '), 140) AS line FROM l" for n, s, p, _ in scan.CHECKS) + "), u AS (SELECT DISTINCT severity, check_name, location, line_no, match FROM i)"
 _of("o1_scan", lambda t: scan.scan(scan.scannable(t)), _texts, sql=_ISSUES + " SELECT location, CAST(line_no AS INTEGER) AS line_no, check_name, severity, match, line FROM i")
-_of("o4_distinct_contents", lambda t: scan.distinct_contents(t).drop("text"), _texts, sql="SELECT sha256(text) AS content_id, count(*) AS places, min(source || '/' || doc_id) AS location FROM documents GROUP BY 1")
+_of("o4_distinct_contents", scan.distinct_contents, _texts, sql="SELECT sha256(text) AS content_id, count(*) AS places, min(source || '/' || doc_id) AS location FROM documents GROUP BY 1")
+_of("o4_content_issues", lambda t: scan.content_issues(scan.scannable(t)), _texts, sql=_ISSUES + ", d AS (SELECT sha256(text) AS content_id, count(*) AS places, min(source || '/' || doc_id) AS location FROM documents GROUP BY 1) SELECT content_id, places, location, CAST(line_no AS INTEGER) AS line_no, check_name, severity, match, line FROM d JOIN i USING (location)")
 _of("o5_report", lambda t: scan.report(scan.scan(t)).drop("n"), _texts, sql=_ISSUES + " SELECT severity, check_name, location, CAST(line_no AS INTEGER) AS line_no, match FROM u QUALIFY row_number() OVER (PARTITION BY severity, check_name ORDER BY location, line_no, match) <= 25")
 _of("o5_totals", lambda t: scan.totals(scan.scan(t)), _texts, sql=_ISSUES + " SELECT severity, check_name, count(*) AS issues FROM u GROUP BY ALL")
 

@@ -73,12 +73,19 @@ _FACTS = " coalesce(arg_min('1.' || ix // 3, ix) FILTER (k NOT IN (7, 10, 12)),
 _of("s11_facts", lambda e: metadata.session_facts(e, list(metadata.FACTS)), rich.entries, sql=SQL + f" SELECT session_id, {_FACTS} FROM x GROUP BY session_id")
 
 # --- metadata ----------------------------------------------------------------------
+_TARGETS = """, s AS (SELECT DISTINCT coalesce(parent_session_id, session_id) AS session_id, CASE WHEN parent_session_id IS NULL THEN 'session.jsonl' ELSE 'subagents/agent-' || c || '/session.jsonl' END AS name, '/logs/' || replace(session_id, '/', '/subagents/') || '.jsonl' AS path FROM x),
+targets AS (SELECT session_id, '{' || string_agg('"' || name || '":"' || path || '"', ',' ORDER BY name) || '}' AS targets FROM s GROUP BY session_id)"""
+
+
+def _logs(lines: DataFrame) -> DataFrame:
+    return lines.select("session_id", "parent_session_id", F.regexp_extract("path", r"subagents/([^/]+)\.jsonl$", 1).alias("sub_name"), "path").distinct()
+
+
 _of(
     "m5_query_targets",
-    lambda s: metadata.query_targets(s.select("session_id", "parent_session_id", F.regexp_extract("path", r"subagents/([^/]+)\.jsonl$", 1).alias("sub_name"), "path").distinct()).select("session_id", F.to_json("targets").alias("targets")),
+    lambda s: metadata.query_targets(_logs(s)).select("session_id", F.to_json("targets").alias("targets")),
     _lines,
-    sql=SQL + """, s AS (SELECT DISTINCT coalesce(parent_session_id, session_id) AS session_id, CASE WHEN parent_session_id IS NULL THEN 'session.jsonl' ELSE 'subagents/agent-' || c || '/session.jsonl' END AS name, '/logs/' || replace(session_id, '/', '/subagents/') || '.jsonl' AS path FROM x)
-SELECT session_id, '{' || string_agg('"' || name || '":"' || path || '"', ',' ORDER BY name) || '}' AS targets FROM s GROUP BY session_id""",
+    sql=SQL + _TARGETS + " SELECT * FROM targets",
 )
 _META = _USED + f""", calls AS (SELECT session_id, ix, json_extract_string(block, '$.id') AS id FROM xb WHERE json_extract_string(block, '$.type') = 'tool_use'),
 open_calls AS (SELECT DISTINCT calls.session_id FROM calls JOIN (SELECT session_id, max(ix) AS ix FROM x WHERE type = 'assistant' GROUP BY 1) l USING (session_id, ix) WHERE NOT EXISTS (SELECT 1 FROM xb r WHERE r.session_id = calls.session_id AND json_extract_string(r.block, '$.tool_use_id') = calls.id)),
@@ -89,7 +96,16 @@ m AS (SELECT x.session_id, count(*) AS turn_count, {_FACTS}, CASE WHEN x.session
 totals AS (SELECT session_id, {_TOTALS} FROM (SELECT session_id, model, {", ".join(COUNTERS)} FROM assistant UNION ALL SELECT DISTINCT session_id, NULL, NULL, NULL, NULL, NULL FROM x) GROUP BY 1),
 models AS (SELECT session_id, model, min(ix) AS first, count(*) AS message_count, {", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in COUNTERS)} FROM assistant WHERE model <> '<synthetic>' GROUP BY ALL)"""
 _SUMS = "'in=' || input_tokens || '  out=' || output_tokens || '  cache_read=' || cache_read || '  cache_write=' || cache_write"
-_of("m6_session_info", lambda e, b: metadata.info(e, b).withColumn("by_model", F.size(F.coalesce("by_model", F.array()))), rich.entries, rich.blocks, sql=SQL + _META + f" SELECT m.*, {', '.join('totals.' + c for c in COUNTERS)}, CAST((SELECT count(*) FROM models WHERE models.session_id = m.session_id) AS INTEGER) AS by_model FROM m JOIN totals USING (session_id)")
+
+_of(
+    "m6_session_info",
+    lambda e, b, s: metadata.info(e, b, _logs(s)).withColumns({"by_model": F.to_json(F.coalesce("by_model", F.array())), "targets": F.to_json("targets")}),
+    rich.entries,
+    rich.blocks,
+    _lines,
+    sql=SQL + _META + _TARGETS + f""", by_model AS (SELECT session_id, '[' || string_agg('{{"model":"' || model || '",{",".join(f'"{c}":\' || {c} || \'' for c in COUNTERS)},"message_count":' || message_count || '}}', ',' ORDER BY model) || ']' AS by_model FROM models GROUP BY 1)
+SELECT m.*, {', '.join('totals.' + c for c in COUNTERS)}, coalesce(by_model, '[]') AS by_model, targets FROM m JOIN totals USING (session_id) LEFT JOIN by_model USING (session_id) LEFT JOIN targets USING (session_id)""",
+)
 _of("m7_info_text", metadata.info_lines, rich.entries, rich.blocks, sql=SQL + _META + f""", lines AS (SELECT session_id, first, model || ' (' || message_count || ' msgs)' AS label, {_SUMS} AS sums FROM models UNION ALL SELECT session_id, -1, 'totals', {_SUMS} FROM totals),
 wide AS (SELECT session_id, max(length(label)) AS w FROM lines GROUP BY 1), tokens AS (SELECT session_id, string_agg('  ' || rpad(label, CAST(w AS INTEGER), ' ') || '  ' || sums, chr(10) ORDER BY first) AS lines FROM lines JOIN wide USING (session_id) GROUP BY 1)
 SELECT session_id, concat_ws(chr(10), 'session:    ' || session_id, 'version:    ' || version, 'cwd:        ' || cwd, 'branch:     ' || git_branch, 'permission: ' || permission_mode, 'turns:      ' || turn_count || ' (' || end_state || ')',

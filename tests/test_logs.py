@@ -365,3 +365,12 @@ def test_copied_spills_count_once_over_a_session_and_its_subagents(spark):
     stats = spark.createDataFrame([("s", None, 3, 90, 40, 2), ("s", "user:text", 3, 90, 40, 2)], "session_id string, kind string, count int, orig_bytes int, inlined_bytes int, truncated int")
     subs = spark.createDataFrame([("s", "s/agent-1")], "session_id string, sub string")
     assert [tuple(r) for r in condense.stage_summary(condensed, sources, subs, stats).collect()] == [("s", [0, 2], 2, 1, 3, 90, 40, 2)]
+
+
+def test_issues_of_contents(spark):
+    texts = spark.createDataFrame([("b/2", "mail a@b.org\nand c@d.org"), ("a/1", "mail a@b.org\nand c@d.org"), ("a/3", "x e@f.org"), ("a/3", "nothing"), ("a/4", None), ("a/5", "")], "location string, text string")
+    found = scan.content_issues(texts)
+    assert sorted((r["places"], r["location"], r["line_no"], r["match"]) for r in found.collect()) == [(1, "a/3", 1, "e@f.org"), (2, "a/1", 1, "a@b.org"), (2, "a/1", 2, "c@d.org")]
+    assert scan.content_issues(texts.limit(0)).count() == 0
+    exchanges = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert exchanges and not any("any_value" in line or "first(text" in line for line in exchanges)

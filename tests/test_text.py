@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sessionlog.functions import text as T
-from sessionlog.functions.jsonwalk import condensed, pretty, sweep, with_ids
+from sessionlog.functions.jsonwalk import condensed, pretty, sweep, unwalked, with_ids
 from sessionlog.functions.oneliners import one_liner, parsed_input, result_text
 
 
@@ -101,3 +102,49 @@ def test_json_walks_keep_order_and_cap(spark):
     assert "[truncated: 9 bytes; preview: yyy" in value(spark, sweep(F.col("t"), 8), t=text)
     assert value(spark, pretty(F.col("t")), t='{"b":1,"a":[]}') == '{\n  "b": 1,\n  "a": []\n}'
     assert value(spark, with_ids(F.col("t"), F.create_map(F.lit("uuid"), F.lit("n"), F.lit("other"), F.lit("m"))), t='{"b":1,"uuid":"o"}') == '{"b":1,"uuid":"n"}'
+
+
+def _some_json(r: random.Random, depth: int):
+    kind = r.randrange(7 if depth else 5)
+    if kind == 0:
+        return "".join(r.choice('ab ,:{}[]"\\\n\t\x01\x0b\x7fé😀') for _ in range(r.randrange(9)))
+    if kind < 5:
+        return (None, r.choice([0, -7, 12345678901, True, False]), r.choice([0.5, -0.25, 1e-7, 1e20, 3.0, 0.0001, -0.0]), "plain", None)[kind]
+    inner = [_some_json(r, depth - 1) for _ in range(r.randrange(4))]
+    return inner if kind == 5 else {r.choice(["a", "b", 'q"', "long key"]) + str(i): v for i, v in enumerate(inner)}
+
+
+def _some_block(r: random.Random) -> str:
+    given = {f"k{i}": _some_json(r, 3) for i in range(r.randrange(4))}
+    word = _some_json(r, 0)
+    block = r.choice([
+        {"type": "text", "text": word}, {"type": "thinking", "thinking": "x", "signature": word}, {"type": "tool_use", "id": "i", "name": "N", "input": given}, {"type": "strange"} | given, given,
+        {"type": "tool_result", "tool_use_id": "i", "content": word, "is_error": r.choice([True, False, None])}, {"tool_use_id": "i", "type": "tool_result", "content": [{"type": "text", "text": "y"}, {"type": "image", "source": {"type": "b", "media_type": "m", "data": "d"}}]},
+        {"type": "image", "source": {"type": "b", "media_type": "m", "data": word}}, {"type": "tool_result", "tool_use_id": "i", "content": [given, word]},
+    ])
+    return json.dumps(block, ensure_ascii=r.random() < 0.2, separators=r.choice([(",", ":")] * 5 + [(", ", ": ")]))
+
+
+def test_unwalked_blocks_are_as_walked(spark):
+    r = random.Random(5)
+    own = [
+        '{"type":"tool_use","id":"i","name":"N","input":{"a":1,"b":2,"a":3}}', '{"type":"tool_use","id":"i","name":"N","input":{"a":{"x":1,"x":{"y":[]}}}}', '{"type":"text","text":"a","text":"b"}', '{"type":"strange","type":"text","text":"b"}',
+        '{"type":"tool_use","id":"i","name":"N","input":{"foo,":1,":y":1,"k":"x,",":y":2}}', '{"type":"text","text":"\\u00e9"}', '{"type":"text","text":"a\\/b"}', '{"type":"text","text":"\\u0009"}', '{"type":"tool_use","id":"i","name":"N","input":{"n":1.0,"m":1.50,"o":-0,"p":1e3,"q":0.00001}}',
+        '{"type":"tool_result","tool_use_id":"i","content":"<persisted-output>\\nOutput too large (1KB). Full output saved to: /s/x.txt\\n\\nPreview (a):\\nhead"}', '{"type":"tool_result","tool_use_id":"i","content":"x","is_error":true,"is_error":false}', '{"type":"strange","l":[[[[1]]]]}', '{"type":"text","text":"' + "x" * 300 + '"}',
+        '{"type":"tool_use","id":"i","name":"N","input":{}}', '{"type":"tool_use","id":"i","name":"N","input":{"edits":[{"a":"x","b":"y"},{"a":"z","b":"w"}]}}', '{"type":"tool_use","id":"i","name":"N","input":[]}', '{"type":"text"}',
+    ]
+    blocks = own + [_some_block(r) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)] + [(-1, None)], "ix int, block string").repartition(4)
+    walked = rows.select("ix", "block", F.explode(F.array(condensed(F.col("block"), F.lit("r"), 200))).alias("w"), unwalked(F.col("block"), 200).alias("own"))
+    found = walked.select("ix", "block", "w.*", "own").collect()
+    for row in found:
+        assert row["own"] is None or (row["own"] == row["json"] and not row["stubbed"] and row["orig"] == len(row["block"].encode())), row
+    plain = {row["ix"] for row in found if row["own"] is not None}
+    assert len(plain) > 500 and {13, 14} <= plain and not plain & {-1, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 16}
+
+
+def test_unwalked_takes_long_lists(spark):
+    listed = json.dumps({"type": "tool_use", "id": "i", "name": "N", "input": {"l": list(range(1, 900)), "s": "\n" * 100}}, separators=(",", ":"))
+    keys = json.dumps({"type": "tool_use", "id": "i", "name": "N", "input": {f"k{i}": 1 for i in range(300)}}, separators=(",", ":"))
+    for block in (listed, keys):
+        assert value(spark, unwalked(F.col("t"), 4096), t=block) == block
