@@ -1,9 +1,9 @@
 """Exact top-k search by ball trees, one per shard of the vectors.
 
 Vectors are dealt to shards by a hash of their id. A shard's ball tree is built
-once and stored; for each query a task visits its nodes in order of their upper
-bound on the inner product (centre's product plus radius times the query's norm)
-and stops when the bound is below the query's current kth score. That score is
+once and stored; a block of queries goes down it together, each to the nodes whose
+upper bound on the inner product (centre's product plus radius times the query's norm)
+isn't below its current kth score, and leaves meet them by matrix products. That score is
 shared: a first pass searches each query's home shard only, and its kth score, a
 lower bound of the final one, goes with the query to all other shards.
 
@@ -24,7 +24,6 @@ are ignored.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 
 import numpy as np
@@ -40,6 +39,8 @@ QUERY_EVERY = 50
 SHARD_ROWS = 20_000
 BLOCK_QUERIES = 2_000
 LEAF = 64
+#: Below every score.
+NONE = np.iinfo(np.int64).min
 
 
 class BallTree:
@@ -72,36 +73,63 @@ class BallTree:
             stack += [(a, (a + b) // 2, node), ((a + b) // 2, b, node)]
         self.vectors = vectors
 
-    def search(self, query: np.ndarray, self_id: int, ids: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
-        """The best (score, -id) with score >= least, at most k, ties to the smaller id."""
-        best: list[tuple[int, int]] = []
-        q = query.astype(np.float64)
-        norm = float(np.sqrt(q @ q))
+    def search(self, queries: np.ndarray, self_ids: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query the k best scores >= least, and their ids, best first, ties to the smaller id; NONE where there are fewer.
+
+        Queries go down the tree together. Each first scores the leaf that it comes to by
+        the child with the higher bound, which raises its kth score; then nodes are visited
+        with those queries whose bound isn't below theirs, and a leaf meets them in one product.
+        """
+        m = len(queries)
+        best, found, least = np.full((m, k), NONE), np.full((m, k), NONE), least.astype(np.int64)
+        if not m or not self.nodes:
+            return best, found
+        q = queries.astype(np.float64)
+        norms = np.sqrt((q * q).sum(axis=1))
+        largest = float(np.abs(self.vectors.astype(np.float64)).max())
+        # Products in doubles are exact below 2**53; beyond that whole numbers are multiplied.
+        exact = largest * float(np.abs(q).max()) * q.shape[1] < 2.0**53
+        left, right = (self.vectors.astype(np.float64), q) if exact else (self.vectors, queries.astype(np.int64))
         # Rounding of the bound is covered by a margin far above it.
-        rounding = 1e-3 + 1e-12 * norm * float(np.abs(self.vectors).max(initial=0)) * len(q)
-        bound = lambda i: float(self.nodes[i][0] @ q) + self.nodes[i][1] * norm + rounding
-        heap = [(-bound(0), 0)] if self.nodes else []
-        while heap:
-            up, i = heapq.heappop(heap)
-            if -up < least:
-                break
-            _, _, a, b, below = self.nodes[i]
-            for j in below:
-                if (u := bound(j)) >= least:
-                    heapq.heappush(heap, (-u, j))
-            if not below:
-                own = self.order[a:b]
-                scores = self.vectors[own] @ query
-                for s, n in zip(scores.tolist(), ids[own].tolist(), strict=True):
-                    if n == self_id or s < least:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -n))
-                    else:
-                        heapq.heappushpop(best, (s, -n))
-                    if len(best) == k:
-                        least = max(least, best[0][0])
-        return best
+        rounding = 1e-3 + 1e-12 * norms * largest * q.shape[1]
+        bounds = lambda i, own: q[own] @ self.nodes[i][0] + self.nodes[i][1] * norms[own] + rounding[own]
+
+        def score(i: int, own: np.ndarray) -> None:
+            members = self.order[self.nodes[i][2] : self.nodes[i][3]]
+            scores, names = (right[own] @ left[members].T).astype(np.int64), ids[members]
+            scores[names[None, :] == self_ids[own][:, None]] = NONE
+            better = np.flatnonzero(scores.max(axis=1) >= least[own])
+            own, scores = own[better], scores[better]
+            scores[scores < least[own][:, None]] = NONE
+            scores, names = np.hstack([best[own], scores]), np.hstack([found[own], np.broadcast_to(names, scores.shape)])
+            # ~ turns the order round without overflow.
+            first = np.lexsort((names, ~scores), axis=-1)[:, :k]
+            best[own], found[own] = np.take_along_axis(scores, first, 1), np.take_along_axis(names, first, 1)
+            least[own] = np.maximum(least[own], best[own, k - 1])
+
+        seeds, stack = np.zeros(m, np.int64), [(0, np.arange(m))]
+        while stack:
+            i, own = stack.pop()
+            if not self.nodes[i][4]:
+                seeds[own] = i
+                score(i, own)
+                continue
+            one, two = self.nodes[i][4]
+            nearer = bounds(one, own) >= bounds(two, own)
+            stack += [(j, part) for j, part in ((one, own[nearer]), (two, own[~nearer])) if len(part)]
+        stack = [(0, np.arange(m))]
+        while stack:
+            i, own = stack.pop()
+            own = own[(bounds(i, own) >= least[own]) & (seeds[own] != i)]
+            if not len(own):
+                continue
+            below = self.nodes[i][4]
+            if below:
+                stack += [(j, own) for j in sorted(below, key=lambda j: bounds(j, own).mean())]
+            else:
+                score(i, own)
+        found[best == NONE] = NONE
+        return best, found
 
 
 def _trees(vectors: DataFrame, k: int) -> DataFrame:
@@ -124,15 +152,15 @@ def _trees(vectors: DataFrame, k: int) -> DataFrame:
 
 def _search_shard(k: int):  # noqa: ANN202
     def run(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
         if len(trees) and len(queries):
             ids, tree = pickle.loads(trees["tree"].iloc[0])
-            for n, q, least in zip(queries["query_id"], queries["v"], queries["least"], strict=True):
-                q = np.asarray(q, np.int64)
-                if float(np.abs(q.astype(np.float64)).max()) * float(np.abs(tree.vectors.astype(np.float64)).max()) * len(q) >= 2.0**62:
-                    raise OverflowError("components are too large for exact scores of 64 bits")
-                out += [(n, -i, s) for s, i in tree.search(q, n, ids, k, -np.inf if pd.isna(least) else float(least))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            names, q = queries["query_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy()).astype(np.int64)
+            if float(np.abs(q.astype(np.float64)).max()) * float(np.abs(tree.vectors.astype(np.float64)).max()) * q.shape[1] >= 2.0**62:
+                raise OverflowError("components are too large for exact scores of 64 bits")
+            best, found = tree.search(q, names, ids, k, queries["least"].to_numpy(np.int64))
+            asked, at = np.nonzero(best != NONE)
+            return pd.DataFrame({"query_id": names[asked], "vec_id": found[asked, at], "score": best[asked, at]})
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
 
@@ -151,10 +179,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
         spread = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search_shard(k), schema)
 
-    first = cut(searched(queries.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("double"))))
+    first = cut(searched(queries.withColumn("shard", F.col("home")).withColumn("least", F.lit(int(NONE)))))
     if shards > 1:
-        floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
-        away = queries.join(floor, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard != home")
+        floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        away = queries.join(floor, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(int(NONE)))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard != home")
         first = first.unionByName(searched(away))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a shard at most
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -524,6 +525,23 @@ def test_op9_repeated_ids_and_large_components(spark):
             top_k.op9(spark.createDataFrame([(0, [large] * 8), (1, [large] * 8)], "vec_id long, embedding array<double>")).collect()
 
 
+def test_op9_blocks_of_queries_share_their_products():
+    """Random directions, which no bound divides: a query's work is a product, not a walk of its own."""
+    r = np.random.default_rng(9)
+    x = r.normal(0, 40, (6000, 64)).astype(np.int64)
+    ids, tree = np.arange(len(x)) * 3, top_k.BallTree(x)
+    asked = np.arange(0, len(x), 10)
+    began = time.process_time()
+    best, found = tree.search(x[asked], ids[asked], ids, 5, np.full(len(asked), top_k.NONE))
+    assert time.process_time() - began < 3
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = top_k.NONE
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), ~scores), axis=-1)[:, :5]
+    assert (ids[order] == found).all() and (np.take_along_axis(scores, order, 1) == best).all()
+    huge = np.array([[1 << 29, 1], [1 << 29, 2], [1 << 29, 3]])  # scores beyond 2**53 that differ in their last digits
+    assert top_k.BallTree(huge).search(huge[:1], np.array([9]), np.arange(3), 2, np.array([top_k.NONE]))[1].tolist() == [[2, 1]]
+
+
 # --- op10 ----------------------------------------------------------------------------
 def expected_groups(rows):
     groups = {}
