@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlog.llm import exact_dedup, jaccard_join, language_id, mixing, packing
-from sessionlog.llm._store import cut, documents, small_batches
+from sessionlog.llm._store import cut, discard, documents, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bitmaps of more bytes aren't broadcast. Spark's own hold 32,768 ids in 4 KB each.
+BITMAP_BYTES, BUCKET_BYTES = 64 << 20, 4096
 
 
 def by_row(docs: DataFrame, nulls_first: bool = False) -> DataFrame:
@@ -34,6 +36,26 @@ def _as_doc_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("row")).drop("row")
 
 
+def marked(rows: DataFrame, ids: DataFrame, name: str, most: int = BITMAP_BYTES) -> DataFrame:
+    """Rows with a column `name`, whether their id `row` is among the ids.
+
+    The ids are broadcast as bitmaps, so that no text is shuffled. Ids so far apart that
+    their bitmaps pass `most` bytes are joined instead, texts and all.
+    """
+    ids = cut(ids.select("row"))
+    buckets = ids.select(F.bitmap_bucket_number("row").alias("bucket"), F.bitmap_bit_position("row").alias("bit"))
+    if buckets.select("bucket").distinct().count() * BUCKET_BYTES > most:
+        return rows.join(ids.distinct().withColumn(name, F.lit(True)), "row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    # Dealt by bucket first, so that one task fills a bitmap.
+    bits = cut(buckets.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    discard(ids)
+    at = F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(byte, CAST(bit % 8 AS INT)) & 1 = 1")
+    own = rows.withColumn("bucket", F.bitmap_bucket_number("row")).join(F.broadcast(bits), "bucket", "left").withColumn("byte", byte).withColumn("bit", at)
+    return own.withColumn(name, F.coalesce(held, F.lit(False))).drop("bucket", "bits", "byte", "bit")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; lang becomes what was found."""
     small_batches(spark)
@@ -46,7 +68,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     rows = by_row(docs, nulls_first=True)
     kept = exact_dedup.op10(_as_doc_id(rows)).filter("kept").select(F.col("doc_id").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(COLUMNS)
+    return marked(rows, kept, "kept").filter("kept").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,17 +77,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = by_row(docs)
     groups = jaccard_join.jaccard_join(_as_doc_id(rows), shingle=5, percent=80)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(COLUMNS)
+    return marked(rows, kept, "kept").filter("kept").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every copy the mix takes; where it takes part of a copy, the text's first words."""
     docs = by_row(docs)
-    taken = mixing.mix(_as_doc_id(docs)).filter("taken > 0").select(F.col("doc_id").alias("row"), "size", "taken")
-    rows = docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
-    left = F.col("taken") - F.col("copy") * F.col("size")
+    taken = cut(mixing.mix(_as_doc_id(docs)).filter("taken > 0").select(F.col("doc_id").alias("row"), "size", "taken"))
+    rows, copies = docs, F.lit(0)
+    for n in range(1, mixing.MOST_COPIES + 1):
+        rows, copies = marked(rows, taken.filter(F.col("taken") >= n * F.col("size")), f"copy_{n}"), copies + F.col(f"copy_{n}").cast("int")
+    # A row a source at most, stored so that its size is known.
+    part = cut(taken.filter(F.col("taken") % F.col("size") > 0).select("row", (F.col("taken") % F.col("size")).cast("int").alias("first_words")))
+    discard(taken)
+    rows = rows.join(part, "row", "left").withColumn("copies", copies)
+    all_copies = F.col("copies") + F.col("first_words").isNotNull().cast("int")
+    rows = rows.filter(all_copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), all_copies)))
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    rows = rows.withColumn("text", F.when(left < F.col("size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("copy") > F.col("copies"), F.array_join(F.slice(words, F.lit(1), F.col("first_words")), " ")).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

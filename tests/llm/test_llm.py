@@ -605,6 +605,25 @@ def test_pipeline_stages(spark, real, sf_dir):
     assert p.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count() and docs.count() > 100
 
 
+def test_pipeline_marks_ids_without_shuffling_texts(spark, real, sf_dir):
+    import corpus_pipeline as p
+
+    ids = [-(1 << 40), -32768, -32767, -9, -1, 0, 1, 7, 8, 32768, 32769, 65536, 1 << 45]
+    rows = spark.createDataFrame([(i + d, "text") for i in ids for d in (0, 2)], "row long, text string")
+    among = spark.createDataFrame([(i,) for i in ids] * 2, "row long")
+    for most in (p.BITMAP_BYTES, 0):
+        got = sorted((r["row"], r["kept"]) for r in p.marked(rows, among, "kept", most).collect())
+        assert got == sorted((i + d, i + d in ids) for i in ids for d in (0, 2)), most
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids were many
+    try:
+        for stage in (p.drop_copies, p.drop_near_copies):
+            plan = stage(spark, p.cut(real), sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_pipeline_null_and_repeated_doc_ids(spark, sf_dir):
     import corpus_pipeline as p
 
