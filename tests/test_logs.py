@@ -348,6 +348,25 @@ def test_compacted_logs(spark, logs, tmp_path):
         sinks.write_compacted(out, str(tmp_path / "c"))
 
 
+def test_many_logs_lie_in_few_files(spark, tmp_path):
+    lines = [(f"s{n}", ix, json.dumps({"type": "user", "uuid": f"{n}-{ix}", "message": {"role": "user", "content": "a.jsonl:b"}})) for n in range(60) for ix in range(12)]
+    frame = spark.createDataFrame(lines, "session string, line_no int, raw string").repartition(7)
+    want = sorted((s, ix, json.loads(raw)["uuid"]) for s, ix, raw in lines)
+    for apart in (False, True):
+        root = tmp_path / str(apart)
+        sinks.write_log(frame, str(root), apart)
+        read = jsonl.read_entries(spark, str(root))
+        assert sorted((r["session_id"], r["ix"], r["uuid"]) for r in read.collect()) == want
+        assert (len(list(root.rglob("part-*"))) < 60) is not apart
+        assert read.select("session_id", "path").distinct().count() == 60
+    # A log in a bundle is in order over many splits and files.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert [r["uuid"] for r in jsonl.read_entries(spark, str(tmp_path / "False")).filter("session_id = 's7'").orderBy("ix").collect()] == [f"7-{i}" for i in range(12)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_entries_that_are_no_messages_are_rendered_as_json(spark, tmp_path):
     log = [user("hi", "u1"), {"type": "attachment", "attachment": {"type": "note", "é": [1, {}]}}, {"type": "summary", "summary": "s"}, assistant([{"type": "thinking", "thinking": "hm"}], "u2", "r1")]
     (tmp_path / "s.jsonl").write_text("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in log))
