@@ -348,6 +348,25 @@ def test_compacted_logs(spark, logs, tmp_path):
         sinks.write_compacted(out, str(tmp_path / "c"))
 
 
+def test_compacting_returns_the_lines_that_it_wrote(spark, logs, tmp_path):
+    from sessionlog.jobs.compact_sessions import write_compacted_sessions
+
+    made = write_compacted_sessions(logs[1], logs[2], str(tmp_path / "c"), at="2026-01-01T00:00:00Z")
+    read = sinks.read_compacted(spark, str(tmp_path / "c")).orderBy("session_id", "line_no").collect()
+    assert [(r["session_id"], r["raw"]) for r in read] == [(r["new_session_id"], r["raw"]) for r in made.orderBy("new_session_id", "section", "ix").collect()]
+    assert {r["session_id"] for r in made.collect()} == {"one", "two", "one/agent-7"} and not list((tmp_path / "c").rglob("log=*"))
+
+
+def test_an_image_over_the_cap_is_a_stub_among_stubbed_entries(spark, tmp_path):
+    """n4_artifacts counts such an entry (kind 5 of sources.rich); its SQL leaves that kind out."""
+    from sessionlog.jobs.distill import condensed_report
+
+    image = lambda n: {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": "x" * n}}
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps(assistant([image(n)], f"u{n}", f"r{n}")) + "\n" for n in (2048, 2049)))
+    entries = jsonl.read_entries(spark, str(tmp_path))
+    assert rows(condensed_report(entries, jsonl.blocks(entries)), "stubbed_entries", "stubbed_parts") == [(1, 1)]
+
+
 def test_many_logs_lie_in_few_files(spark, tmp_path):
     lines = [(f"s{n}", ix, json.dumps({"type": "user", "uuid": f"{n}-{ix}", "message": {"role": "user", "content": "a.jsonl:b"}})) for n in range(60) for ix in range(12)]
     frame = spark.createDataFrame(lines, "session string, line_no int, raw string").repartition(7)
