@@ -104,6 +104,12 @@ def test_json_walks_keep_order_and_cap(spark):
     assert value(spark, with_ids(F.col("t"), F.create_map(F.lit("uuid"), F.lit("n"), F.lit("other"), F.lit("m"))), t='{"b":1,"uuid":"o"}') == '{"b":1,"uuid":"n"}'
 
 
+def test_ids_of_many_rows_of_a_batch(spark):
+    rows = spark.range(0, 1203, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit('{"uuid":"o","n":'), F.col("id").cast("string"), F.lit("}"))).alias("t"))
+    got = rows.select("id", with_ids(F.col("t"), F.create_map(F.lit("uuid"), F.col("id").cast("string"))).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == [f'{{"uuid":"{i}","n":{i}}}' if i % 7 else None for i in range(1203)]
+
+
 def _some_json(r: random.Random, depth: int):
     kind = r.randrange(7 if depth else 5)
     if kind == 0:
