@@ -89,34 +89,39 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s ^ _KEY).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + _KEY).sum(dtype=np.uint64).astype(np.int64))
 
 
-def shingle_sets(docs: DataFrame, text: str, shingle: int, percent: int, what: str, screen: Screen | None = None) -> DataFrame:
-    """what = 'keys': doc_id, n, k1, k2. 'prefix': doc_id, n, k1, hash for each of a set's first. 'sets': keys and hashes.
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-    screen: prefixes keep the hashes it holds; sets are those of the doc_ids it holds.
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int, percent: int, what: str, screen: Screen | None = None, only: Screen | None = None) -> DataFrame:
+    """what = 'keys': doc_id, n, k1, k2. 'prefix': doc_id, n, k1, hash for each of a set's first. 'hashes': hash alone of these. 'sets': keys and hashes.
+
+    only: the documents whose doc_id it holds. screen: prefixes keep the hashes it holds, and
+    those that hold too few for a link are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if what == "sets" and screen is not None:
-                batch = batch.filter(pa.array(screen(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+            if only is not None:
+                batch = batch.filter(pa.array(only(_ids(batch.column(0)))))
             for part, data, offsets in chunks(batch, "text"):
                 sets = list(_sets(Words(data, offsets, lower=True), shingle))
                 n = np.array([len(s) for s in sets], np.int64)
                 keys = [_keys(s) for s in sets]
                 columns = [part.column(0), pa.array(n), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
-                if what == "prefix":
+                if what in ("prefix", "hashes"):
                     m = np.where(n > 0, np.minimum(n, n - _needed(n, percent) + _extra(n)), 0)
                     at, flat = np.repeat(np.arange(len(n)), m), np.concatenate([s[:k] for s, k in zip(sets, m.tolist(), strict=True)])
                     if screen is not None:
-                        some = np.flatnonzero(screen(flat))
+                        some = screen(flat)
+                        some &= (np.bincount(at[some], minlength=len(n)) >= _extra(n))[at]
                         at, flat = at[some], flat[some]
-                    columns = [c.take(pa.array(at)) for c in columns[:3]] + [pa.array(flat.view(np.int64))]
+                    columns = [c.take(pa.array(at)) for c in columns[: 3 * (what == "prefix")]] + [pa.array(flat.view(np.int64))]
                 elif what == "sets":
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    last = {"keys": "k2 long", "prefix": "hash long", "sets": "k2 long, hashes array<long>"}[what]
-    schema = "doc_id long, n long, k1 long, " + last
+    schema = {"keys": "doc_id long, n long, k1 long, k2 long", "prefix": "doc_id long, n long, k1 long, hash long", "hashes": "hash long", "sets": "doc_id long, n long, k1 long, k2 long, hashes array<long>"}[what]
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -252,6 +257,17 @@ def _leaves(members: DataFrame, percent: int, base: int = 0) -> DataFrame:
     return members.select("task", "cell", "sid", "hashes").groupBy("task").applyInPandas(run, _LINKS)
 
 
+def _of(sets: DataFrame, sids: DataFrame) -> DataFrame:
+    """The sets of these sids, stored, and by chance some more: they are told by a bitmap, so that the others aren't shuffled."""
+    among = Screen(sids.select(F.col("sid").alias("cell")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(_ids(batch.column(0)))))
+
+    return cut(sets.select("sid", "hashes").mapInArrow(run, "sid long, hashes array<long>"))
+
+
 def _divided(members: DataFrame, found: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Classes of large cells in the Voronoi regions of pivots and in windows of others: cell, sid, n. And their links with pivots."""
     eps = 1 - percent / 100
@@ -281,6 +297,7 @@ def links_in_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_hashes:
     spark = cells.sparkSession
     out = spark.createDataFrame([], _LINKS)
     keep_whole = spark.createDataFrame([], "cell long")
+    stored: list[DataFrame] = []
     for level in range(levels + 1):
         sizes = cut(cells.groupBy("cell").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("many")).filter("many > 1"))
         small = sizes.filter(F.col("held") <= cell_hashes)
@@ -290,6 +307,9 @@ def links_in_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_hashes:
         large = cut(sizes.filter(F.col("held") > cell_hashes).select("cell", "held"))
         if large.isEmpty():
             break
+        # Only large cells go on, so only their sets are shuffled from here.
+        sets = _of(sets, cells.join(large, "cell", "left_semi"))
+        stored.append(sets)
         # Every two blocks of a cell that pivots don't divide meet in a task.
         whole = large if level == levels else large.join(keep_whole, "cell", "left_semi")
         if (level or not levels) and not whole.isEmpty():
@@ -301,7 +321,8 @@ def links_in_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_hashes:
             large = cut(large.join(whole.select("cell"), "cell", "left_anti"))
         if level == levels or large.isEmpty():
             break
-        members = cells.join(large.select("cell"), "cell").join(sets, "sid").select("cell", "sid", "n", "hashes")
+        members = cut(cells.join(large.select("cell"), "cell").join(sets, "sid").select("cell", "sid", "n", "hashes"))
+        stored.append(members)
         parts, links = _divided(members, out, percent, level)
         parts = cut(parts)
         out = out.unionByName(links)
@@ -312,30 +333,42 @@ def links_in_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_hashes:
         undivided = cells.join(stuck, "cell", "left_semi")
         divided = parts.join(stuck, "cell", "left_anti").select(F.col("region").alias("cell"), "sid", "n")
         cells, keep_whole = cut(divided.unionByName(undivided.select("cell", "sid", "n"))), stuck
+    discard(*stored)
     return out
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, cell_hashes: int = CELL_HASHES, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (smallest doc_id of the equal sets), component_id."""
     rows = cut(shingle_sets(docs, text, shingle, percent, "keys"))
-    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("sid"))
-    # Shingles of the prefixes that at least two different sets have.
-    known = docs.filter("doc_id IS NOT NULL")
-    prefix = shingle_sets(known, text, shingle, percent, "prefix").groupBy("hash").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count(F.lit(1)).alias("df"))
-    shared = cut(prefix.filter("a != b").select("hash", "df"))
+    known, real = docs.filter("doc_id IS NOT NULL"), rows.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = cut(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("sid"), F.max("n").alias("n")))
+    # Where doc_ids are unique they alone go with the hashes, else a key of the set too.
+    unique = real.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    own = ["doc_id"] if unique else ["doc_id", "k1"]
+    firsts = Screen(classes.select(F.col("sid").alias("cell")), bitmap_bits)
+    # Shingles of the prefixes that at least two different sets have. A class counts once, by its smallest document, or a few times more where the bitmap lets others pass.
+    if unique:
+        shared = shingle_sets(known, text, shingle, percent, "hashes", only=firsts).groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    else:
+        prefix = shingle_sets(known, text, shingle, percent, "prefix", only=firsts).groupBy("hash").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count(F.lit(1)).alias("df"))
+        shared = prefix.filter("a != b").select("hash", "df")
+    shared = cut(shared)
     # As stored tables what is joined has exchanges of its own, so that Spark splits the joins where a shingle is frequent.
-    held = shingle_sets(known, text, shingle, percent, "prefix", Screen(shared.select(F.col("hash").alias("cell")), bitmap_bits)).join(shared, "hash")
-    held = held.groupBy("doc_id", "k1", "n").agg(F.collect_set(F.struct("df", "hash")).alias("held"))  # part of one set
+    held = shingle_sets(known, text, shingle, percent, "prefix", Screen(shared.select(F.col("hash").alias("cell")), bitmap_bits), firsts).select(*own, "hash").join(shared, "hash")
+    held = held.repartition("doc_id").groupBy(*own).agg(F.collect_set(F.struct("df", "hash")).alias("held"))  # part of one set
+    held = held.join(classes.select(F.col("sid").alias("doc_id"), "k1", "n"), own)
     extra = F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA / 100)).cast("int")
     held = held.filter(F.size("held") >= extra)
     kept = F.transform(F.slice(F.array_sort("held"), F.lit(1), F.size("held") - extra + 1), lambda x: x["hash"])
-    anchors = cut(held.withColumn("anchor", kept).select("doc_id", "k1", "n", "anchor").join(classes.select(F.col("sid").alias("doc_id"), "k1"), ["doc_id", "k1"], "left_semi"))
+    anchors = cut(held.select("doc_id", "k1", "n", kept.alias("anchor")))
     each = anchors.select(F.col("doc_id").alias("sid"), "n", F.explode("anchor").alias("hash"))
     pivot = cut(each.groupBy("hash").agg(F.min("sid").alias("cell"), F.max("sid").alias("last")).filter("cell < last").drop("last"))
     cells = cut(each.join(pivot, "hash").groupBy("cell", "sid").agg(F.max("n").alias("n")))
     needed = cut(cells.select(F.col("sid").alias("doc_id")).distinct())
-    sets = shingle_sets(known, text, shingle, percent, "sets", Screen(needed.select(F.col("doc_id").alias("cell")), bitmap_bits)).join(anchors.select("doc_id", "k1").distinct(), ["doc_id", "k1"], "left_semi")
-    sets = cut(sets.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "k1"]).select(F.col("doc_id").alias("sid"), "hashes"))
+    sets = shingle_sets(known, text, shingle, percent, "sets", only=Screen(needed.select(F.col("doc_id").alias("cell")), bitmap_bits))
+    if not unique:
+        sets = sets.join(anchors.select("doc_id", "k1").distinct(), ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1"])
+    sets = cut(sets.select(F.col("doc_id").alias("sid"), "hashes"))
     discard(shared, anchors, pivot, needed)
     found = components(links_in_cells(cells, sets, percent, cell_hashes))
     classes = classes.join(found, classes.sid == found.node, "left").select("k1", "k2", "sid", F.coalesce("component", "sid").alias("component"))

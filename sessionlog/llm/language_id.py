@@ -153,7 +153,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list
     docs = docs.select(*columns, *said, *[] if text in columns else [text])
     seen = text_evidence(docs, model, [*columns, "_declared", "_path", *LEVELS], text)
     seen = seen.withColumn("logs", _add(F.col("evidence"), _said(F.col("_declared"), names, DECLARED_TRUST), _said(F.col("_path"), names, PATH_TRUST)))
-    seen = cut(seen.drop("evidence", "_declared", "_path").withColumn("own", _posterior(F.col("logs"))))
+    seen = seen.drop("evidence", "_declared", "_path").withColumn("own", _posterior(F.col("logs")))
+    if text not in columns:  # else texts are read again, which costs less than as much disk as the input
+        seen = cut(seen)
     # Counts by host and language; a host's rows are combined in each task.
     each = seen.filter("n_trigrams > 0").select(*LEVELS, F.posexplode("own").alias("i", "p")).filter(F.col("p") >= LITTLE)
     counts = cut(each.groupBy(*LEVELS, "i").agg(F.sum(F.round(F.col("p") * UNIT).cast("long")).alias("own")))

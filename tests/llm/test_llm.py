@@ -443,6 +443,31 @@ def test_op7_regions_lose_no_link(spark):
         assert max(r["level"] for r in links.collect()) >= deepest
 
 
+def test_op7_only_sets_of_large_cells_go_on(spark, monkeypatch):
+    texts = [(i, " ".join(f"z{i}" if j == i % 50 else f"v{j}" for j in range(120))) for i in range(40)]  # one neighbourhood
+    texts += [(100 + i, " ".join(f"u{i // 2}-{j}" for j in range(60 + i % 2))) for i in range(60)]  # pairs
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = jaccard_join.shingle_sets(frame, "text", 4, 85, "sets").select(F.col("doc_id").alias("sid"), "n", "hashes").cache()
+    cells = sets.select(F.when(F.col("sid") < 100, 0).otherwise(F.floor(F.col("sid") / 2)).cast("long").alias("cell"), "sid", "n")
+    stored, cut = [], jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: (out := cut(df), "hashes" in out.columns and stored.append(out.count()))[0])
+    links = jaccard_join.links_in_cells(cells, sets.drop("n"), 85, 2000)
+    got = {r["node"]: r["component"] for r in components.components(links.select("u", "v")).collect()}
+    assert {i: got.get(i, i) for i, _ in texts} == {i: c for i, (_, c) in brute.jaccard_components(texts).items()}
+    assert stored and max(stored) == 40
+
+
+def test_op7_copies_and_keys_arent_shuffled(spark, monkeypatch):
+    rows = [(i, BODY) for i in range(30)] + [(30, BODY.replace("w59", "x")), (31, "lone words of its own")]
+    seen, sets = [], jaccard_join.shingle_sets
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda *a, **b: (out := sets(*a, **b), seen.append((a[4], out)))[0])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op7(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 31: 31}
+    what, first = seen[1]
+    assert what == "hashes" and first.columns == ["hash"]
+    assert first.count() == sets(spark.createDataFrame(rows[29:], "doc_id long, text string"), "text", 4, 85, "hashes").count()
+
+
 def test_op7_regions_are_entered(real, monkeypatch):
     rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
     sets = [(i, np.unique(np.array([hash(x) & ((1 << 62) - 1) for x in brute.shingles(t)], np.uint64))) for i, t in rows if brute.words(t)]
@@ -624,6 +649,15 @@ def test_pipeline_marks_ids_without_shuffling_texts(spark, real, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_pipeline_language_stage_stores_no_texts(spark, real, sf_dir, monkeypatch):
+    import corpus_pipeline as p
+
+    stored, cut = [], language_id.cut
+    monkeypatch.setattr(language_id, "cut", lambda df: (stored.append(df.columns), cut(df))[1])
+    assert p.identify_language(spark, real, sf_dir).count() > 100
+    assert stored and not any("text" in columns for columns in stored)
+
+
 def test_pipeline_null_and_repeated_doc_ids(spark, sf_dir):
     import corpus_pipeline as p
 
