@@ -48,8 +48,10 @@ QUANTUM = 16
 #: A sequence that cuts a tail counts as so much more than one that doesn't.
 CUT_COST = 0.01
 END_ID = 1
-#: Distinct words a worker remembers the ids of before it starts afresh.
-MEMO_WORDS = 1_000_000
+#: Distinct words, and ids of them, that a worker remembers before it forgets those not met again.
+MEMO_WORDS, MEMO_IDS = 500_000, 4_000_000
+#: Bytes of text tokenised at once; each takes some forty bytes of arrays meanwhile.
+CHUNK_BYTES = 512 << 10
 #: About so many pieces of a class are ranked by one window.
 BUCKET_ROWS = 2_000
 
@@ -81,9 +83,37 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys and their rows
-        self.marks = np.zeros((1 << 14, 3), np.uint64)  # size and ends of each row's word
-        self.ids, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0  # ids of row r: at[r]:at[r + 1]
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted keys and their rows
+        self.size, self.marks = np.zeros(1 << 14, np.uint32), np.zeros((1 << 14, 2), np.uint64)  # size and ends of each row's word
+        self.met = np.zeros(1 << 14, bool)  # whether a later chunk had the word too
+        self.ids, self.at, self.n = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), 0  # ids of row r: at[r]:at[r + 1]
+
+    def forget(self) -> None:
+        """Keep the words that were met again, and these only until the next time; none, if they are more than half of what is held."""
+        kept = np.flatnonzero(self.met[self.row])
+        rows = self.row[kept]
+        sizes = self.at[rows + 1] - self.at[rows]
+        if 2 * len(rows) > MEMO_WORDS or 2 * sizes.sum() > MEMO_IDS:
+            return self.clear()
+        ends, n = np.cumsum(sizes), len(rows)
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.at[rows] - (ends - sizes), sizes)]
+        keys, size, marks = self.keys[kept], self.size[rows], self.marks[rows]
+        self.clear()
+        self._make_room(n, ids)
+        self.keys, self.row, self.n = keys, np.arange(n, dtype=np.int32), n
+        self.size[:n], self.marks[:n], self.at[1 : n + 1], self.ids[: len(ids)] = size, marks, ends, ids
+
+    def _make_room(self, words: int, ids: np.ndarray) -> None:
+        """Let the arrays hold so many words and the ids more."""
+        if len(self.at) < self.n + words + 1:
+            more = max(len(self.at) // 4, words + 1)
+            self.at, self.size, self.met = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.at, self.size, self.met))
+            self.marks = np.concatenate([self.marks, np.zeros((more, 2), np.uint64)])
+        kind = np.promote_types(self.ids.dtype, np.min_scalar_type(ids.max(initial=0)))
+        if len(self.ids) < self.at[self.n] + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 4, len(ids)), kind)])
+        elif kind != self.ids.dtype:
+            self.ids = self.ids.astype(kind)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
@@ -101,12 +131,8 @@ class WordIds:
         """Encode words; their new rows."""
         ids, sizes = self._encode([w.decode("utf-8", "replace") for w in words])
         ends, n = self.at[self.n] + np.cumsum(sizes), self.n
-        if len(self.at) < n + len(words) + 1:
-            more = max(len(self.at), len(words) + 1)
-            self.at, self.marks = np.concatenate([self.at, np.zeros(more, np.int64)]), np.concatenate([self.marks, np.zeros((more, 3), np.uint64)])
-        if len(self.ids) < ends[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        self.at[n + 1 : n + 1 + len(words)], self.marks[n : n + len(words)] = ends, marks
+        self._make_room(len(words), ids)
+        self.at[n + 1 : n + 1 + len(words)], self.size[n : n + len(words)], self.marks[n : n + len(words)] = ends, marks[:, 0], marks[:, 1:]
         self.ids[self.at[n] : ends[-1]] = ids
         self.n += len(words)
         return np.arange(n, self.n)
@@ -127,12 +153,14 @@ class WordIds:
         spelt = lambda at: [raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
         where = np.searchsorted(self.keys, keys)
         known = self.keys[np.minimum(where, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        apart = (marks != marks[first][inverse]).any() or (self.marks[self.row[where[known]]] != marks[first[known]]).any()
+        old, held = self.row[where[known]], marks[first[known]]
+        apart = (marks != marks[first][inverse]).any() or (self.size[old] != held[:, 0]).any() or (self.marks[old] != held[:, 1:]).any()
         if apart:
             every = spelt(np.arange(len(words.starts)))
             at = {w: i for i, w in enumerate(every)}
             rows = dict(zip(at, self._add(list(at), marks[list(at.values())]).tolist(), strict=True))
             return np.array([rows[w] for w in every])
+        self.met[old] = True
         new = np.flatnonzero(~known)
         if len(new):
             rows, to = self._add(spelt(first[new]), marks[first[new]]), where[new]
@@ -146,13 +174,13 @@ class WordIds:
         if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         words.split_stops()
-        if self.n > MEMO_WORDS:
-            self.clear()
+        if self.n > MEMO_WORDS or self.at[self.n] > MEMO_IDS:
+            self.forget()
         row = self._rows(words)
         begin, size = self.at[row], self.at[row + 1] - self.at[row]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-        return self.ids[take], np.concatenate([[0], ends])[words.first]
+        return self.ids[take].astype(np.uint32), np.concatenate([[0], ends])[words.first]
 
 
 def _marks_of(ids: np.ndarray, quantum: int) -> bytes:
@@ -176,7 +204,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, se
         if path not in _memo:
             _memo[path] = WordIds(path)
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text", 2 << 20):
+            for part, data, offsets in chunks(batch, "text", CHUNK_BYTES):
                 ids, first = _memo[path].of(data, offsets)
                 rows: list[tuple] = []
                 for doc, row, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), first.tolist(), first[1:].tolist(), strict=False):

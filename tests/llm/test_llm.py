@@ -755,3 +755,25 @@ def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
     for text in texts * 2:
         got, _ = ids.of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
         assert got.tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizing_remembers_words_met_again_in_little_memory(monkeypatch):
+    ids = packing.WordIds(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "MEMO_WORDS", 2_000)
+    monkeypatch.setattr(packing, "MEMO_IDS", 20_000, raising=False)
+    held = lambda: sum(x.nbytes for x in vars(ids).values() if isinstance(x, np.ndarray))
+    common = " ".join(f"common{i}" for i in range(100))
+    texts = [f"{common} " + " ".join(f"Word{i}x{j}, é{j}" for j in range(400)) for i in range(12)] + ["q7" * 30_000, common]
+    for text in texts:
+        raw = text.encode()
+        got, first = ids.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert got.dtype == np.uint32 and first.tolist() == [0, len(got)]
+        assert got.tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.n < 3_500
+    assert ids.at[ids.n] < 20_000  # the word of 60,000 letters went
+    assert held() < 1_500_000
+    ids.clear()
+    small = held()
+    raw = " ".join(f"w{i}" for i in range(400_000)).encode()
+    ids.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert held() - small < 60 * ids.n  # before, 75
